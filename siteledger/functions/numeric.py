@@ -34,7 +34,8 @@ def rnd(c: Column | str, digits: int) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Bounded value; null stays null (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def log_scale(c: Column | str) -> Column:

@@ -309,7 +309,7 @@ def _(t):
     return rows_.select("page_id", "severity", "current_state")
 
 
-_unit = lambda e: r(f"coalesce(least(1.0, greatest(0.0, {e})), 0.5)", 4)
+_unit = lambda e: r(f"CASE WHEN {e} IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, {e})) END", 4)
 TRAFFIC = r(
     f"100 * (0.65 * {r(SEARCH_OPP, 4)} + 0.20 * {_unit('keyword_opportunity_score / 100')} + 0.10 * {_unit('intent_confidence')} + 0.05 * {_unit('seo_score / 100')})", 1
 )
