@@ -195,19 +195,18 @@ def tiered_intent(rules: Column, statistical: Column, ai_intent: Column, ai_conf
     )
 
 
-def page_type_scores(intent: Column, title: Column, h1: Column, content: Column, schema_types: Column | None) -> tuple[Column, Column]:
-    """(commercial, informational) evidence; every stem and phrase counts once, headings over body."""
-    prominent = F.lower(F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(h1, F.lit(""))))
-    body = F.lower(F.coalesce(content, F.lit("")))
+def page_type_scores(intent: Column, prominent: Column, body: Column, schema_types: Column | None) -> tuple[Column, Column]:
+    """(commercial, informational) evidence; every stem and phrase counts once, headings over body.
+
+    ``prominent`` (title and h1) and ``body`` are lower-case text columns; the whole body is read.
+    """
 
     def weigh(stems: list[str], phrases: tuple[str, ...], schema: list[str], priors: dict[str, float]) -> Column:
         total = lookup(intent, priors, 0.0)
         if schema_types is not None:
             types = F.transform(F.coalesce(schema_types, F.array().cast("array<string>")), F.lower)
             total = total + F.when(F.arrays_overlap(types, F.array(*[F.lit(s) for s in schema])), 2.0).otherwise(0.0)
-        for stem in stems:
-            start = f"(^|[^a-z]){stem}"
-            total = total + F.when(prominent.rlike(start), 1.5).when(body.rlike(start), 0.25).otherwise(0.0)
+        total = total + stem_points(prominent, body, stems)
         for phrase in phrases:
             total = total + F.when(prominent.contains(phrase), 1.0).when(body.contains(phrase), 0.2).otherwise(0.0)
         return total
@@ -219,6 +218,18 @@ def page_type_scores(intent: Column, title: Column, h1: Column, content: Column,
     return commercial, informational
 
 
+def stem_points(prominent: Column, body: Column, stems: list[str]) -> Column:
+    """1.5 for every stem that starts a word of the headings, else 0.25 for one of the body.
+
+    One regular-expression pass per text collects the stems present. A stem that is a prefix of no
+    other stem cannot hide one, so alternation finds them all.
+    """
+    pattern = F.lit("(?:^|[^a-z])(" + "|".join(stems) + ")")
+    top = F.array_distinct(F.regexp_extract_all(prominent, pattern, 1))
+    low = F.array_except(F.regexp_extract_all(body, pattern, 1), top)
+    return 1.5 * F.size(top) + 0.25 * F.size(low)
+
+
 def page_type(commercial: Column, informational: Column) -> Column:
     ratio = commercial / (commercial + informational)
     return (

@@ -44,11 +44,10 @@ def log_scale(c: Column | str) -> Column:
 
 
 def lookup(c: Column, table: dict, default) -> Column:
-    """Ordered literal lookup as a CASE expression (stays inside code generation)."""
-    out = None
-    for key, value in table.items():
-        out = F.when(c == F.lit(key), F.lit(value)) if out is None else out.when(c == F.lit(key), F.lit(value))
-    return out.otherwise(F.lit(default))
+    """Literal map lookup: the map folds to a constant and the key is evaluated once."""
+    pairs = [F.lit(x) for item in table.items() for x in item]
+    found = F.try_element_at(F.create_map(*pairs), c)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def severity_rank(c: Column | str) -> Column:

@@ -67,16 +67,17 @@ def score_keywords(keywords: DataFrame, pages: DataFrame) -> DataFrame:
     """
     entry = F.struct("keyword", "source", "idx", "position", "impressions", "demand_base", "difficulty", "given_tier")
     lists = keywords.groupBy("page_id").agg(F.collect_list(entry).alias("_ks"))
-    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    lowered = {f"_{c}": F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "h1", "content")}
     relevant = F.transform(
         "_ks",
         lambda k: F.struct(
             k.alias("k"),
-            kx.content_relevance(k["keyword"], text("title"), text("h1"), F.lit(""), text("content")).alias("content_relevance_score"),
+            kx.content_relevance(k["keyword"], F.col("_title"), F.col("_h1"), F.lit(""), F.col("_content")).alias("content_relevance_score"),
         ),
     )
     rows = (
-        pages.join(lists, "page_id")
+        pages.withColumns(lowered)
+        .join(lists, "page_id")
         .select("page_id", "site_id", "detected_intent", "business_relevance", F.explode(relevant).alias("e"))
         .select("page_id", "site_id", "detected_intent", "business_relevance", "e.content_relevance_score", "e.k.*")
     )
@@ -141,26 +142,34 @@ def classify(pages: DataFrame, queries: DataFrame, findings: DataFrame) -> DataF
         .groupBy("page_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "query"))), lambda e: e["query"]).alias("top_queries"))
     )
+    # Verdicts on the page's own fields are computed below the joins, once per page.
+    own = pages.withColumns(
+        {
+            "rule": ix.rule_intent("url", F.col("structured_data_types")),
+            "targeting": ix.targeting_intent(F.col("title"), F.col("h1")),
+            "_prominent": F.lower(F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("h1", F.lit("")))),
+            "_body": F.lower(F.coalesce("content", F.lit(""))),
+        }
+    )
     rows = (
-        pages.join(ix.statistical_intents(queries), "page_id", "left")
+        own.join(ix.statistical_intents(queries), "page_id", "left")
         .join(top, "page_id", "left")
         .join(findings, "page_id", "left")
-        .withColumn("rule", ix.rule_intent("url", F.col("structured_data_types")))
     )
     rows = rows.withColumn("intent", ix.tiered_intent(F.col("rule"), F.col("statistical"), F.col("ai_intent"), F.col("ai_confidence")))
     commercial, informational = ix.page_type_scores(
-        F.col("intent.intent"), F.col("title"), F.col("h1"), F.col("content"), F.col("structured_data_types")
+        F.col("intent.intent"), F.col("_prominent"), F.col("_body"), F.col("structured_data_types")
     )
     rows = rows.withColumn("business_intent", F.coalesce("rule.intent", "intent.intent"))
     return rows.withColumns(
         {
             "page_type": ix.page_type(commercial, informational),
             "mismatch": ix.mismatch(
-                F.col("business_intent"), F.col("statistical"), ix.targeting_intent(F.col("title"), F.col("h1")),
+                F.col("business_intent"), F.col("statistical"), F.col("targeting"),
                 F.col("top_queries"), F.col("title"), F.col("h1"),
             ),
         }
-    )
+    ).drop("_prominent", "_body", "targeting")
 
 
 def intent_profiles(
