@@ -77,20 +77,29 @@ def _clean_query(query: Column, strip: bool) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; nested text surgery would otherwise repeat it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_url(url: Column | str, *, strip_tracking: bool = True) -> Column:
     """Stable page key: lower scheme and host, no default port, fragment or noise parameters, sorted query."""
     u = col(url)
-    scheme = F.when(scheme_of(u) == "", F.lit("https")).otherwise(scheme_of(u))
-    host = F.lower(_part(u, 2))
-    host = (
-        F.when(scheme == "http", F.regexp_replace(host, r":80$", ""))
-        .when(scheme == "https", F.regexp_replace(host, r":443$", ""))
-        .otherwise(host)
+    parts = F.struct(
+        scheme_of(u).alias("scheme"), F.lower(_part(u, 2)).alias("host"), raw_path(u).alias("path"), _part(u, 4).alias("query")
     )
-    path = F.regexp_replace(F.regexp_replace(raw_path(u), "/{2,}", "/"), "(?<=.)/$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    query = _clean_query(_part(u, 4), strip_tracking)
-    return F.concat(scheme, F.lit("://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+    def assemble(p: Column) -> Column:
+        scheme = F.when(p["scheme"] == "", F.lit("https")).otherwise(p["scheme"])
+        host = F.regexp_replace(
+            p["host"], F.when(p["scheme"] == "http", F.lit(":80$")).otherwise(F.lit(":443$")), F.lit("")
+        )
+        path = F.regexp_replace(F.regexp_replace(p["path"], "/{2,}", "/"), "(?<=.)/$", "")
+        path = F.when(p["path"] == "", F.lit("/")).otherwise(path)
+        query = F.when(p["query"] == "", F.lit("")).otherwise(_clean_query(p["query"], strip_tracking))
+        return F.concat(scheme, F.lit("://"), host, path, let(query, lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q))))
+
+    return F.when(u.isNotNull(), let(parts, assemble))
 
 
 def url_hash(url: Column | str) -> Column:
@@ -164,29 +173,47 @@ def matches_any(url: Column | str, patterns: list[str] | None) -> Column:
 def resolve_link(base: Column | str, href: Column | str, *, strip_tracking: bool = True) -> Column:
     """Absolute normalised form of ``href`` on page ``base``; null when it is not navigable."""
     b, raw = col(base), F.trim(col(href))
-    h = F.when(F.lower(raw).startswith("www."), F.concat(F.lit("https://"), raw)).otherwise(raw)
     dead = (
         raw.isNull()
         | (raw == "")
         | raw.rlike(r"^(#|mailto:|tel:|javascript:|data:|sms:)")
-        | F.lower(raw).rlike(r"^/(mailto|tel|javascript):")
+        | raw.rlike(r"(?i)^/(mailto|tel|javascript):")
     )
-    root = F.concat(scheme_of(b), F.lit("://"), _part(b, 2))
-    base_path = F.when(_part(b, 3) == "", F.lit("/")).otherwise(_part(b, 3))
-    folder = F.regexp_extract(base_path, r"(?s)^(.*/)", 1)
-    h_path, h_query = _part(h, 3), F.regexp_extract(h, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    merged = (
-        F.when(h_path == "", base_path)
-        .when(h_path.startswith("/"), h_path)
-        .otherwise(F.concat(folder, h_path))
+    parts = F.struct(
+        F.when(raw.rlike("(?i)^www\\."), F.concat(F.lit("https://"), raw)).otherwise(raw).alias("h"),
+        scheme_of(b).alias("scheme"),
+        _part(b, 2).alias("host"),
+        F.when(_part(b, 3) == "", F.lit("/")).otherwise(_part(b, 3)).alias("path"),
+        F.regexp_extract(b, r"(?s)^[^?#]*(\?[^#]*)", 1).alias("query"),
     )
-    query = F.when((h_path == "") & (h_query == ""), F.regexp_extract(b, r"(?s)^[^?#]*(\?[^#]*)", 1)).otherwise(h_query)
-    absolute = (
-        F.when(scheme_of(h) != "", h)
-        .when(h.startswith("//"), F.concat(scheme_of(b), F.lit(":"), h))
-        .otherwise(F.concat(root, _drop_dots(merged), query))
+
+    def join(p: Column) -> Column:
+        pieces = F.struct(
+            scheme_of(p["h"]).alias("s"), _part(p["h"], 3).alias("path"), F.regexp_extract(p["h"], r"(?s)^[^?#]*(\?[^#]*)", 1).alias("query")
+        )
+
+        def absolute(h: Column) -> Column:
+            folder = F.regexp_extract(p["path"], r"(?s)^(.*/)", 1)
+            merged = (
+                F.when(h["path"] == "", p["path"]).when(h["path"].startswith("/"), h["path"]).otherwise(F.concat(folder, h["path"]))
+            )
+            query = F.when((h["path"] == "") & (h["query"] == ""), p["query"]).otherwise(h["query"])
+            return (
+                F.when(h["s"] != "", p["h"])
+                .when(p["h"].startswith("//"), F.concat(p["scheme"], F.lit(":"), p["h"]))
+                .otherwise(F.concat(p["scheme"], F.lit("://"), p["host"], let(merged, _drop_dots), query))
+            )
+
+        return let(pieces, absolute)
+
+    absolute_url = let(parts, join)
+    return F.when(
+        ~dead,
+        let(
+            absolute_url,
+            lambda a: F.when(scheme_of(a).isin("http", "https"), normalize_url(a, strip_tracking=strip_tracking)),
+        ),
     )
-    return F.when(~dead & scheme_of(absolute).isin("http", "https"), normalize_url(absolute, strip_tracking=strip_tracking))
 
 
 def _drop_dots(path: Column) -> Column:
