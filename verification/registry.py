@@ -29,7 +29,12 @@ def query(key: str, sql: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
-        QUERIES[key] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(Tables(spark, sf_dir))
+
+        QUERIES[key] = run
         if sql is not None:
             SQL[key] = sql
         return fn
