@@ -320,17 +320,19 @@ def internal_link_delta(added: Column, removed: Column) -> Column:
 def file_changes(patch: Column, additions: Column, deletions: Column) -> Column:
     """Every change a patch shows, in fixed order."""
     sides = F.struct(patch_lines(patch, "+").alias("added"), patch_lines(patch, "-").alias("removed"))
+    # A cheap look at the patch decides which analyses can find anything at all.
+    if_any = lambda words, found: F.when(patch.rlike("(?i)" + words), found)
 
     def collect(s: Column) -> Column:
         added, removed = s["added"], s["removed"]
         found = [
-            tag_change("title", added, removed, TITLE, 2),
-            tag_change("h1", added, removed, H1, 1),
-            tag_change("canonical", added, removed, CANONICAL, 3),
-            robots_change(added, removed),
-            schema_change(added, removed),
+            if_any("title", tag_change("title", added, removed, TITLE, 2)),
+            if_any("<h1", tag_change("h1", added, removed, H1, 1)),
+            if_any("canonical", tag_change("canonical", added, removed, CANONICAL, 3)),
+            if_any("robots", robots_change(added, removed)),
+            if_any(r"ld\+json|@type", schema_change(added, removed)),
             content_reduction(additions, deletions),
-            internal_link_delta(added, removed),
+            if_any("href", internal_link_delta(added, removed)),
         ]
         return F.array_compact(F.array(*[f.cast(CHANGE) for f in found]))
 

@@ -126,16 +126,17 @@ def pr_changes(files: DataFrame, sites: DataFrame, keywords: DataFrame | None =
     ``files`` has pr_id, site_id, file_id, filename, patch, additions, deletions.
     """
     rows = files.filter((F.coalesce("patch", F.lit("")) != "") & ~cx.is_ignorable(F.col("filename")))
-    rows = rows.join(sites.select("site_id", "base_url", "framework", "path_map"), "site_id", "left")
+    # Files without a finding vanish in the explode, so routes are resolved for findings only.
+    found = rows.select(
+        "pr_id", "site_id", "file_id", "filename",
+        F.posexplode(cx.file_changes(F.col("patch"), F.col("additions"), F.col("deletions"))).alias("pos", "c"),
+    ).join(sites.select("site_id", "base_url", "framework", "path_map"), "site_id", "left")
     strip = lambda x: F.regexp_replace(x, "^/+|/+$", "")
     none = F.create_map().cast("map<string,string>")
     explicit = F.try_element_at(F.transform_keys(F.coalesce("path_map", none), lambda k, v: strip(k)), strip(F.col("filename")))
-    rows = rows.withColumn("affected_path", F.coalesce(explicit, cx.route_of(F.col("filename"), F.col("framework"))))
+    found = found.withColumn("affected_path", F.coalesce(explicit, cx.route_of(F.col("filename"), F.col("framework"))))
     url = normalize_url(F.concat(F.regexp_replace("base_url", "/+$", ""), F.col("affected_path")))
-    found = rows.select(
-        "pr_id", "site_id", "file_id", "filename", url.alias("affected_url"),
-        F.posexplode(cx.file_changes(F.col("patch"), F.col("additions"), F.col("deletions"))).alias("pos", "c"),
-    )
+    found = found.withColumn("affected_url", url).drop("base_url", "framework", "path_map", "affected_path")
     if keywords is not None:
         side = keywords.select("site_id", F.col("url").alias("affected_url"), "keywords")
         found = found.join(side, ["site_id", "affected_url"], "left").withColumn("c", cx.refine_with_keywords(F.col("c"), F.col("keywords")))

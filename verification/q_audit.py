@@ -43,7 +43,7 @@ VIEWS["signal"] = """
 
 def signals(t):
     split = lambda c, sep: F.filter(F.split(c, sep), lambda x: x != "")
-    return t.signal.withColumns(
+    return t.spread(t.signal).withColumns(
         {
             "redirect_chain": split("chain", r"\|"),
             "structured_data_types": split("types", ","),
@@ -263,16 +263,20 @@ def _(t):
 
 # ── extraction of the supplied pages ─────────────────────────────────────────
 def documents(t):
-    return t.pages.withColumn("base_domain", urls.domain_of("url"))
+    return t.spread(t.pages).withColumn("base_domain", urls.domain_of("url"))
 
 
 _strip = lambda e: f"regexp_replace(regexp_replace(regexp_replace({e}, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g')"
 _words = lambda e: f"len(list_filter(string_split({_strip(e)}, ' '), lambda w: w <> ''))"
 _dec = lambda e: f"trim(replace(replace(replace({e}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
+# A thin article inside a page with much more text outside it is only a fragment: the whole body counts.
+_ARTICLE = "regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's')"
+_REST = "regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<nav>.*?</nav>|<footer>.*?(</footer>|$)', ' ', 'gs')"
+_plain = lambda e: _dec(_strip(e))
 common(
     "page_signal",
     f"""SELECT page_id, url, {_dec("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, {_dec("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
-          len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS internal_link_count, {_words("regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's')")} AS word_count, {_words("regexp_extract(html, '<body>(.*)$', 1, 's')")} AS raw_word_count FROM pages""",
+          len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS internal_link_count, CASE WHEN length({_plain(_ARTICLE)}) < 300 AND length({_plain(_REST)}) >= 3 * greatest(length({_plain(_ARTICLE)}), 1) THEN {_words(_REST)} ELSE {_words(_ARTICLE)} END AS word_count, {_words("regexp_extract(html, '<body>(.*)$', 1, 's')")} AS raw_word_count FROM pages""",
 )
 SIGNALS = ("page_id", "title", "h1", "lang", "internal_link_count", "word_count", "raw_word_count")
 
@@ -311,7 +315,7 @@ VIEWS["ld_page"] = """
     """SELECT p_partkey AS page_id, concat(CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat('Product,Offer,', p_type, ',') END, p_brand, ',Person') AS types, p_partkey % 7 = 0 AS invalid FROM part""",
 )
 def _(t):
-    out = html.extract_pages(t.ld_page.withColumn("base_domain", F.lit("shop.test")))
+    out = html.extract_pages(t.spread(t.ld_page).withColumn("base_domain", F.lit("shop.test")))
     return out.select("page_id", F.array_join("structured_data_types", ",").alias("types"), F.col("structured_data_invalid").alias("invalid"))
 
 
@@ -330,7 +334,7 @@ common(
 
 @query("jn08_link_counts", "SELECT * FROM {link_count}")
 def _(t):
-    edges = t.edge.select("url", urls.normalize_url("link").alias("target"))
+    edges = t.spread(t.edge).select("url", urls.normalize_url("link").alias("target"))
     pages = t.page.withColumn("final_url", F.col("url"))
     return plan.link_counts(edges, pages).join(t.page.select("url", "page_id"), "url").select("page_id", "broken_link_count", "inbound_internal_links")
 

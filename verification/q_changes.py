@@ -101,7 +101,7 @@ def sites(t):
 
 
 def log(t):
-    return webhooks.delivery_log(t.push)
+    return webhooks.delivery_log(t.spread(t.push))
 
 
 def scoped(t):
@@ -110,7 +110,7 @@ def scoped(t):
 
 @query("src08_changed_files", "SELECT k AS event_id, array_to_string(files, ' ') AS files FROM {push_parsed}")
 def _(t):
-    return webhooks.parse(t.push).select("event_id", F.array_join(webhooks.changed_files(), " ").alias("files"))
+    return webhooks.parse(t.spread(t.push)).select("event_id", F.array_join(webhooks.changed_files(), " ").alias("files"))
 
 
 @query(
@@ -148,18 +148,18 @@ VIEWS["file_use"] = f"SELECT l_orderkey * 10 + l_linenumber AS use_id, {pick('l_
 
 @query("chg01_file_to_route", "SELECT u.use_id, u.path, f.route, f.flat FROM {file_use} u JOIN {file_fact} f ON f.path = u.path")
 def _(t):
-    return t.file_use.select("use_id", "path", cx.route_of(F.col("path")).alias("route"), cx.route_of(F.col("path"), F.lit("remix")).alias("flat"))
+    return t.spread(t.file_use).select("use_id", "path", cx.route_of(F.col("path")).alias("route"), cx.route_of(F.col("path"), F.lit("remix")).alias("flat"))
 
 
 @query("chg02_file_flags", "SELECT u.use_id, f.ignored = 1 AS ignorable, f.shared = 1 AS shared FROM {file_use} u JOIN {file_fact} f ON f.path = u.path")
 def _(t):
-    return t.file_use.select("use_id", cx.is_ignorable(F.col("path")).alias("ignorable"), cx.has_global_impact(F.col("path")).alias("shared"))
+    return t.spread(t.file_use).select("use_id", cx.is_ignorable(F.col("path")).alias("ignorable"), cx.has_global_impact(F.col("path")).alias("shared"))
 
 
 @query("udf02_route_resolver", "SELECT use_id, concat('/x/', path) AS route FROM {file_use}")
 def _(t):
     cx.register_resolver("mirror", lambda path: F.concat(F.lit("/x/"), path))
-    return t.file_use.select("use_id", cx.route_of(F.col("path"), F.lit("mirror")).alias("route"))
+    return t.spread(t.file_use).select("use_id", cx.route_of(F.col("path"), F.lit("mirror")).alias("route"))
 
 
 @query(
@@ -211,7 +211,7 @@ common(
 
 
 def raw_changes(t):
-    return plan.pr_changes(t.pr_file.drop("pid"), sites(t))
+    return plan.pr_changes(t.spread(t.pr_file.drop("pid")), sites(t))
 
 
 @query(
@@ -258,7 +258,7 @@ def refined(t):
     word = F.when(F.col("site_id") % 3 == 0, "old title").when(F.col("site_id") % 3 == 1, "new")
     pages = t.repo_site.withColumn("route", F.explode(F.array(F.lit("/about"), F.lit("/blog")))).filter("site_id % 3 <> 2")
     keywords = pages.select("site_id", F.concat(F.regexp_replace("base_url", "/$", ""), "route").alias("url"), F.array(word).alias("keywords"))
-    return plan.pr_changes(t.pr_file.drop("pid"), sites(t), keywords)
+    return plan.pr_changes(t.spread(t.pr_file.drop("pid")), sites(t), keywords)
 
 
 @query("chg09_keyword_refinement", f"SELECT pr_id, file_id, change_type, direction, {r('weight', 6)} AS weight, description FROM {{refined}}")

@@ -191,7 +191,7 @@ common(
 
 # ── Spark side ───────────────────────────────────────────────────────────────
 def text_pages(t):
-    return t.intent_page.withColumns(
+    return t.spread(t.intent_page).withColumns(
         {"structured_data_types": F.array("schema_type"), "content_hash": F.sha2("content_key", 256)}
     ).drop("schema_type", "content_key")
 

@@ -22,6 +22,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return frame(self.spark, self.sf_dir, name)
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Local runs only: a supplied table is one file, so one task; use every core for costly rows."""
+        context = self.spark.sparkContext
+        return df.repartition(context.defaultParallelism) if context.master.startswith("local") else df
+
 
 def query(key: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``key`` with its SQL check."""
