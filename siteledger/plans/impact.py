@@ -185,8 +185,8 @@ def selection_preview(
     """Which pages would get a model call, and why, in impact order per site.
 
     Pages are ranked by best impact where the site has scores, else by page priority. The budget is
-    the first ``limit`` selected pages of a site in rank order: the running count of the reference
-    loop becomes the rank of the last page inside the budget, found with a per-site top-k.
+    the first ``limit`` selected pages of a site in rank order: instead of a running
+    count over a whole site, the rank of the last page inside the budget is found with a per-site top-k.
     """
     best = scores.groupBy("page_id").agg(F.max("overall_priority").alias("impact_score"))
     flags = profiles.filter("intent_mismatch").select("page_id", F.lit(True).alias("intent_mismatch"))

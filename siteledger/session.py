@@ -25,6 +25,8 @@ def build_session(name: str = "siteledger", *, master: str | None = None, **conf
         # Extraction holds whole documents; small Arrow batches keep the Python side flat.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.ui.showConsoleProgress": "false",
+        # Materialised frames go away once nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -33,15 +35,19 @@ def build_session(name: str = "siteledger", *, master: str | None = None, **conf
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a fresh local one only where none is configured."""
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
+        if current is None:
+            context.setCheckpointDir(configured)
         return configured
-    if spark.sparkContext.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set(CHECKPOINT_KEY, path)
-        return path
-    raise RuntimeError(f"Set {CHECKPOINT_KEY} to a folder every executor can reach.")
+    if current is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"Set {CHECKPOINT_KEY} to a folder every executor can reach.")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        current = context.getCheckpointDir()
+    return current
 
 
 def cut(df: DataFrame) -> DataFrame:

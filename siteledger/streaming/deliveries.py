@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,6 +18,16 @@ QUEUED_LIMIT = 180
 RUNNING_LIMIT = 1200
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None when nothing was ever written there; other failures are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 # ── deliveries processed once ────────────────────────────────────────────────
 def once_per_delivery(stream: DataFrame, *, key: str = "delivery_id", time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Drop redeliveries; state for a key is kept only until the watermark passes it."""
@@ -29,11 +40,8 @@ def append_new(path: str, key: str = "delivery_id"):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            stored = spark.read.parquet(path).select(key)
-        except Exception:  # first batch: nothing stored yet
-            stored = None
-        out = fresh if stored is None else fresh.join(stored, key, "left_anti")
+        known = stored(spark, path)
+        out = fresh if known is None else fresh.join(known.select(key), key, "left_anti")
         cut(out).write.mode("append").parquet(path)
 
     return write
@@ -49,9 +57,8 @@ def resync(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         merged = cut(merge_search_days(batch))
-        try:
-            target = spark.read.parquet(path)
-        except Exception:  # first batch: nothing stored yet
+        target = stored(spark, path)
+        if target is None:
             write_facts(merged, path)
             return
         days = merged.select("date").distinct()
