@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import ROW, WORD, Scratch, with_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
@@ -23,7 +23,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     """Words each source is to give. One row per source, so the windows here hold the list of sources and nothing more.
 
     A source gets its weight's share of all words, at most ``max_repeat`` times its size; what it cannot take goes to the
-    others by weight. In order of size / weight the first sources are the full ones, so one pass over that order finds the level.
+    others by weight. In order of size / weight the first sources are the full ones, so one pass over that order finds the level. If the first k
+    were full, the level of the others would rise with k up to the right k and fall beyond it, so the right one is the greatest.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -35,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     per = per.withColumn("level", level)
-    final = F.min(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("level"))).over(everything)
+    final = F.max(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("level"))).over(everything)
     return per.withColumn("target", F.round(F.least("cap", F.coalesce(final, F.lit(float("inf"))) * F.col("weight")), 6)).drop("level", "cap")
 
 
@@ -100,3 +101,11 @@ def mix_sources(
     rest = placed.filter("cut is null or bin <> cut").withColumn("drawn", F.coalesce(F.col("bin") < F.col("cut"), F.lit(False)).cast("long"))
     out = edge.unionByName(rest).withColumn("copies", (F.col("certain") + F.col("drawn")).cast("long"))
     return out.select("row", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row with all its columns, as often as it is taken."""
+    rows = with_rows(docs, Scratch(docs.sparkSession, "repeat"))
+    taken = mix_sources(rows, row_col=ROW, **options).filter("copies > 0").select(F.col("row").alias(ROW), F.col("copies").alias("_copies"))
+    joined = rows.join(taken, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return joined.drop(ROW, "_copies", "_copy")
