@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .best_fit import packed_rows
 from .binary_pieces import binary_pieces
 from .block_naming import exact_groups
+from .golay_simhash import near_groups
+from .hyper_language import identify_languages
 from .mixing import mix_sources
 from .registry import QUERIES, SQL, query
+from .repetition import repetition_rules
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -31,7 +34,7 @@ WITH d AS (
   FROM ordered
 ), targets AS (
   SELECT source, source_size, n_docs,
-         round(least(cap, coalesce((SELECT min(level) FROM levels WHERE cap / weight > level), 'inf'::DOUBLE) * weight), 6) AS target
+         round(least(cap, coalesce((SELECT max(level) FROM levels WHERE cap / weight > level), 'inf'::DOUBLE) * weight), 6) AS target
   FROM levels
 ), rated AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS certain FROM targets
@@ -57,6 +60,11 @@ def mixed(documents: DataFrame) -> DataFrame:
     return mix_sources(documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_language_id")
+def languages(documents: DataFrame) -> DataFrame:
+    return identify_languages(documents)
+
+
 @query(
     "op6_exact_dedup",
     r"""
@@ -83,3 +91,47 @@ def matrix_rows(documents: DataFrame) -> DataFrame:
 def pieces(documents: DataFrame) -> DataFrame:
     rows = binary_pieces(documents)
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+@query(
+    "op9_quality_rules",
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+  SELECT doc_id, len(l) - len(list_distinct(l)) AS n_dup_lines
+  FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+), words AS (
+  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM d
+), runs AS (
+  SELECT doc_id, i, 3 AS k, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS g FROM words QUALIFY i + 2 <= n
+  UNION ALL
+  SELECT doc_id, i, 8, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) FROM words QUALIFY i + 7 <= n
+  UNION ALL
+  SELECT doc_id, i, 101, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 100 FOLLOWING) FROM words QUALIFY i + 100 <= n
+), named AS (
+  SELECT doc_id, k, i, count(*) OVER (PARTITION BY doc_id, k, g) AS n FROM runs
+), hit AS (
+  SELECT doc_id, k, count(DISTINCT p) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM named WHERE n > 1) GROUP BY doc_id, k
+), base AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, n_dup_lines,
+         coalesce(a.n, 0) AS n_repeat_words, coalesce(b.n, 0) AS n_covered_words, c.n IS NOT NULL AS too_long
+  FROM d JOIN lines USING (doc_id) LEFT JOIN hit a ON a.doc_id = d.doc_id AND a.k = 3 LEFT JOIN hit b ON b.doc_id = d.doc_id AND b.k = 8
+  LEFT JOIN hit c ON c.doc_id = d.doc_id AND c.k = 101
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 30 * n_words AND NOT too_long AS kept
+FROM base
+""",
+)
+def rules(documents: DataFrame) -> DataFrame:
+    rows = repetition_rules(documents)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "base_failed", "kept")
+
+
+@query("op10_near_dedup")
+def near_copies(documents: DataFrame) -> DataFrame:
+    rows = near_groups(documents)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
