@@ -13,6 +13,7 @@ from .hyper_language import identify_languages
 from .mixing import mix_sources
 from .registry import QUERIES, SQL, query
 from .repetition import repetition_rules
+from .secrets import find_secrets, span_text
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -60,6 +61,62 @@ def mixed(documents: DataFrame) -> DataFrame:
     return mix_sources(documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query(
+    "op4_secret_scan",
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), patterns(o, kind, p, grp, least, width, most) AS (
+  VALUES (0, 'assign', '(?i:(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 2, 6, 0, 0.0),
+         (1, 'access', 'AKIA[A-Z0-9]+', 0, 20, 0, 0.0),
+         (2, 'hex', '[0-9a-f]+', 0, 24, 0, 0.0),
+         (3, 'entropy', '[A-Za-z0-9+/_=-]{20,}', 0, 0, 20, 20 * (log2(20) - 3.75)),
+         (4, 'entropy_hex', '[0-9A-Fa-f]{24,}', 0, 0, 24, 24 * (log2(24) - 3.0))
+), hits AS (
+  SELECT doc_id, o, kind, least, width, most, regexp_extract_all(t, p, 0) AS m,
+         CASE WHEN grp = 2 THEN regexp_extract_all(t, p, 2) ELSE regexp_extract_all(t, p, 0) END AS v, string_split_regex(t, p) AS g
+  FROM d, patterns WHERE regexp_matches(t, p)
+), one AS (
+  SELECT doc_id, o, kind, least, width, most, k, m[k] AS m, v[k] AS v,
+         (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM hits)
+), base AS (
+  SELECT doc_id, o, kind, s, s + length(m) AS e FROM one WHERE o < 3 AND length(v) >= least
+), windows AS (
+  SELECT doc_id, o, kind, s, m, width, most, unnest(range(0, length(m) - width + 1)) AS j FROM one
+  WHERE o >= 3 AND NOT regexp_matches(m, '^[^0-9]*$|^[^A-Za-z]*$|^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^/?([a-z_-]+[0-9]{0,4}/){2,}|(?i:example|sample|placeholder|dummy|changeme|xxxx|abcdefghijklmnop|0123456789abcdef)')
+), added AS (
+  SELECT doc_id, o, kind, s + min(j) AS s, s + max(j) + any_value(width) AS e FROM windows
+  WHERE list_sum(list_transform(map_values(list_histogram(string_split(substr(m, j + 1, width), ''))), lambda n: n * log2(n))) <= most + 1e-8
+  GROUP BY doc_id, o, kind, s
+), spans AS (
+  SELECT * FROM base UNION ALL SELECT * FROM added
+), joined AS (
+  SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS a
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM d LEFT JOIN joined USING (doc_id)
+""",
+)
+def secrets(documents: DataFrame) -> DataFrame:
+    found = find_secrets(documents)
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        span_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 @query("op5_language_id")
 def languages(documents: DataFrame) -> DataFrame:
     return identify_languages(documents)
