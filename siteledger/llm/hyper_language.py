@@ -15,7 +15,8 @@ from .common import ROW, Scratch, columns, slices, with_rows
 DIMENSIONS = 512
 SEED = 20240229
 UNKNOWN = "und"
-COUNT_CELLS = 4_000_000  # counts (texts times n-grams) held at once
+COUNT_CELLS = 2_000_000  # counts (texts times n-grams) held at once
+SLICE_BYTES = 2 << 20  # text looked at together; the arrays of a slice take some forty times as much
 NGRAM_ROWS = 8192  # n-gram vectors made at once
 DENSE_CODES = 1 << 24
 
@@ -109,7 +110,7 @@ class Trigrams:
 
 def language_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum of n-gram vectors per language and batch; exact integers, so the order of adding does not matter."""
-    for batch in slices(batches, 0):
+    for batch in slices(batches, 0, SLICE_BYTES):
         texts, langs = ([x for x in c.to_pylist()] for c in batch.columns)
         grams = Trigrams(texts)
         names, of = np.unique(np.array(langs, object).astype(str), return_inverse=True)
@@ -180,7 +181,7 @@ def predict_language(docs: DataFrame, prototypes: Prototypes, *, text_col: str =
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, SLICE_BYTES):
             names, scores = prototypes.predict([x or "" for x in batch.column(at).to_pylist()])
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
