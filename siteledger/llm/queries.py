@@ -10,6 +10,7 @@ from .binary_pieces import binary_pieces
 from .block_naming import exact_groups
 from .golay_simhash import near_groups
 from .hyper_language import identify_languages
+from .lm_scoring import score_texts
 from .mixing import mix_sources
 from .registry import QUERIES, SQL, query
 from .repetition import repetition_rules
@@ -18,6 +19,11 @@ from .secrets import find_secrets, span_text
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op1_lm_scores")
+def lm_scores(documents: DataFrame) -> DataFrame:
+    return score_texts(documents)
+
+
 @query(
     "op3_mix_sources",
     r"""

@@ -23,6 +23,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def split_pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Texts cut at single spaces: pieces with a dictionary of the distinct ones, and where each text's pieces start."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten().dictionary_encode(), bounds - bounds[0]
+
+
 class ByteBPE:
     """The ids of the ``tokenizers`` file without added special tokens; the file's own added tokens keep their ids.
 
@@ -54,15 +61,17 @@ class ByteBPE:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids start (with the end of the last)."""
+        return self.encode_pieces(texts, *split_pieces(texts))
+
+    def encode_pieces(self, texts: pa.Array, codes: pa.DictionaryArray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the pieces that ``split_pieces`` gives."""
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
-        codes = lists.flatten().dictionary_encode()
         pieces, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        bounds -= bounds[0]
-        odd = np.array([not p or p[0].isspace() or p[-1].isspace() or any(a in p for a in self.added) for p in pieces], bool)
+        odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in pieces], bool)
+        for name in self.added:
+            odd |= pc.match_substring(codes.dictionary, name).to_numpy(zero_copy_only=False)
         whole = np.add.reduceat(odd[code], bounds[:-1]) > 0
 
         # All good pieces as one text; where a piece ends follows from the widths of the ids.
