@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .registry import QUERIES, SQL, query
 from .repetition import repetition_rules
 from .secrets import find_secrets, span_text
+from .substring_dedup import remove_repeats
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -24,6 +25,15 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     return score_texts(documents)
 
 
+@query("op2_substring_dedup")
+def substrings(documents: DataFrame) -> DataFrame:
+    rows = remove_repeats(documents)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query(
     "op3_mix_sources",
     r"""
