@@ -162,6 +162,8 @@ def find_repeats(length: int, most: int | None):
     def solve(held: list[tuple]) -> pa.RecordBatch:
         doc, row, start = (np.array([h[i] for h in held], np.int64) for i in (1, 2, 3))
         own, offset = repeated_starts([h[4] for h in held], doc, row, start, length)
+        if not len(own):
+            return _stretches(row[:0], start[:0], start[:0])
         order = np.lexsort((offset, own))
         own, offset = own[order], offset[order]
         new = np.ones(len(own), bool)
