@@ -19,8 +19,10 @@ def _byte_of() -> dict[str, int]:
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + lengths[i]`` one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+    ends = np.cumsum(lengths, dtype=np.int32)
+    out = np.repeat((starts - (ends - lengths)).astype(np.int32), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def split_pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -49,8 +51,8 @@ class ByteBPE:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         self.added = tuple(added)
-        self.size = len(spec["model"]["vocab"])
-        self.width = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)  # bytes of each id
+        self.size = max([*ranks.values(), *added.values()]) + 1
+        self.width = np.zeros(self.size, np.int64)  # bytes of each id
         for token, i in ranks.items():
             self.width[i] = len(token)
         self._whole = lambda text: encoding.encode(text, allowed_special="all")
@@ -67,20 +69,20 @@ class ByteBPE:
         """The same from the pieces that ``split_pieces`` gives."""
         n = len(texts)
         if not n:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        pieces, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-        odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in pieces], bool)
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        pieces, code = codes.dictionary, codes.indices.to_numpy()
+        size = pc.binary_length(pieces).to_numpy()
+        odd = (size == 0) | (pc.binary_length(pc.utf8_trim_whitespace(pieces)).to_numpy() < size)
         for name in self.added:
-            odd |= pc.match_substring(codes.dictionary, name).to_numpy(zero_copy_only=False)
+            odd |= pc.match_substring(pieces, name).to_numpy(zero_copy_only=False)
         whole = np.add.reduceat(odd[code], bounds[:-1]) > 0
 
         # All good pieces as one text; where a piece ends follows from the widths of the ids.
         good = np.flatnonzero(~odd)
-        joined = [" " + pieces[i] for i in good]
-        flat = np.array(self._plain("".join(joined)), np.uint32)
-        ends = np.cumsum(np.array([len(p.encode()) for p in joined], np.int64)) if joined else np.zeros(0, np.int64)
-        cut = np.searchsorted(np.cumsum(self.width[flat]), ends) + 1
-        start, length = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        joined = " ".join(["", *pieces.take(pa.array(good)).to_pylist()])
+        flat = np.array(self._plain(joined), np.int32)
+        cut = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(size[good] + 1)) + 1
+        start, length = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int32)
         length[good] = np.diff(cut, prepend=0)
         start[good] = cut - length[good]
 
@@ -89,9 +91,9 @@ class ByteBPE:
         store, at = [flat], len(flat)
         piece_start, piece_length = start[code], length[code]
         for i in range(n):
-            key = texts[i].as_py() or "" if whole[i] else pieces[code[bounds[i]]]
+            key = texts[i].as_py() or "" if whole[i] else pieces[int(code[bounds[i]])].as_py()
             if key not in firsts:
-                own = np.array((self._whole if whole[i] else self._plain)(key), np.uint32)
+                own = np.array((self._whole if whole[i] else self._plain)(key), np.int32)
                 store.append(own)
                 firsts[key] = (at, len(own))
                 at += len(own)
@@ -99,7 +101,7 @@ class ByteBPE:
                 piece_length[bounds[i] : bounds[i + 1]] = 0
             piece_start[bounds[i]], piece_length[bounds[i]] = firsts[key]
         ids = np.concatenate(store)[ragged(piece_start, piece_length)]
-        per_text = np.add.reduceat(piece_length, bounds[:-1])
+        per_text = np.add.reduceat(piece_length, bounds[:-1], dtype=np.int64)
         return ids, np.concatenate([[0], np.cumsum(per_text)])
 
 
