@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE_BYTES, Scratch, columns, shuffle_partitions
+from .common import SPACE_BYTES, Scratch, columns, shuffle_partitions, slices, with_rows
 
 BLOCK = 8192
 MEMBER = pa.struct(
@@ -26,7 +26,7 @@ def cut_blocks(size: int):
     """Blocks of each text without white space; a block that repeats inside a batch is sent once, with its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             places: dict[bytes, list[dict]] = {}
             for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
@@ -109,8 +109,6 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    from .common import with_rows
-
-    rows = with_rows(docs, Scratch(docs.sparkSession, "exact-dedup"))
-    kept = exact_groups(rows, id_col=id_col, text_col=text_col, row_col=ROW).filter("kept").select(F.col("row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    rows, row = with_rows(docs, Scratch(docs.sparkSession, "exact-dedup"))
+    kept = exact_groups(rows, id_col=id_col, text_col=text_col, row_col=row).filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from siteledger.session import checkpoint_dir
 # The characters that part words, and the pattern of a word.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
-ROW = "_row"
 
 
 def columns(docs: DataFrame, *names: str) -> DataFrame:
@@ -50,9 +50,27 @@ class Scratch:
                 hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def with_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The table written once with a row number, so that rows stay apart where ids are null or repeated."""
-    return scratch.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def spare_name(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the table has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """The table with a row number, and that column's name; rows stay apart where ids are null or repeated.
+
+    Rows of files keep their number from one scan to the next, as the files are cut in the same places. Anything else is
+    written once.
+    """
+    name = spare_name(docs, "_row")
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    try:
+        docs.select("_metadata.row_index").schema  # noqa: B018  files read directly have it
+    except AnalysisException:
+        return scratch.keep(numbered, "rows"), name
+    return numbered, name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Scratch, columns, shuffle_partitions, slices, with_rows
+from .common import Scratch, columns, shuffle_partitions, slices, with_rows
 from .golay import around, nearest
 from .graph import components
 
@@ -248,6 +248,6 @@ def near_groups(
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns."""
-    rows = with_rows(docs, Scratch(docs.sparkSession, "near-dedup"))
-    kept = near_groups(rows, id_col=id_col, text_col=text_col, row_col=ROW).filter("kept").select(F.col("row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    rows, row = with_rows(docs, Scratch(docs.sparkSession, "near-dedup"))
+    kept = near_groups(rows, id_col=id_col, text_col=text_col, row_col=row).filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

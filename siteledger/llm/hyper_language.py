@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Scratch, columns, slices, with_rows
+from .common import columns, slices, spare_name
 
 DIMENSIONS = 512
 SEED = 20240229
@@ -170,24 +170,22 @@ def fit_prototypes(labelled: DataFrame, *, text_col: str = "text", lang_col: str
     return Prototypes({r.lang: r.profile for r in per_lang.toLocalIterator()})
 
 
-def predict_language(docs: DataFrame, prototypes: Prototypes, *, text_col: str = "text") -> DataFrame:
-    """The rows with ``lang_pred`` and ``score`` added; only the text is looked at.
+def predict_language(docs: DataFrame, prototypes: Prototypes, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The rows with ``pred_col`` and ``score_col`` added; only the text is looked at.
 
     The score is (1 + cosine) / 2 with the nearest prototype, both taken around the mean of the prototypes. A text that is null
     or has no letter is ``und`` with score 0, as is every text where no language was learned. Ties go to the first name.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept])
-    at = kept.index(text_col)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at, SLICE_BYTES):
             names, scores = prototypes.predict([x or "" for x in batch.column(at).to_pylist()])
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, pred_col, score_col])
 
-    schema = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return source.mapInArrow(run, source.select(schema.alias("s")).select("s.*").schema)
+    schema = docs.withColumns({pred_col: F.lit("").cast("string"), score_col: F.lit(0.0)}).schema
+    return docs.mapInArrow(run, schema)
 
 
 def split_column(id_col: str, modulus: int, chosen: int):
@@ -207,6 +205,6 @@ def keep_known_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """Rows whose text has a language, with all their columns; rejected are texts that are null or have no letter."""
     source = columns(docs, id_col, text_col, lang_col)
     prototypes = fit_prototypes(source.filter(~split_column(id_col, 3, 1)), text_col=text_col, lang_col=lang_col)
-    rows = with_rows(docs, Scratch(docs.sparkSession, "language"))
-    found = predict_language(rows.select(ROW, F.col(f"`{text_col}`").cast("string").alias("text")), prototypes)
-    return rows.join(found.filter(F.col("lang_pred") != UNKNOWN).select(ROW), ROW, "left_semi").drop(ROW)
+    pred, score = spare_name(docs, "lang_pred"), spare_name(docs, "lang_score")
+    found = predict_language(docs, prototypes, text_col=text_col, pred_col=pred, score_col=score)
+    return found.filter(F.col(pred) != UNKNOWN).drop(pred, score)

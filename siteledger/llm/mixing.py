@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WORD, Scratch, with_rows
+from .common import WORD, Scratch, spare_name, with_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
@@ -105,7 +105,8 @@ def mix_sources(
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row with all its columns, as often as it is taken."""
-    rows = with_rows(docs, Scratch(docs.sparkSession, "repeat"))
-    taken = mix_sources(rows, row_col=ROW, **options).filter("copies > 0").select(F.col("row").alias(ROW), F.col("copies").alias("_copies"))
-    joined = rows.join(taken, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return joined.drop(ROW, "_copies", "_copy")
+    rows, row = with_rows(docs, Scratch(docs.sparkSession, "repeat"))
+    copies, copy = spare_name(rows, "_copies"), spare_name(rows, "_copy")
+    taken = mix_sources(rows, row_col=row, **options).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    joined = rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return joined.drop(row, copies, copy)
