@@ -28,11 +28,35 @@ def suffix_array(text: list[int]) -> list[int]:
     previous = [-1] * n
     done = bytearray(n)
 
+    def open_group(g: int, part: list[int]) -> None:
+        """A new group just behind ``g`` for members that leave it."""
+        new, nxt = len(members), after[g]
+        members.append(part)
+        size.append(len(part))
+        size[g] -= len(part)
+        for p in part:
+            group[p] = new
+        after.append(nxt)
+        before.append(g)
+        after[g] = new
+        if nxt >= 0:
+            before[nxt] = new
+
     current = len(values) - 1
     while current >= 0:
-        if size[current]:
+        here = members[current]
+        if size[current] == 1 == len(here):  # most groups, in the end
+            i = here[0]
+            p = i - 1
+            while p >= 0 and done[p]:
+                p = previous[p]
+            previous[i] = p
+            done[i] = 1
+            if p >= 0 and size[g := group[p]] > 1:  # alone in its group, it would only get the same place again
+                open_group(g, [p])
+        elif size[current]:
             pointed: dict[int, int] = {}
-            for i in members[current]:
+            for i in here:
                 if group[i] != current:
                     continue  # it has moved on to another group
                 p = i - 1
@@ -42,28 +66,13 @@ def suffix_array(text: list[int]) -> list[int]:
                 done[i] = 1
                 if p >= 0:
                     pointed[p] = pointed.get(p, 0) + 1
-            if len(pointed) == 1:
-                ((p, _),) = pointed.items()
-                if size[group[p]] == 1:
-                    pointed = {}  # alone in its group: a new one would take the same place
-            if pointed:
-                moved: dict[tuple[int, int], list[int]] = {}
-                for p in sorted(pointed):
+            moved: dict[tuple[int, int], list[int]] = {}
+            for p in sorted(pointed):
+                if size[group[p]] > 1:
                     moved.setdefault((-pointed[p], group[p]), []).append(p)
-                for times, g in sorted(moved):
-                    new = len(members)
-                    part = moved[times, g]
-                    members.append(part)
-                    size.append(len(part))
-                    size[g] -= len(part)
-                    for p in part:
-                        group[p] = new
-                    nxt = after[g]
-                    after.append(nxt)
-                    before.append(g)
-                    after[g] = new
-                    if nxt >= 0:
-                        before[nxt] = new
+            for times, g in sorted(moved):
+                if size[g] > len(moved[times, g]):  # all that is left of a group may stay where it is
+                    open_group(g, moved[times, g])
         current = before[current]
 
     # First place of each group.
