@@ -48,7 +48,8 @@ IGNORABLE = "(?i)" + "|".join(
         r"(^|/)(migrations?|alembic)/",
     ]
 )
-ROUTE_EXTENSIONS = r"(?i)\.(tsx|jsx|ts|js|vue|svelte|astro|html|htm|md|mdx|markdown|php|liquid|njk|hbs)$"
+ROUTE_ENDINGS = ("tsx", "jsx", "ts", "js", "vue", "svelte", "astro", "html", "htm", "md", "mdx", "markdown", "php", "liquid", "njk", "hbs")
+ROUTE_EXTENSIONS = rf"(?i)\.({'|'.join(ROUTE_ENDINGS)})$"
 INDEX_NAMES = ("index", "page", "_index", "home", "default")
 OUTPUT_FOLDERS = ("public", "dist", "build", "static", "www", "src", "site", "_site")
 MAX_TARGETS = 200

@@ -50,39 +50,53 @@ SCHEMA_INTENTS = (
 # Query words and phrases per intent; the order breaks ties.
 QUERY_BANKS = {
     "transactional": (
-        "buy book booking order purchase reserve booked hire rent download subscribe register apply price prices "
-        "pricing cost cheap discount offer deal tickets ticket checkout",
+        (
+            "buy", "book", "booking", "order", "purchase", "reserve", "booked", "hire", "rent", "download", "subscribe",
+            "register", "apply", "price", "prices", "pricing", "cost", "cheap", "discount", "offer", "deal", "tickets", "ticket",
+            "checkout",
+        ),
         ("sign up", "best price", "book online", "buy online", "order online", "book now"),
     ),
     "commercial": (
-        "best top review reviews compare comparison vs versus alternative alternatives recommended rating ranking list",
+        (
+            "best", "top", "review", "reviews", "compare", "comparison", "vs", "versus", "alternative", "alternatives",
+            "recommended", "rating", "ranking", "list",
+        ),
         ("best of", "vs.", "compared to"),
     ),
     "local": (
-        "near nearby directions address location map local around",
+        (
+            "near", "nearby", "directions", "address", "location", "map", "local", "around",
+        ),
         ("near me", "close to me", "in my area", "opening hours"),
     ),
     "informational": (
-        "how what when where why who which guide tutorial learn understand explain definition meaning history about "
-        "timings hours schedule",
+        (
+            "how", "what", "when", "where", "why", "who", "which", "guide", "tutorial", "learn", "understand", "explain",
+            "definition", "meaning", "history", "about", "timings", "hours", "schedule",
+        ),
         ("how to", "what is", "why is", "how do", "how much time"),
     ),
     "navigational": (
-        "login account website official site portal contact",
+        (
+            "login", "account", "website", "official", "site", "portal", "contact",
+        ),
         ("sign in", "log in", "customer portal"),
     ),
 }
 # Page-type vocabulary.
-COMMERCIAL_STEMS = """
-    buy order book pric cost checkout cart subscrib trial demo quot purchas reserv ticket plan packag discount shop
-""".split()
+COMMERCIAL_STEMS = [
+    "buy", "order", "book", "pric", "cost", "checkout", "cart", "subscrib", "trial", "demo", "quot", "purchas", "reserv", "ticket", "plan",
+    "packag", "discount", "shop",
+]
 COMMERCIAL_PHRASES = ("add to cart", "get started", "sign up", "buy now", "book now")
-INFORMATIONAL_STEMS = """
-    what why how guid learn histor explain overview introduc tip example mean defin faq question understand
-""".split()
+INFORMATIONAL_STEMS = [
+    "what", "why", "how", "guid", "learn", "histor", "explain", "overview", "introduc", "tip", "example", "mean", "defin", "faq",
+    "question", "understand",
+]
 INFORMATIONAL_PHRASES = ("how to", "what is", "a guide to", "everything you need")
-COMMERCIAL_SCHEMA = "product offer aggregateoffer service event".split()
-INFORMATIONAL_SCHEMA = "article blogposting newsarticle faqpage howto".split()
+COMMERCIAL_SCHEMA = ["product", "offer", "aggregateoffer", "service", "event"]
+INFORMATIONAL_SCHEMA = ["article", "blogposting", "newsarticle", "faqpage", "howto"]
 # Fixed values: (business intent, observed intent) pairs that conflict.
 MISMATCH = {
     ("transactional", "informational"): "P0",
@@ -153,7 +167,7 @@ def query_signal(query: Column | str, intent: str) -> Column:
     """Whether a query carries a token or phrase of the intent's bank."""
     q = F.lower(col(query))
     tokens, phrases = QUERY_BANKS[intent]
-    hit = F.arrays_overlap(words(q), F.array(*[F.lit(t) for t in tokens.split()]))
+    hit = F.arrays_overlap(words(q), F.array(*[F.lit(t) for t in tokens]))
     for phrase in phrases:
         hit = hit | q.contains(phrase)
     return hit

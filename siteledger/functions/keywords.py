@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from .numeric import clamp, col, dbl, lookup, rnd
 
 # Question openers, word stems, tiers and their caps, adjacent intents.
-QUESTION_WORDS = "how what when where why who which can is are does do should will has have".split()
-TRANSACTIONAL_STEMS = """
-    buy order book purchase hire rent price pricing cost checkout reserv subscrib ticket deal discount quote signup
-""".split()
-COMMERCIAL_STEMS = "best review compar versus top alternativ rating rank cheapest".split()
-LOCAL_STEMS = "near nearby direction address location local".split()
+QUESTION_WORDS = [
+    "how", "what", "when", "where", "why", "who", "which", "can", "is", "are", "does", "do", "should", "will", "has", "have",
+]
+TRANSACTIONAL_STEMS = [
+    "buy", "order", "book", "purchase", "hire", "rent", "price", "pricing", "cost", "checkout", "reserv", "subscrib", "ticket", "deal",
+    "discount", "quote", "signup",
+]
+COMMERCIAL_STEMS = ["best", "review", "compar", "versus", "top", "alternativ", "rating", "rank", "cheapest"]
+LOCAL_STEMS = ["near", "nearby", "direction", "address", "location", "local"]
 TIER_CAPS = {"primary": 3, "secondary": 5, "long_tail": 8, "semantic": 8, "question": 6}
 ADJACENT_INTENTS = {
     ("informational", "commercial"): 0.60,

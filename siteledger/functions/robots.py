@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Directives with a value, bare directives, agents whose groups apply.
-VALUED = "max-snippet max-image-preview max-video-preview unavailable_after".split()
-BARE = """
-    all index noindex follow nofollow none noarchive nosnippet noimageindex notranslate nositelinkssearchbox indexifembedded
-""".split()
+VALUED = ["max-snippet", "max-image-preview", "max-video-preview", "unavailable_after"]
+BARE = [
+    "all", "index", "noindex", "follow", "nofollow", "none", "noarchive", "nosnippet", "noimageindex", "notranslate",
+    "nositelinkssearchbox", "indexifembedded",
+]
 AGENTS = ("*", "robots", "googlebot", "googlebot-news", "google")
 
 

@@ -13,14 +13,14 @@ DEEP_PAGES = 20
 MODEL_SCORE = 45.0
 DEEP_SCORE = 75.0
 TIERS = ("rules", "statistical", "ai", "deep_ai")
-DETERMINISTIC = """
-    image_alt image_dimensions viewport empty_headings heading_depth canonical_multiple meta_description_multiple
-    title_multiple external_links hreflang url_structure http_status robots redirect_chain broken_links
-""".split()
-CONTEXTUAL = """
-    title meta_description h1 heading_structure content duplicate_content duplicate_title duplicate_meta_description
-    search_intent_mismatch keyword_targeting ctr_opportunity cta_visibility structured_data
-""".split()
+DETERMINISTIC = [
+    "image_alt", "image_dimensions", "viewport", "empty_headings", "heading_depth", "canonical_multiple", "meta_description_multiple",
+    "title_multiple", "external_links", "hreflang", "url_structure", "http_status", "robots", "redirect_chain", "broken_links",
+]
+CONTEXTUAL = [
+    "title", "meta_description", "h1", "heading_structure", "content", "duplicate_content", "duplicate_title", "duplicate_meta_description",
+    "search_intent_mismatch", "keyword_targeting", "ctr_opportunity", "cta_visibility", "structured_data",
+]
 
 
 def _points(score: Column) -> Column:

@@ -10,29 +10,29 @@ from pyspark.sql import functions as F
 from .numeric import col
 
 # Query parameters that never change the document.
-NON_CONTENT_PARAMS = """
-    utm_source utm_medium utm_campaign utm_term utm_content utm_id gclid fbclid msclkid mc_cid mc_eid _ga _gl ref
-    ref_src yclid igshid vero_id wickedid hsa_acc hsa_cam fb_action_ids fb_action_types fb_source action_object_map
-    s_kwcid dclid
-    session sessionid sid phpsessid jsessionid asp.net_sessionid auth authtoken token access_token key apikey nonce _t
-    redirect redirect_to redirect_uri next return return_to return_url dest destination target goto continue forward back
-    view mode layout display theme style format output preview tab popup modal print export device lang_choice
-    sort order orderby dir direction sort_by sort_order sortby sortorder
-    action do add-to-cart replytocom share social download
-    _ cb v ver version cache nc rnd t timestamp
-""".split()
+NON_CONTENT_PARAMS = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "msclkid", "mc_cid", "mc_eid",
+    "_ga", "_gl", "ref", "ref_src", "yclid", "igshid", "vero_id", "wickedid", "hsa_acc", "hsa_cam", "fb_action_ids", "fb_action_types",
+    "fb_source", "action_object_map", "s_kwcid", "dclid", "session", "sessionid", "sid", "phpsessid", "jsessionid", "asp.net_sessionid",
+    "auth", "authtoken", "token", "access_token", "key", "apikey", "nonce", "_t", "redirect", "redirect_to", "redirect_uri", "next",
+    "return", "return_to", "return_url", "dest", "destination", "target", "goto", "continue", "forward", "back", "view", "mode", "layout",
+    "display", "theme", "style", "format", "output", "preview", "tab", "popup", "modal", "print", "export", "device", "lang_choice", "sort",
+    "order", "orderby", "dir", "direction", "sort_by", "sort_order", "sortby", "sortorder", "action", "do", "add-to-cart", "replytocom",
+    "share", "social", "download", "_", "cb", "v", "ver", "version", "cache", "nc", "rnd", "t", "timestamp",
+]
 PAGE_PARAMS = ("page", "p", "pg")
 FIRST_PAGE = ("0", "1")
 
 # File extensions and path segments that are not pages, segments allowed to repeat.
-ASSET_EXTENSIONS = """
-    jpg jpeg png gif svg webp avif ico bmp tiff pdf zip gz tar rar 7z dmg exe msi apk mp3 mp4 avi mov wmv webm ogg wav
-    m4a flv css js mjs map json xml rss atom txt doc docx xls xlsx ppt pptx csv woff woff2 ttf eot
-""".split()
-BLOCKED_SEGMENTS = """
-    wp-json wp-admin feed cdn-cgi api xmlrpc.php login signup register logout auth cart checkout
-""".split()
-REPEATABLE_SEGMENTS = "page p category tag index en us uk de fr in co the".split()
+ASSET_EXTENSIONS = [
+    "jpg", "jpeg", "png", "gif", "svg", "webp", "avif", "ico", "bmp", "tiff", "pdf", "zip", "gz", "tar", "rar", "7z", "dmg", "exe", "msi",
+    "apk", "mp3", "mp4", "avi", "mov", "wmv", "webm", "ogg", "wav", "m4a", "flv", "css", "js", "mjs", "map", "json", "xml", "rss", "atom",
+    "txt", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "csv", "woff", "woff2", "ttf", "eot",
+]
+BLOCKED_SEGMENTS = [
+    "wp-json", "wp-admin", "feed", "cdn-cgi", "api", "xmlrpc.php", "login", "signup", "register", "logout", "auth", "cart", "checkout",
+]
+REPEATABLE_SEGMENTS = ["page", "p", "category", "tag", "index", "en", "us", "uk", "de", "fr", "in", "co", "the"]
 HOST_LIKE_SEGMENT = r"^(www\..*\..*|.*\.(com|org|net|io|gov|edu|info|biz|mobi|name|co\.uk|co\.in|com\.au))$"
 
 _URL = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"

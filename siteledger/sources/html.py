@@ -19,10 +19,10 @@ from pyspark.sql import types as T
 from ..functions.urls import content_hash, is_probably_page, normalize_url, registrable_domain, resolve_link
 
 # Elements that never render, site chrome, void elements, hidden ids, classes and styles.
-NON_RENDERING = set("script style template svg iframe noscript".split())
-CHROME = set("nav header footer aside form figcaption dialog".split())
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HEAD_ONLY = set("html head title meta link script style base noscript template".split())
+NON_RENDERING = {"script", "style", "template", "svg", "iframe", "noscript"}
+CHROME = {"nav", "header", "footer", "aside", "form", "figcaption", "dialog"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEAD_ONLY = {"html", "head", "title", "meta", "link", "script", "style", "base", "noscript", "template"}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 KEPT = {"title", "meta", "link", "html", "img", "a", "script", *HEADINGS}
 HIDDEN_IDS = {"seo-fallback", "sr-only"}

@@ -9,10 +9,6 @@ from ..functions.urls import is_probably_page, normalize_url, registrable_domain
 from ..operators.ranking import first_per_key, top_per_key
 from ..session import cut
 
-# How deep an index is followed and how many children one index may name.
-MAX_DEPTH = 4
-MAX_CHILDREN = 50
-
 _LOC = r"(?is)<(?:\w+:)?loc[^>]*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc>"
 
 
@@ -59,25 +55,42 @@ def parse_documents(docs: DataFrame, body: str = "body") -> DataFrame:
     ).drop("_e", "_n", "_all", body)
 
 
-def walk(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Documents reachable from the seed sitemaps, each once, with the depth it was reached at.
+def walk(docs: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, max_children: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, dropped): what can be reached from the seed sitemaps, each once, with the depth it was reached at.
 
-    ``docs`` is the parsed table (site_id, sitemap_url, ...), ``seeds`` (site_id, sitemap_url). At most
-    five joins; each level is materialised so lineage does not grow with depth.
+    ``docs`` is the parsed table (site_id, sitemap_url, ...), ``seeds`` (site_id, sitemap_url). The walk goes on until no new
+    document is found. Limits are off unless given; every child that a limit leaves out is a row of ``dropped`` with the
+    reason, ``too_deep`` or ``too_many``. Each level is materialised, so lineage does not grow with depth.
     """
     keys = ["site_id", "sitemap_url"]
     frontier = seeds.select(*keys).distinct()
-    visited = None
-    for depth in range(MAX_DEPTH + 1):
+    visited = seen = dropped = None
+    depth = 0
+    while True:
         level = cut(docs.join(frontier, keys, "left_semi").withColumn("depth", F.lit(depth)))
+        if visited is not None and level.isEmpty():
+            break
         visited = level if visited is None else visited.unionByName(level)
-        children = level.select("site_id", F.explode(F.slice("nested", 1, MAX_CHILDREN)).alias("sitemap_url")).distinct()
-        frontier = children.join(visited.select(*keys), keys, "left_anti")
-    return visited
-
-
-def url_entries(documents: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries, skips): admitted URLs with their metadata, and skipped entries counted by reason."""
+        seen = level.select(*keys) if seen is None else cut(seen.union(level.select(*keys)))
+        children = level.select("site_id", F.posexplode("nested").alias("pos", "sitemap_url"))
+        reason = F.lit(None).cast("string")
+        if max_children is not None:
+            reason = F.when(F.col("pos") >= max_children, "too_many")
+        if max_depth is not None and depth >= max_depth:
+            reason = F.lit("too_deep")
+        children = children.withColumn("reason", reason)
+        over = children.filter("reason is not null").select(*keys, "reason")
+        dropped = over if dropped is None else dropped.union(over)
+        frontier = children.filter("reason is null").select(*keys).distinct().join(seen, keys, "left_anti")
+        depth += 1
+    return visited, dropped
+
+
+def url_entries(documents: DataFrame, sites: DataFrame, dropped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, skips): admitted URLs with their metadata, and skipped entries counted by reason.
+
+    ``dropped`` are the children that a limited walk left out; they count as skips too.
+    """
     rows = documents.select("site_id", "sitemap_url", "depth", F.posexplode("entries").alias("pos", "e")).select(
         "site_id", "sitemap_url", "depth", "pos", "e.*", normalize_url("e.loc").alias("url")
     )
@@ -92,4 +105,6 @@ def url_entries(documents: DataFrame, sites: DataFrame) -> tuple[DataFrame, Data
         rows.filter("reason is not null").groupBy("site_id", "reason").agg(F.count(F.lit(1)).alias("n"))
         .unionByName(repeats.groupBy("site_id").agg(F.sum("n").alias("n")).select("site_id", F.lit("duplicate").alias("reason"), "n"))
     )
+    if dropped is not None:
+        skipped = skipped.unionByName(dropped.groupBy("site_id", "reason").agg(F.count(F.lit(1)).alias("n")))
     return entries, skipped

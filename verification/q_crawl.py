@@ -81,7 +81,7 @@ common(
 
 def reached(t):
     docs = sitemaps.parse_documents(t.sitemap_doc)
-    return sitemaps.walk(docs, t.sitemap_seed), t.site.select("site_id", F.col("domain").alias("base_domain"))
+    return sitemaps.walk(docs, t.sitemap_seed)[0], t.site.select("site_id", F.col("domain").alias("base_domain"))
 
 
 @query(
@@ -103,6 +103,40 @@ def _(t):
     return sitemaps.url_entries(docs, sites)[1]
 
 
+# One index per site that names every chain of the site, and chains of eight documents of which the last lists a page.
+VIEWS["deep_sitemap"] = """
+    SELECT site_id, concat('https://www.site', site_id, '.test/map-', k, '.xml') AS sitemap_url,
+           CASE WHEN j < 7 THEN concat('<sitemapindex><sitemap><loc>https://www.site', site_id, '.test/map-', k + 1, '.xml</loc></sitemap></sitemapindex>')
+                ELSE concat('<urlset><url><loc>https://www.site', site_id, '.test/deep/', k, '</loc><lastmod>2024-02-0', 1 + k % 9, '</lastmod><changefreq>Weekly</changefreq><priority>0.7</priority></url></urlset>') END AS body
+    FROM (SELECT p_partkey AS k, p_partkey % 8 AS j, CAST(floor(p_partkey / 8) AS INT) % 25 + 1 AS site_id FROM {part}) a
+    UNION ALL
+    SELECT site_id, concat('https://www.site', site_id, '.test/root.xml'), concat('<sitemapindex>', string_agg(concat('<sitemap><loc>https://www.site', site_id, '.test/map-', k, '.xml</loc></sitemap>'), ''), '</sitemapindex>')
+    FROM (SELECT p_partkey AS k, CAST(floor(p_partkey / 8) AS INT) % 25 + 1 AS site_id FROM {part} WHERE p_partkey % 8 = 0) b GROUP BY site_id"""
+_DEEP = "(SELECT a.p_partkey + 7 AS k, CAST(floor(a.p_partkey / 8) AS INTEGER) % 25 + 1 AS site_id FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 7 WHERE a.p_partkey % 8 = 0)"
+
+
+@query(
+    "src06_sitemap_depth",
+    f"SELECT site_id, concat('https://www.site', site_id, '.test/deep/', k) AS url, concat('2024-02-0', 1 + k % 9) AS lastmod, 'weekly' AS changefreq, 0.7::DOUBLE AS priority, 8 AS depth FROM {_DEEP}",
+)
+def _(t):
+    docs = sitemaps.parse_documents(t.deep_sitemap)
+    seeds = t.site.select("site_id", F.concat(F.lit("https://www.site"), "site_id", F.lit(".test/root.xml")).alias("sitemap_url"))
+    entries, _ = sitemaps.url_entries(sitemaps.walk(docs, seeds)[0], t.site.select("site_id", F.col("domain").alias("base_domain")))
+    return entries.select("site_id", "url", "lastmod", "changefreq", "priority", "depth")
+
+
+@query(
+    "src06_sitemap_limits",
+    f"""SELECT site_id, 'too_deep' AS reason, count(*) AS n FROM (SELECT DISTINCT CAST(floor(a.p_partkey / 8) AS INTEGER) % 25 + 1 AS site_id, a.p_partkey FROM part a WHERE a.p_partkey % 8 = 2) WHERE site_id IN (SELECT site_id FROM {_DEEP}) GROUP BY 1""",
+)
+def _(t):
+    docs = sitemaps.parse_documents(t.deep_sitemap)
+    seeds = t.site.select("site_id", F.concat(F.lit("https://www.site"), "site_id", F.lit(".test/root.xml")).alias("sitemap_url"))
+    found, dropped = sitemaps.walk(docs, seeds, max_depth=3)
+    return sitemaps.url_entries(found, t.site.select("site_id", F.col("domain").alias("base_domain")), dropped)[1]
+
+
 common("link_target", "SELECT DISTINCT concat(regexp_extract(url, '^(https?://[^/]*)', 1), regexp_replace(unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)), '(.)/$', '\\1')) AS url FROM pages")
 
 

@@ -68,7 +68,7 @@ common(
     "SELECT *, CASE " + " ".join(f"WHEN {c} THEN '{i}'" for c, i, _ in _rule) + " END AS rule_intent, CASE " + " ".join(f"WHEN {c} THEN {v}::DOUBLE" for c, _, v in _rule)
     + " END AS rule_confidence FROM (SELECT *, lower(schema_type) AS schema_type_l FROM {intent_page})",
 )
-_hits = {i: f"list_has_any({TOKENS('query')}, {lits(t.split())})" + "".join(f" OR contains(lower(query), {q(p)})" for p in ps) for i, (t, ps) in ix.QUERY_BANKS.items()}
+_hits = {i: f"list_has_any({TOKENS('query')}, {lits(list(t))})" + "".join(f" OR contains(lower(query), {q(p)})" for p in ps) for i, (t, ps) in ix.QUERY_BANKS.items()}
 _sums = ", ".join(f"sum(CASE WHEN {h} THEN w ELSE 0 END) AS s_{i}" for i, h in _hits.items())
 _best = "greatest(" + ", ".join(f"s_{i}" for i in _hits) + ")"
 common(
