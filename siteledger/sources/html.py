@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,7 @@ BEACON_PATH = (
 LANDMARK_MIN_CHARS = 300
 LANDMARK_FALLBACK_RATIO = 3
 RENDER_MIN_CHARS = 400
+BATCH_BYTES = 32 << 20  # markup tokenised together
 
 _NODE = T.StructType(
     [
@@ -56,16 +58,46 @@ _ARROW_NODE = pa.struct(
 )
 
 
+# What a start tag ends: open elements of these names, up to the nearest of the scopes (none: any).
+_BLOCKS = (
+    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "header", "hr", "main", "nav",
+    "ol", "p", "pre", "section", "table", "ul", *HEADINGS,
+)
+_SCOPES = frozenset(("table", "td", "th", "caption", "button", "template", "body", "html"))
+_ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    **{t: (frozenset(("p",)), _SCOPES) for t in _BLOCKS},
+    **{t: (frozenset(("p", *HEADINGS)), _SCOPES) for t in ("p", *HEADINGS)},
+    "li": (frozenset(("li",)), _SCOPES | {"ul", "ol", "menu"}),
+    "dt": (frozenset(("dt", "dd")), _SCOPES | {"dl"}),
+    "dd": (frozenset(("dt", "dd")), _SCOPES | {"dl"}),
+    "tr": (frozenset(("tr", "td", "th")), frozenset(("table", "template"))),
+    "td": (frozenset(("td", "th")), frozenset(("tr", "table", "template"))),
+    "th": (frozenset(("td", "th")), frozenset(("tr", "table", "template"))),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))),
+    "a": (frozenset(("a",)), _SCOPES),
+}
+_TEXT_ONLY = "title"  # ends at its own end tag; where that is missing, at the next tag
+
+
 class _Tokenizer(HTMLParser):
-    """Element records and text measures of one document."""
+    """Element records and text measures of one document, in time linear in its length.
+
+    End tags that authors leave out are supplied: a paragraph ends at the next block, a list item, cell, option, link or
+    heading at the next of its kind, the title at any tag, the head at the body or at content. Whether the parser stands inside
+    something hidden, chrome or not rendered is kept in counters that change when an element opens or closes.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool]] = []  # (tag, hidden by itself)
+        self.places: dict[str, list[int]] = {}  # depths at which a tag is open
+        self.count = {"hidden": 0, "hidden_inside": 0, "unrendered": 0, "chrome": 0}
         self.nodes: list[dict] = []
-        self.open: list[tuple[int, dict, list[str]]] = []  # records still collecting text
+        self.pieces: list[str] = []  # all text, and where each record's part of it begins
+        self.code: list[str] = []
+        self.open: list[tuple[int, dict, int, int]] = []  # records still collecting text
         self.in_body = False
-        self.landmark: dict[str, int | None] = {"main": None, "article": None}
+        self.landmark: dict[str, tuple[int, int] | None] = {"main": None, "article": None}  # depth, chrome around it
         self.text: dict[str, list[str] | None] = {m: [] for m in _MEASURES}
         self.text["main_text"] = self.text["article_text"] = None
 
@@ -78,32 +110,61 @@ class _Tokenizer(HTMLParser):
             or bool(HIDDEN_STYLE.search(attrs.get("style") or ""))
         )
 
+    def _is_open(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def _tally(self, tag: str, hidden: bool, step: int) -> None:
+        self.count["hidden"] += step * hidden
+        self.count["hidden_inside"] += step * (hidden and tag not in ("html", "body"))
+        self.count["unrendered"] += step * (tag in NON_RENDERING)
+        self.count["chrome"] += step * (tag in CHROME)
+
+    def _supply_ends(self, tag: str) -> None:
+        if self.stack and self.stack[-1][0] == _TEXT_ONLY and not self._is_open("svg"):
+            self._close(len(self.stack) - 1)
+        if tag == "body" or (tag not in HEAD_ONLY and not self._is_open("noscript")):
+            head = self.places.get("head")
+            if head and not self._is_open("svg"):
+                self._close(head[-1])
+        ends, scopes = _ENDS.get(tag, (None, None))
+        if ends is None:
+            return
+        edge = max((self.places[s][-1] for s in scopes if self.places.get(s)), default=-1)
+        inner = [self.places[t][-1] for t in ends if self.places.get(t) and self.places[t][-1] > edge]
+        if tag in HEADINGS:  # a heading ends a heading that is directly open, and a paragraph anywhere in scope
+            inner = [d for d in inner if self.stack[d][0] == "p" or d == len(self.stack) - 1]
+        if inner:
+            self._close(min(inner))
+
     def handle_starttag(self, tag: str, attributes) -> None:
         attrs = {}
         for name, value in attributes:
             attrs.setdefault(name, value or "")
-        tags = [t for t, _ in self.stack]
-        if tag == "body" or (tag not in HEAD_ONLY and "svg" not in tags):
+        self._supply_ends(tag)
+        in_svg = self._is_open("svg")
+        if tag == "body" or (tag not in HEAD_ONLY and not in_svg):
             self.in_body = True
         hidden = self._hidden(tag, attrs)
         structured = "itemtype" in attrs or "typeof" in attrs
         if tag in KEPT or structured:
             head = None
-            if not self.in_body and "svg" not in tags:
-                head = "direct" if not tags or tags[-1] in ("head", "html") else "nested"
-            shown = hidden or any(h for t, h in self.stack if t not in ("html", "body"))
+            if not self.in_body and not in_svg:
+                head = "direct" if not self.stack or self.stack[-1][0] in ("head", "html") else "nested"
+            shown = hidden or self.count["hidden_inside"] > 0
             node = {"tag": tag, "attrs": attrs, "text": None, "hidden": shown, "head": head}
             self.nodes.append(node)
             if tag not in VOID and tag != "html":
-                self.open.append((len(self.stack), node, []))
+                self.open.append((len(self.stack), node, len(self.pieces), len(self.code)))
         if tag in VOID:
             return
         for name, mark in self.landmark.items():
             unseen = mark is None and self.text[f"{name}_text"] is None
-            if tag == name and unseen and not hidden and self._renders(hidden=True):
-                self.landmark[name] = len(self.stack)
+            if tag == name and unseen and not hidden and not self.count["unrendered"] and not self.count["hidden"]:
+                self.landmark[name] = (len(self.stack), self.count["chrome"])
                 self.text[f"{name}_text"] = []
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, hidden))
+        self._tally(tag, hidden, 1)
 
     def handle_startendtag(self, tag: str, attributes) -> None:
         self.handle_starttag(tag, attributes)
@@ -111,46 +172,43 @@ class _Tokenizer(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
-                self._close(depth)
-                return
+        if self._is_open(tag):
+            self._close(self.places[tag][-1])
 
     def _close(self, depth: int) -> None:
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag, hidden = self.stack.pop()
+            self.places[tag].pop()
+            self._tally(tag, hidden, -1)
         while self.open and self.open[-1][0] >= depth:
-            _, node, pieces = self.open.pop()
-            node["text"] = " ".join(pieces)
+            _, node, first, first_code = self.open.pop()
+            # Code is text of its own element only.
+            own = self.code[first_code:] if node["tag"] in ("script", "style") else self.pieces[first:]
+            node["text"] = " ".join(own)
         for name, mark in self.landmark.items():
-            if mark is not None and mark >= depth:
+            if mark is not None and mark[0] >= depth:
                 self.landmark[name] = None
 
-    def _renders(self, *, hidden: bool) -> bool:
-        return not any(t in NON_RENDERING or (hidden and h) for t, h in self.stack)
-
     def handle_data(self, data: str) -> None:
         piece = data.strip()
         if not piece:
             return
         inline = self.stack[-1][0] if self.stack and self.stack[-1][0] in ("script", "style") else None
-        for _, node, pieces in self.open:
-            if inline is None or node["tag"] == inline:  # code is text of its own element only
-                pieces.append(piece)
-        if not self._renders(hidden=False):
+        (self.pieces if inline is None else self.code).append(piece)
+        if self.count["unrendered"]:
             return
-        tags = [t for t, _ in self.stack]
-        if not self.in_body and not ("head" in tags or "title" in tags):
+        if not self.in_body and not (self._is_open("head") or self._is_open("title")):
             self.in_body = True
         if not self.in_body:
             return
         self.text["raw_text"].append(piece)
-        if any(h for _, h in self.stack):
+        if self.count["hidden"]:
             return
         self.text["visible_text"].append(piece)
-        if CHROME.isdisjoint(tags):
+        if not self.count["chrome"]:
             self.text["chrome_free_text"].append(piece)
         for name, mark in self.landmark.items():
-            if mark is not None and CHROME.isdisjoint(tags[mark + 1 :]):
+            if mark is not None and self.count["chrome"] == mark[1]:
                 self.text[f"{name}_text"].append(piece)
 
     def finish(self) -> dict:
@@ -169,6 +227,19 @@ def _tokenise(html: str | None) -> dict:
         return {"nodes": [], **{m: None for m in _MEASURES}, "error": f"{type(exc).__name__}: {exc}"[:200]}
 
 
+def _parts(batches: Iterator[pa.RecordBatch], html: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``BATCH_BYTES`` of markup, which bounds what a worker holds and emits at once."""
+    for batch in batches:
+        first, held = 0, 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(html)), 0).to_pylist()):
+            if held and held + size > BATCH_BYTES:
+                yield batch.slice(first, i - first)
+                first, held = i, 0
+            held += size
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+
 def tokenise(documents: DataFrame, html: str = "html") -> DataFrame:
     """Replace column ``html`` by ``nodes``, the text measures and ``extraction_error``."""
     keep = [c for c in documents.columns if c != html]
@@ -179,7 +250,7 @@ def tokenise(documents: DataFrame, html: str = "html") -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, html):
             rows = [_tokenise(v.as_py()) for v in batch.column(html)]
             nodes = pa.array([[{**n, "attrs": list(n["attrs"].items())} for n in r["nodes"]] for r in rows], pa.list_(_ARROW_NODE))
             texts = [pa.array([r[m] for r in rows], pa.string()) for m in _MEASURES]

@@ -91,3 +91,46 @@ def test_audit_of_two_small_sites(spark):
 def test_weights_sum_per_check_type():
     assert rules.registered_weights()["content"] == 20.0
     assert audit.check_weights({"title": 1.0})["title"] == 1.0
+
+
+def _texts(markup):
+    from siteledger.sources.html import _tokenise
+
+    found = _tokenise(markup)
+    assert "error" not in found
+    return found["visible_text"], {n["tag"]: n["text"] for n in reversed(found["nodes"])}
+
+
+def test_missing_end_tags_are_supplied():
+    assert _texts("<title>Broken<body><h1>Heading<p>Some text here")[1] == {"title": "Broken", "h1": "Heading"}
+    assert _texts("<ul><li hidden>a<li>b<li>c</ul>")[0] == "b c"
+    assert _texts('<p style="display:none">x<p>y')[0] == "y"
+    assert _texts("<table><tr><td hidden>a<td>b<tr hidden><td>c<tr><td>d</table>e")[0] == "b d e"
+    assert _texts("<dl><dt hidden>t<dd>d</dl>")[0] == "d"
+    assert _texts("<select><option hidden>a<option>b</select>")[0] == "b"
+    assert _texts("<a href=/1>one<a href=/2>two</a> three")[1]["a"] == "one"
+    assert _texts("<h2>one<h2>two<p>three")[1]["h2"] == "one"
+    assert _texts("<ul><li>a<ul><li hidden>b</ul>c<li>d</ul>")[0] == "a c d"
+
+
+def test_many_open_paragraphs_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        _texts("<p>x" * n)
+        return time.process_time() - began
+
+    seconds(2000)
+    assert seconds(32_000) < 10 * max(seconds(8000), 0.02)
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from siteledger.sources import html
+
+    monkeypatch.setattr(html, "BATCH_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"html": ["a" * 4, "b" * 4, "c" * 4, None, "d" * 40, "e"]})
+    parts = [p.column(0).to_pylist() for p in html._parts(iter([batch]), "html")]
+    assert [x for p in parts for x in p] == batch.column(0).to_pylist() and len(parts) == 4
