@@ -52,7 +52,6 @@ ROUTE_ENDINGS = ("tsx", "jsx", "ts", "js", "vue", "svelte", "astro", "html", "ht
 ROUTE_EXTENSIONS = rf"(?i)\.({'|'.join(ROUTE_ENDINGS)})$"
 INDEX_NAMES = ("index", "page", "_index", "home", "default")
 OUTPUT_FOLDERS = ("public", "dist", "build", "static", "www", "src", "site", "_site")
-MAX_TARGETS = 200
 
 
 def is_ignorable(path: Column) -> Column:

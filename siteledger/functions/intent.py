@@ -173,14 +173,14 @@ def query_signal(query: Column | str, intent: str) -> Column:
     return hit
 
 
-def statistical_intents(queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Per page, the intent carrying most impression weight over its first ``limit`` queries.
+def statistical_intents(queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per page, the intent carrying most impression weight over its queries, or the first ``limit``.
 
     ``queries`` is (page_id, query, impressions, query_rank from 1). Pages without a signal are absent.
     """
     weight = F.when(F.coalesce("impressions", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("impressions"))
     sums = (
-        queries.filter(F.col("query_rank") <= limit)
+        queries.filter(F.lit(True) if limit is None else F.col("query_rank") <= limit)
         .groupBy("page_id")
         .agg(
             F.sum(weight).alias("_total"),

@@ -41,11 +41,11 @@ def mapped_files(files: Column, framework: Column, path_map: Column) -> Column:
     )
 
 
-def push_scope(deliveries: DataFrame, sites: DataFrame, *, max_targets: int = cx.MAX_TARGETS) -> DataFrame:
+def push_scope(deliveries: DataFrame, sites: DataFrame, *, max_targets: int | None = None) -> DataFrame:
     """Action, reason and affected paths of every delivery.
 
     ``deliveries`` has event_type, site_id, repository, branch, deleted and files; ``sites`` adds
-    base_url, is_active, framework and path_map.
+    base_url, is_active, framework and path_map. With ``max_targets``, a push that touches more pages asks for a full crawl.
     """
     rows = deliveries.join(sites.select("site_id", "base_url", "is_active", "framework", "path_map"), "site_id", "left")
     rows = rows.withColumn("_all", mapped_files(F.col("files"), F.col("framework"), F.col("path_map")))
@@ -94,7 +94,7 @@ def push_scope(deliveries: DataFrame, sites: DataFrame, *, max_targets: int = cx
             F.concat(F.lit("None of the "), s(kept), F.lit(" changed files could be mapped to a URL, so the whole site is re-audited to stay correct.")),
         ),
         (
-            targets > max_targets,
+            F.lit(False) if max_targets is None else targets > max_targets,
             "full_crawl",
             F.concat(s(targets), F.lit(f" pages changed, which exceeds the {max_targets}-page incremental limit; a full crawl is cheaper.")),
         ),

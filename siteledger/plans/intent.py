@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent as ix
@@ -12,17 +12,19 @@ from ..functions.numeric import lookup, rnd
 from ..operators.ranking import first_per_key, top_per_key
 from ..session import cut
 
-# Entries read per source, source precedence, share of a page's score.
+# Source precedence, share of a page's score.
+SOURCES = ("gsc", "semrush", "ai")
+#: Entries per source for callers that want short lists; nothing is left out unless such limits are passed.
 SOURCE_LIMITS = {"gsc": 20, "semrush": 20, "ai": 25}
 BEST_KEYWORDS = 3
 COMPETING_TIERS = ("primary", "secondary")
 LISTED_PAGES = 20
 
 
-def keyword_sources(queries: DataFrame, snapshot_keywords: DataFrame, suggestions: DataFrame) -> DataFrame:
+def keyword_sources(queries: DataFrame, snapshot_keywords: DataFrame, suggestions: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """One row per (page, keyword): search rows win over snapshot rows, these over suggestions.
 
-    Inputs carry ``idx``, the 0-based place in their source list. The winner is found with a partial
+    Inputs carry ``idx``, the 0-based place in their source list; ``limits`` keeps the first so many of a source. The winner is found with a partial
     ``min_by`` aggregate, so a page with many sources never becomes one task.
     """
 
@@ -36,7 +38,8 @@ def keyword_sources(queries: DataFrame, snapshot_keywords: DataFrame, suggestion
             "given_tier": null("string"),
             **columns,
         }
-        return df.filter((F.col("idx") < SOURCE_LIMITS[source]) & (F.trim(keyword) != "")).select(
+        within = F.col("idx") < limits[source] if limits else F.lit(True)
+        return df.filter(within & (F.trim(keyword) != "")).select(
             "page_id", F.lower(F.trim(keyword)).alias("keyword"), F.lit(source).alias("source"), "idx", *[c.alias(n) for n, c in picks.items()]
         )
 
@@ -53,7 +56,7 @@ def keyword_sources(queries: DataFrame, snapshot_keywords: DataFrame, suggestion
         )
         .unionByName(side(suggestions, "ai", "keyword", given_tier=F.col("tier")))
     )
-    order = F.struct(lookup(F.col("source"), {s: i for i, s in enumerate(SOURCE_LIMITS)}, 9).alias("o"), "idx")
+    order = F.struct(lookup(F.col("source"), {s: i for i, s in enumerate(SOURCES)}, 9).alias("o"), "idx")
     payload = F.struct("source", "idx", "position", "impressions", "demand_base", "difficulty", "given_tier")
     return rows.groupBy("page_id", "keyword").agg(F.min_by(payload, order).alias("r")).select("page_id", "keyword", "r.*")
 
@@ -61,18 +64,18 @@ def keyword_sources(queries: DataFrame, snapshot_keywords: DataFrame, suggestion
 def score_keywords(keywords: DataFrame, pages: DataFrame) -> DataFrame:
     """Tier and six factors of every keyword of a page.
 
-    ``pages`` has page_id, site_id, detected_intent, business_relevance and the page text. A page has
-    at most 65 keywords after the source limits, so they travel as one array to the page row and the
-    text is read once per page instead of once per keyword.
+    ``pages`` has page_id, site_id, detected_intent, business_relevance, the page text and, where known, ``headings``. The
+    keywords of a page travel as one array to the page row, so the text is read once per page and not once per keyword.
     """
     entry = F.struct("keyword", "source", "idx", "position", "impressions", "demand_base", "difficulty", "given_tier")
     lists = keywords.groupBy("page_id").agg(F.collect_list(entry).alias("_ks"))
     lowered = {f"_{c}": F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "h1", "content")}
+    lowered["_headings"] = F.lower(F.coalesce(F.array_join("headings", " "), F.lit(""))) if "headings" in pages.columns else F.lit("")
     relevant = F.transform(
         "_ks",
         lambda k: F.struct(
             k.alias("k"),
-            kx.content_relevance(k["keyword"], F.col("_title"), F.col("_h1"), F.lit(""), F.col("_content")).alias("content_relevance_score"),
+            kx.content_relevance(k["keyword"], F.col("_title"), F.col("_h1"), F.col("_headings"), F.col("_content")).alias("content_relevance_score"),
         ),
     )
     rows = (
@@ -103,12 +106,14 @@ def score_keywords(keywords: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("keyword_opportunity_score", kx.composite_score(*factors))
 
 
-def capped_keywords(scored: DataFrame) -> DataFrame:
-    """The best keywords of every tier of a page, up to the tier's cap."""
-    source_order = lookup(F.col("source"), {s: i for i, s in enumerate(SOURCE_LIMITS)}, 9)
+def ranked_keywords(scored: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """Keywords of every page with their rank in their tier; with ``caps`` only the best of each tier, up to its cap."""
+    source_order = lookup(F.col("source"), {s: i for i, s in enumerate(SOURCES)}, 9)
     order = [F.col("keyword_opportunity_score").desc(), source_order.asc(), F.col("idx").asc()]
-    ranked = top_per_key(scored, ["page_id", "keyword_tier"], order, max(kx.TIER_CAPS.values()), "tier_rank")
-    return ranked.filter(F.col("tier_rank") <= lookup(F.col("keyword_tier"), kx.TIER_CAPS, 10))
+    if caps is None:
+        return scored.withColumn("tier_rank", F.row_number().over(Window.partitionBy("page_id", "keyword_tier").orderBy(*order)))
+    ranked = top_per_key(scored, ["page_id", "keyword_tier"], order, max(caps.values()), "tier_rank")
+    return ranked.filter(F.col("tier_rank") <= lookup(F.col("keyword_tier"), caps, 10))
 
 
 def page_keyword_scores(capped: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def page_keyword_scores(capped: DataFrame) -> DataFrame:
     best = top_per_key(capped, ["page_id"], order, BEST_KEYWORDS)
     means = best.groupBy("page_id").agg(rnd(F.avg("keyword_opportunity_score"), 1).alias("keyword_opportunity_score"))
     entry = F.struct("tier_rank", "keyword")
-    lists = capped.groupBy("page_id").agg(  # at most 30 keywords per page after the caps
+    lists = capped.groupBy("page_id").agg(  # the keywords of one page
         *[
             F.transform(F.array_sort(F.collect_list(F.when(F.col("keyword_tier") == tier, entry))), lambda e: e["keyword"]).alias(f"{tier}_keywords")
             for tier in COMPETING_TIERS
@@ -146,7 +151,7 @@ def classify(pages: DataFrame, queries: DataFrame, findings: DataFrame) -> DataF
     own = pages.withColumns(
         {
             "rule": ix.rule_intent("url", F.col("structured_data_types")),
-            "targeting": ix.targeting_intent(F.col("title"), F.col("h1")),
+            "targeting": ix.targeting_intent(F.col("title"), F.col("h1"), F.col("headings") if "headings" in pages.columns else None),
             "_prominent": F.lower(F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("h1", F.lit("")))),
             "_body": F.lower(F.coalesce("content", F.lit(""))),
         }
@@ -180,9 +185,13 @@ def intent_profiles(
     suggestions: DataFrame,
     existing: DataFrame | None = None,
     patterns: tuple[str, ...] = (),
+    source_limits: dict[str, int] | None = None,
+    tier_caps: dict[str, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(profiles, keyword rows) of the pages whose content changed; all pages when ``existing`` is None.
 
+    All keywords of all sources are scored and kept, unless ``source_limits`` or ``tier_caps`` ask for fewer.
+
     ``pages`` carries text, metrics and site totals. Page classification and keyword scoring feed both
     outputs, so each is materialised once.
     """
@@ -196,8 +205,8 @@ def intent_profiles(
             }
         )
     )
-    sources = keyword_sources(queries, snapshot_keywords, suggestions)
-    capped = cut(capped_keywords(score_keywords(sources, classified)))
+    sources = keyword_sources(queries, snapshot_keywords, suggestions, source_limits)
+    capped = cut(ranked_keywords(score_keywords(sources, classified), tier_caps))
     rows = classified.join(page_keyword_scores(capped), "page_id", "left").fillna({"keyword_opportunity_score": 0.0})
     rows = rows.withColumn("traffic_potential_score", traffic_potential())
     profiles = rows.withColumn("lead_potential_score", lead_potential(patterns=patterns)).select(

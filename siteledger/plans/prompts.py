@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.numeric import num, rnd
 from ..operators.ranking import top_per_key
 
-LISTED = 10
-
 
 def _or(c: str, default: str) -> Column:
     return F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(default))
@@ -19,9 +17,10 @@ def _count(c: str) -> Column:
     return F.format_number(num(c).cast("long"), 0)
 
 
-def _lines(rows: DataFrame, keys: str, rank: str, text: Column, name: str) -> DataFrame:
-    """At most ten lines per page, in rank order."""
-    best = top_per_key(rows.withColumn("_t", text), [keys], [F.col(rank).asc()], LISTED, "_r")
+def _lines(rows: DataFrame, keys: str, rank: str, text: Column, name: str, listed: int | None) -> DataFrame:
+    """The lines of a page in rank order, all or the first ``listed``."""
+    rows = rows.withColumn("_t", text)
+    best = rows.withColumn("_r", F.col(rank)) if listed is None else top_per_key(rows, [keys], [F.col(rank).asc()], listed, "_r")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_r", "_t"))), lambda x: x["_t"])
     return best.groupBy(keys).agg(F.array_join(ordered, "\n").alias(name))
 
@@ -55,22 +54,26 @@ def metrics_text(window_days: int) -> Column:
 
 
 def build_prompts(
-    pages: DataFrame, issues: DataFrame, queries: DataFrame, keywords: DataFrame, *, window_days: int = 90, max_content: int | None = None
+    pages: DataFrame, issues: DataFrame, queries: DataFrame, keywords: DataFrame, *, window_days: int = 90, max_content: int | None = None,
+    listed: int | None = None, max_evidence: int | None = None,
 ) -> DataFrame:
     """(page_id, prompt). ``pages`` carries signals, scores and window metrics.
 
-    The whole page text goes in; pass ``max_content`` when the model's input is limited.
+    The whole page text, all queries and keywords and whole evidence go in; ``max_content``, ``listed`` and ``max_evidence`` limit
+    them for a model whose input is limited.
     """
     cat = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     quoted = lambda c: cat('  "', F.col(c), '" — ')
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     query_lines = _lines(
-        queries, "page_id", "query_rank", cat(quoted("query"), number("clicks"), " clicks, ", number("impressions"), " impressions, position ", number("position")), "_queries"
+        queries, "page_id", "query_rank", cat(quoted("query"), number("clicks"), " clicks, ", number("impressions"), " impressions, position ", number("position")), "_queries", listed
     )
     keyword_lines = _lines(
-        keywords, "page_id", "idx", cat(quoted("keyword"), "position ", number("position"), ", volume ", _count("volume"), ", difficulty ", number("difficulty")), "_keywords"
+        keywords, "page_id", "idx", cat(quoted("keyword"), "position ", number("position"), ", volume ", _count("volume"), ", difficulty ", number("difficulty")), "_keywords", listed
     )
-    evidence = F.when(F.col("evidence").isNotNull(), cat("\n      evidence: ", F.substring(F.to_json("evidence"), 1, 300))).otherwise("") if "evidence" in issues.columns else F.lit("")
+    whole = F.to_json("evidence") if "evidence" in issues.columns else F.lit("")
+    shown = whole if max_evidence is None else F.substring(whole, 1, max_evidence)
+    evidence = F.when(F.col("evidence").isNotNull(), cat("\n      evidence: ", shown)).otherwise("") if "evidence" in issues.columns else F.lit("")
     finding = cat("  [", F.col("severity"), "] ", F.col("rule_id"), ": ", F.col("description"), evidence)
     # One line per open rule of a page: bounded by the rule registry.
     open_rows = issues.filter("not is_resolved").withColumn("_t", finding)

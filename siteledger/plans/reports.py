@@ -165,11 +165,12 @@ def recommendation_list(findings: DataFrame, pages: DataFrame, *, status: str =
     return rows.orderBy(F.col("priority_score").desc_nulls_last(), F.col("finding_id").desc())
 
 
-def compact_evidence(evidence: Column | str = "evidence") -> Column:
-    """One line of ``key: value`` pairs, at most 500 characters."""
+def compact_evidence(evidence: Column | str = "evidence", limit: int | None = None) -> Column:
+    """One line of ``key: value`` pairs; ``limit`` cuts it for display, and a cut line ends in an ellipsis."""
     e = F.col(evidence) if isinstance(evidence, str) else evidence
     pairs = F.transform(F.map_entries(F.coalesce(e, F.create_map().cast("map<string,string>"))), lambda x: F.concat(x["key"], F.lit(": "), F.coalesce(x["value"], F.lit("None"))))
-    return F.substring(F.array_join(pairs, "; "), 1, 500)
+    line = F.array_join(pairs, "; ")
+    return line if limit is None else F.when(F.char_length(line) > limit, F.concat(F.substring(line, 1, limit - 1), F.lit("…"))).otherwise(line)
 
 
 # ── summaries ────────────────────────────────────────────────────────────────

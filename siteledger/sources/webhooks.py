@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# How much of a delivery is kept, and which payload keys.
-KEPT_MESSAGES = 20
-MESSAGE_CHARS = 200
-KEPT_FILES = 500
+# The payload keys that are kept.
 KEPT_KEYS = ("ref", "before", "after", "compare")
 
 _FILES = "added:array<string>,modified:array<string>,removed:array<string>"
@@ -36,11 +33,11 @@ def branch_of(ref: Column) -> Column:
 
 
 def delivery_log(events: DataFrame) -> DataFrame:
-    """One stored row per delivery: branch, commit count, first lines, files and the kept payload keys."""
+    """One stored row per delivery: branch, commit count, first lines of all messages, all files and the kept payload keys."""
     p = F.col("p")
     messages = F.transform(
-        F.slice(F.coalesce(p["commits"], F.array()), 1, KEPT_MESSAGES),
-        lambda c: F.substring(F.split(F.coalesce(c["message"], F.lit("")), "\r\n|\n|\r")[0], 1, MESSAGE_CHARS),
+        F.coalesce(p["commits"], F.array()),
+        lambda c: F.split(F.coalesce(c["message"], F.lit("")), "\r\n|\n|\r")[0],
     )
     kept = F.map_filter(F.create_map(*[x for k in KEPT_KEYS for x in (F.lit(k), p[k])]), lambda k, v: v.isNotNull())
     parsed = parse(events).withColumn("files", changed_files())
@@ -53,7 +50,7 @@ def delivery_log(events: DataFrame) -> DataFrame:
         F.size(F.coalesce(p["commits"], F.array())).alias("commit_count"),
         messages.alias("commit_messages"),
         "files",
-        F.slice("files", 1, KEPT_FILES).alias("changed_files"),
+        F.col("files").alias("changed_files"),
         F.size("files").alias("changed_file_count"),
         kept.alias("raw_payload"),
     )

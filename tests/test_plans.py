@@ -149,3 +149,20 @@ def test_resync_rewrites_only_touched_dates(spark, tmp_path):
     write(spark.createDataFrame([(1, 1, d1, 7, 20, 1.0)], schema), 1)
     got = sorted((r.page_id, str(r.date), r.clicks) for r in spark.read.parquet(path).collect())
     assert got == [(1, "2024-01-01", 7), (1, "2024-01-02", 3), (2, "2024-01-01", 5)]
+
+
+def test_headings_change_verdicts_and_caps_are_asked_for(spark):
+    """Headings reach targeting and content relevance; keywords are only left out where limits are passed."""
+    from siteledger.plans import intent
+
+    queries = spark.createDataFrame([(1, f"buy part {i}", i, i + 1, 5.0, 10) for i in range(30)], "page_id int, query string, idx int, query_rank int, position double, impressions long")
+    none = spark.createDataFrame([], "page_id int, keyword string, idx int, position double, volume double, difficulty double, tier string")
+    assert intent.keyword_sources(queries, none, none).count() == 30
+    assert intent.keyword_sources(queries, none, none, intent.SOURCE_LIMITS).count() == 20
+    page = [(1, 1, "informational", 50.0, "Notes", "Notes", "text", ["Buy part 1 now", "Buy part 2 here"])]
+    pages = spark.createDataFrame(page, "page_id int, site_id int, detected_intent string, business_relevance double, title string, h1 string, content string, headings array<string>")
+    keywords = intent.keyword_sources(queries, none, none)
+    score = lambda p: {r.keyword: r.content_relevance_score for r in intent.score_keywords(keywords, p).collect()}
+    with_headings, without = score(pages), score(pages.drop("headings"))
+    assert with_headings["buy part 1"] > without["buy part 1"]
+    assert intent.ranked_keywords(intent.score_keywords(keywords, pages)).count() == 30

@@ -207,12 +207,12 @@ def pages_with_metrics(t):
 
 def sources(t):
     queries = t.intent_query.withColumn("idx", F.col("query_rank") - 1)
-    return plan.keyword_sources(queries, t.snapshot_list, t.suggestion)
+    return plan.keyword_sources(queries, t.snapshot_list, t.suggestion, plan.SOURCE_LIMITS)
 
 
 def built(t, existing=None):
     queries = t.intent_query.withColumn("idx", F.col("query_rank") - 1)
-    return plan.intent_profiles(pages_with_metrics(t), queries, t.snapshot_list, t.ai_finding, t.suggestion, existing, PATTERNS)
+    return plan.intent_profiles(pages_with_metrics(t), queries, t.snapshot_list, t.ai_finding, t.suggestion, existing, PATTERNS, plan.SOURCE_LIMITS, kx.TIER_CAPS)
 
 
 def scored(t):
@@ -297,12 +297,12 @@ def _(t):
 
 @query("top07_tier_caps", "SELECT page_id, keyword, keyword_tier, tier_rank FROM {keyword_capped}")
 def _(t):
-    return plan.capped_keywords(scored(t)).select("page_id", "keyword", "keyword_tier", "tier_rank")
+    return plan.ranked_keywords(scored(t), kx.TIER_CAPS).select("page_id", "keyword", "keyword_tier", "tier_rank")
 
 
 @query("win10_page_keyword_score", "SELECT page_id, keyword_opportunity_score, primary_keywords FROM {keyword_page}")
 def _(t):
-    out = plan.page_keyword_scores(plan.cut(plan.capped_keywords(scored(t))))
+    out = plan.page_keyword_scores(plan.cut(plan.ranked_keywords(scored(t), kx.TIER_CAPS)))
     primary = F.nullif(F.array_join("primary_keywords", "|"), F.lit(""))
     return out.select("page_id", "keyword_opportunity_score", primary.alias("primary_keywords"))
 

@@ -133,7 +133,7 @@ def _(t):
     return reports.recommendation_list(findings, t.page, priority="HIGH").select("finding_id", "page_id", "url", "finding_count")
 
 
-@query("flt10_compact_evidence", "SELECT doc_id, substr(concat('source: ', source, '; text: ', text), 1, 500) AS line FROM documents")
+@query("flt10_compact_evidence", "SELECT doc_id, concat('source: ', source, '; text: ', text) AS line FROM documents")
 def _(t):
     evidence = F.create_map(F.lit("source"), F.col("source"), F.lit("text"), F.col("text"))
     return t.documents.select("doc_id", reports.compact_evidence(evidence).alias("line"))
