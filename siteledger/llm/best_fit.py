@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, slices
+from .common import bounded_batches, columns, slices
 from .tokens import byte_bpe, default_path
 
 CAPACITY = 1024
@@ -130,6 +130,7 @@ def packed_rows(
     ``capacity`` ids and every id lies in exactly one segment. Each block of about ``block_tokens`` ids is packed on its own
     inside a task, so there is no shuffle. Null text is empty text, which is the end id alone; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     source = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return source.mapInArrow(pack_texts(tokenizer or default_path(), capacity, end_id, pad_id, block_tokens), _SPARK)
 

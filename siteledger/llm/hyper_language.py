@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, slices, spare_name
+from .common import bounded_batches, columns, slices, spare_name
 
 DIMENSIONS = 512
 SEED = 20240229
 UNKNOWN = "und"
-COUNT_CELLS = 2_000_000  # counts (texts times n-grams) held at once
-SLICE_BYTES = 2 << 20  # text looked at together; the arrays of a slice take some forty times as much
+COUNT_CELLS = 1_000_000  # counts (texts times n-grams) held at once
+SLICE_BYTES = 1 << 20  # text looked at together; the arrays of a slice take some forty times as much
 NGRAM_ROWS = 8192  # n-gram vectors made at once
 DENSE_CODES = 1 << 24
 
@@ -163,6 +163,7 @@ def fit_prototypes(labelled: DataFrame, *, text_col: str = "text", lang_col: str
 
     What reaches the driver is one vector per label. Labels are the languages of the corpus; text does not add to them.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     sums = rows.filter("lang is not null").mapInArrow(language_bundles, "lang string, profile array<double>")
     sums = sums.select("lang", F.posexplode("profile")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
@@ -176,6 +177,7 @@ def predict_language(docs: DataFrame, prototypes: Prototypes, *, text_col: str =
     The score is (1 + cosine) / 2 with the nearest prototype, both taken around the mean of the prototypes. A text that is null
     or has no letter is ``und`` with score 0, as is every text where no language was learned. Ties go to the first name.
     """
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, slices
+from .common import bounded_batches, columns, slices
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 3  # words of the base rule
@@ -149,6 +149,7 @@ def repetition_rules(
     covered and no repeat above ``max_repeat_words``. Null and empty texts have no words and fail. Each text is judged alone,
     so repeated rows and ids get a row each; a very long text is one suffix array of its own words.
     """
+    bounded_batches(docs.sparkSession)
     source = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = source.mapInArrow(measure(repeat_words), _SPARK)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_window_percent * F.col("n_words"))
