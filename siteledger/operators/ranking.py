@@ -109,7 +109,6 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:
-    """Groupwise maximum through a partial ``max_by`` aggregate: no sort, no skewed task."""
-    payload = F.struct(*[F.col(c) for c in df.columns if c not in keys])
-    best = F.max_by(payload, F.struct(*[F.col(c) for c in newest]))
-    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
+    """Groupwise maximum. Every map task keeps one row per key before the shuffle, so a key with very many rows stays small."""
+    first = first_per_key(df, keys, [F.col(c).desc_nulls_last() for c in newest])
+    return first.select(*keys, *[c for c in df.columns if c not in keys])

@@ -91,10 +91,12 @@ def duplicate_groups(pages: DataFrame, key: Column, name: str) -> DataFrame:
     """Add duplicate_<name>_count (members of the page's group) and up to five other URLs.
 
     Group sizes are partial counts; the examples are the six smallest URLs of a group, pruned before
-    the shuffle, so a group holding a third of the site is never gathered.
+    the shuffle, so a group holding a third of the site is never gathered. Rows without a key are in no group; a spread
+    value of their own keeps them from meeting in one task of the join.
     """
-    keyed = pages.withColumn("_key", key)
-    members = keyed.filter("_key is not null").select("site_id", "_key", effective_url().alias("_u"))
+    alone = F.pmod(F.xxhash64("url"), F.lit(1024)) + 1
+    keyed = pages.withColumn("_key", key).withColumns({"_spread": F.when(F.col("_key").isNull(), alone).otherwise(0), "_key": F.coalesce("_key", F.lit(""))})
+    members = keyed.filter("_spread = 0").select("site_id", "_key", effective_url().alias("_u"))
     sizes = members.groupBy("site_id", "_key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     samples = (
         top_per_key(members, ["site_id", "_key"], [F.col("_u").asc()], EXAMPLES + 1)
@@ -103,14 +105,14 @@ def duplicate_groups(pages: DataFrame, key: Column, name: str) -> DataFrame:
     )
     others = F.slice(F.filter("_sample", lambda u: u != effective_url()), 1, EXAMPLES)
     return (
-        keyed.join(sizes.join(samples, ["site_id", "_key"]), ["site_id", "_key"], "left")
+        keyed.join(sizes.join(samples, ["site_id", "_key"]).withColumn("_spread", F.lit(0).cast("long")), ["site_id", "_key", "_spread"], "left")
         .withColumns(
             {
                 f"duplicate_{name}_count": F.coalesce("_size", F.lit(0)),
                 f"duplicate_{name}_examples": F.when(F.col("_size").isNotNull(), others),
             }
         )
-        .drop("_key", "_size", "_sample")
+        .drop("_key", "_spread", "_size", "_sample")
     )
 
 

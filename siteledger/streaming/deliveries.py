@@ -16,6 +16,8 @@ from ..session import cut
 # Seconds of silence after which a run counts as failed.
 QUEUED_LIMIT = 180
 RUNNING_LIMIT = 1200
+# Days that are named in the scan of a re-sync; a batch with more joins them.
+MAX_DAYS = 400
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -61,8 +63,11 @@ def resync(path: str):
         if target is None:
             write_facts(merged, path)
             return
+        # A batch holds the trailing window, so its days are few; as literals they prune the scan. More than that are joined.
         days = merged.select("date").distinct()
-        affected = target.select(*merged.columns).join(days, "date", "left_semi")
+        few = [r.date for r in days.limit(MAX_DAYS + 1).collect()]
+        rows = target.select(*merged.columns)
+        affected = rows.filter(F.col("date").isin(few)) if len(few) <= MAX_DAYS else rows.join(days, "date", "left_semi")
         write_facts(cut(upsert(affected, merged, ["page_id", "date"])), path)
 
     return write
