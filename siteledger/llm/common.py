@@ -26,6 +26,7 @@ def columns(docs: DataFrame, *names: str) -> DataFrame:
 
 
 BATCH_ROWS = 2000
+FILE_SHIFT = 40  # bits of a row number for the position in a file; the others are the file's number
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -69,19 +70,38 @@ def spare_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _rows_of_files(docs: DataFrame) -> bool:
+    """Whether every row is one row of one file: a single scan of distinct files under nothing but columns and filters."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018  not every format has it
+    except AnalysisException:
+        return False
+    # A file that is named twice is read twice, with the same positions.
+    return len(plan.relation().location().inputFiles()) == len(docs._jdf.inputFiles())
+
+
 def with_rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     """The table with a row number, and that column's name; rows stay apart where ids are null or repeated.
 
-    Rows of files keep their number from one scan to the next, as the files are cut in the same places. Anything else is
-    written once.
+    Rows of files are numbered by file and position in it, which is the same in every scan however the files are cut and
+    whichever executors are alive. The number of a file is its rank by path. Anything else is written once.
     """
     name = spare_name(docs, "_row")
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    try:
-        docs.select("_metadata.row_index").schema  # noqa: B018  files read directly have it
-    except AnalysisException:
-        return scratch.keep(numbered, "rows"), name
-    return numbered, name
+    if not _rows_of_files(docs):
+        return scratch.keep(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    meta = docs.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in docs.select(meta["file_path"]).distinct().collect())  # the driver lists the files anyway
+    path, number = spare_name(docs, "_path"), spare_name(docs, "_number")
+    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), f"{path} string, {number} long")
+    placed = docs.withColumns({path: meta["file_path"], name: meta["row_index"]}).join(F.broadcast(files), path)
+    return placed.withColumn(name, F.shiftleft(number, FILE_SHIFT) + F.col(name)).drop(path, number).select(*[f"`{c}`" for c in docs.columns], name), name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
