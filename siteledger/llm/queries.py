@@ -11,6 +11,7 @@ from .block_naming import exact_groups
 from .golay_simhash import near_groups
 from .hyper_language import identify_languages
 from .lm_scoring import score_texts
+from .merkle import dataset_manifest, folded, proof_text
 from .mixing import mix_sources
 from .registry import QUERIES, SQL, query
 from .repetition import repetition_rules
@@ -208,3 +209,63 @@ def rules(documents: DataFrame) -> DataFrame:
 def near_copies(documents: DataFrame) -> DataFrame:
     rows = near_groups(documents)
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query(
+    "op12_merkle_manifest",
+    r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(changed)::VARCHAR || ':' || changed, '-')) AS claimed,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-'))) - 1 AS place
+  FROM (
+    SELECT *, coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+              || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars, '-') AS head,
+           CASE WHEN xor(crc, 4294967295) & 1 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+    FROM d
+  )
+), tiers AS (
+  SELECT source, 0 AS tier, list(leaf ORDER BY place) AS nodes FROM leaves GROUP BY source
+  UNION ALL
+  SELECT source, tier + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM tiers WHERE len(nodes) > 1
+), subroots AS (
+  SELECT source, tier AS top, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM tiers WHERE len(nodes) = 1
+), crown AS (
+  SELECT 0 AS tier, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL
+  SELECT tier + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM crown WHERE len(nodes) > 1
+), path AS (
+  SELECT l.doc_id, l.source, l.place AS row, l.leaf, s.subroot, s.top, s.place AS above, 0 AS tier, l.place AS place, '' AS proof, l.claimed AS own
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT p.doc_id, p.source, p.row, p.leaf, p.subroot, p.top, p.above, p.tier + 1,
+         CASE WHEN p.tier + 1 = p.top THEN p.above ELSE p.place // 3 END,
+         p.proof || array_to_string(r.left_side, '') || array_to_string(r.right_side, ''),
+         sha256(array_to_string(r.left_side, '') || p.own || array_to_string(r.right_side, ''))
+  FROM (SELECT * FROM path WHERE tier < top) p JOIN tiers t ON p.source IS NOT DISTINCT FROM t.source AND p.tier = t.tier,
+       LATERAL (SELECT t.nodes[p.place // 3 * 3 + 1:p.place] AS left_side, t.nodes[p.place + 2:p.place // 3 * 3 + 3] AS right_side) r
+), crown_path AS (
+  SELECT doc_id, source, row, leaf, subroot, 0 AS tier, above AS place, proof, own FROM path WHERE tier = top
+  UNION ALL
+  SELECT p.doc_id, p.source, p.row, p.leaf, p.subroot, p.tier + 1, p.place // 3,
+         p.proof || array_to_string(t.nodes[p.place // 3 * 3 + 1:p.place], '') || array_to_string(t.nodes[p.place + 2:p.place // 3 * 3 + 3], ''),
+         sha256(array_to_string(t.nodes[p.place // 3 * 3 + 1:p.place], '') || p.own || array_to_string(t.nodes[p.place + 2:p.place // 3 * 3 + 3], ''))
+  FROM crown_path p JOIN crown t ON p.tier = t.tier AND len(t.nodes) > 1
+), root AS (
+  SELECT tier, nodes[1] AS root FROM crown WHERE len(nodes) = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, own AS folded_root, own = root AS verified
+FROM crown_path JOIN root USING (tier)
+""",
+)
+def manifest(documents: DataFrame) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    rows = dataset_manifest(documents, claim={"text": tampered})
+    rows = rows.withColumn("folded_root", folded(F.col("claimed"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
