@@ -13,6 +13,7 @@ from .hyper_language import identify_languages
 from .lm_scoring import score_texts
 from .merkle import dataset_manifest, folded, proof_text
 from .mixing import mix_sources
+from .passage_dedup import remove_passages
 from .registry import QUERIES, SQL, query
 from .repetition import repetition_rules
 from .secrets import find_secrets, span_text
@@ -269,3 +270,10 @@ def manifest(documents: DataFrame) -> DataFrame:
     rows = dataset_manifest(documents, claim={"text": tampered})
     rows = rows.withColumn("folded_root", folded(F.col("claimed"), F.col("proof")))
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_passage_dedup")
+def passages(documents: DataFrame) -> DataFrame:
+    rows = remove_passages(documents)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
