@@ -18,6 +18,7 @@ from .registry import QUERIES, SQL, query
 from .repetition import repetition_rules
 from .secrets import find_secrets, span_text
 from .substring_dedup import remove_repeats
+from .token_alignment import align_corpus
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -212,6 +213,12 @@ def near_copies(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op11_token_alignment")
+def alignment(documents: DataFrame) -> DataFrame:
+    rows, _ = align_corpus(documents)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query(
     "op12_merkle_manifest",
     r"""
