@@ -248,13 +248,13 @@ def remove_passages(
     places = texts.mapInArrow(find_suffixes(length, prefixes[0]), _PLACES).repartition(n, "prefix")
     before = F.lag("context").over(by_prefix.orderBy("context", "doc_id", "row", "start"))
     places = places.withColumn("again", F.col("context").isNull() | F.coalesce(before == F.col("context"), F.lit(False)))
-    places = places.withColumn("mixed", F.min("context").over(by_prefix) != F.max("context").over(by_prefix)).filter("again or mixed")
-    places = scratch.keep(places.select("again", "prefix", "row", "start", "width"), "places")
+    places = places.withColumn("mixed", F.min("context").over(by_prefix) != F.max("context").over(by_prefix))
+    places = places.withColumn("size", F.sum(F.when(~F.col("again"), F.col("width") - length + 1)).over(by_prefix)).filter("again or mixed")
+    places = scratch.keep(places.select("again", "prefix", "row", "start", "width", (F.col("size") > group).alias("large")), "places")
     covered = places.filter("again").select("row", "start", "width")
 
     wanted = places.filter("not again")
-    large = wanted.groupBy("prefix").agg(F.sum(F.col("width") - length + 1).alias("size")).filter(F.col("size") > group).select("prefix", F.lit(True).alias("large"))
-    wanted = wanted.join(large, "prefix", "left").groupBy("row").agg(F.collect_list(F.struct("prefix", "start", "width", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("prefix", "start", "width", "large")).alias("wanted"))
     contexts = scratch.keep(texts.join(wanted, "row").select("row", "doc_id", "text", "wanted").mapInArrow(cut_words(length), _CONTEXTS), "contexts")
     grouped, rest = contexts.filter("key is not null"), contexts.filter("key is null")
     if not rest.isEmpty():
