@@ -39,7 +39,7 @@ CHECK_WEIGHTS = {
     "external_links": 1.0,
 }
 EXAMPLES = 5
-CRAWL_COLUMNS = {"final_url": "string", "redirect_chain": "array<string>"}
+CRAWL_COLUMNS = {"final_url": "string", "redirect_chain": "array<string>", "crawl_error": "string"}
 MIN_DUPLICATE_WORDS = 50
 
 
@@ -134,7 +134,8 @@ def run_checks(annotated: DataFrame) -> DataFrame:
     """Add ``checks``: every rule's outcome in one wide projection."""
     status = F.coalesce("status_code", F.lit(200))
     usable = is_usable(status, F.coalesce("crawl_quality", F.lit("ok")))
-    return annotated.withColumn("checks", rules.checks((status == 200) & usable, status, usable))
+    absent = {c: F.lit(None).cast(kind) for c, kind in CRAWL_COLUMNS.items() if c not in annotated.columns}
+    return rules.apply_rules(annotated.withColumns(absent) if absent else annotated, (status == 200) & usable, status, usable)
 
 
 def _issues() -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +37,57 @@ def once_per_delivery(stream: DataFrame, *, key: str = "delivery_id", time: str
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def append_new(path: str, key: str = "delivery_id"):
-    """A ``foreachBatch`` writer that appends only unseen keys, so a replayed batch changes nothing."""
+def committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """(run, batch) of the last committed batch of every writer.
+
+    Batches of one writer come in order, so the last id says it all. It stands in one of two slots that commits overwrite in turn:
+    a commit that is cut off leaves the one before.
+    """
+    marks = stored(spark, f"{path}/_commits/*/*")
+    return None if marks is None else marks.groupBy("run").agg(F.max("batch").alias("batch"))
+
+
+def delivered(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame | None:
+    """Rows of committed batches, of all days or only those named (the folders of other days are not even listed)."""
+    folder = f"{path}/day=*" if days is None else f"{path}/day={{{','.join(days)}}}"
+    try:
+        rows = spark.read.option("basePath", path).parquet(folder)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = committed(spark, path)
+    if last is None:
+        return None
+    done = last.select(F.col("run").alias("_run"), F.col("batch").alias("_last"))
+    return rows.join(F.broadcast(done), (F.col("run") == F.col("_run")) & (F.col("batch") <= F.col("_last"))).drop("_run", "_last", "run", "batch")  # one row per writer
+
+
+def append_new(path: str, key: str = "delivery_id", *, time: str = "ts", delay_days: int = 1, run: str = "main"):
+    """A ``foreachBatch`` writer that appends only unseen keys and commits whole batches.
+
+    Rows lie in day=/run=/batch= folders and count once their batch is committed (:func:`delivered` reads those). A batch that comes again
+    after a crash overwrites its own folders; one that was committed is passed over. Known keys are looked up only in the days from
+    ``delay_days`` before the batch's first row to its last, as redeliveries come within that time; rows without a time are looked up
+    among each other. A stream that starts over with a new checkpoint counts batches from 0 and needs another ``run`` name.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        known = stored(spark, path)
+        last = committed(spark, path)
+        if last is not None and not last.filter((F.col("run") == run) & (F.col("batch") >= batch_id)).isEmpty():
+            return
+        fresh = cut(batch.dropDuplicates([key]).withColumn("day", F.to_date(time)))
+        span = fresh.agg(F.min("day"), F.max("day")).first()
+        days = ["__HIVE_DEFAULT_PARTITION__"]
+        if span[0] is not None:
+            days += [str(d.date()) for d in pd.date_range(span[0] - pd.Timedelta(days=delay_days), span[1])]
+        known = delivered(spark, path, days)
         out = fresh if known is None else fresh.join(known.select(key), key, "left_anti")
-        cut(out).write.mode("append").parquet(path)
+        out = out.withColumns({"run": F.lit(run), "batch": F.lit(batch_id).cast("long")})
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run", "batch").parquet(path)
+        mark = spark.range(1).select(F.lit(run).alias("run"), F.lit(batch_id).cast("long").alias("batch"))
+        mark.write.mode("overwrite").parquet(f"{path}/_commits/{run}/{batch_id % 2}")
 
     return write
 
@@ -98,22 +141,24 @@ class SilentRunProcessor(StatefulProcessor):
         return {"run_id": key[0], "failed_at": pd.Timestamp(ts + self._limit(status), unit="ms"), "last_status": status}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """One state update per batch: signs of life in order, each compared with the one before it."""
         frame = pd.concat(list(rows)).sort_values(["ts", "status"])
-        times = frame["ts"].astype("datetime64[ms]").astype("int64").tolist()
-        current = self.last.get() if self.last.exists() else None
-        out = []
-        for ts, status in zip(times, frame["status"]):
-            if current is not None and ts < current[0]:
-                continue
-            if current is not None and current[1] in ("queued", "running") and ts - current[0] > self._limit(current[1]):
-                out.append(self._row(key, current[0], current[1]))
-            current = (ts, status)
-        self.last.update(current)
+        times = frame["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+        statuses = frame["status"].to_numpy()
+        if self.last.exists():
+            known = self.last.get()
+            later = times >= known[0]
+            times, statuses = np.concatenate([[known[0]], times[later]]), np.concatenate([[known[1]], statuses[later]])
+        limit = np.select([statuses == "queued", statuses == "running"], [QUEUED_LIMIT * 1000, RUNNING_LIMIT * 1000], np.iinfo(np.int64).max)
+        late = np.flatnonzero(np.diff(times) > limit[:-1])
+        last = (int(times[-1]), statuses[-1])
+        self.last.update(last)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if current[1] in ("queued", "running"):
-            self.handle.registerTimer(current[0] + self._limit(current[1]))
-        yield pd.DataFrame(out, columns=["run_id", "failed_at", "last_status"])
+        if last[1] in ("queued", "running"):
+            self.handle.registerTimer(last[0] + self._limit(last[1]))
+        failed = pd.to_datetime(times[late] + limit[late], unit="ms")
+        yield pd.DataFrame({"run_id": np.full(len(late), key[0]), "failed_at": failed, "last_status": statuses[late]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ts, status = self.last.get()
@@ -150,7 +195,46 @@ def daily_site_series(stream: DataFrame, *, delay: str = "1 day") -> DataFrame:
 
 
 # ── changed pages ────────────────────────────────────────────────────────────
-def changed_since_analysis(stream: DataFrame, analysed: DataFrame) -> DataFrame:
-    """Observations whose content hash differs from the newest analysed one (stream-static join)."""
-    newest = analysed.groupBy("page_id").agg(F.max_by("content_hash", "analysed_at").alias("_known"))
-    return stream.join(newest, "page_id", "left").filter(~F.equal_null("content_hash", "_known") | F.col("content_hash").isNull()).drop("_known")
+class ChangedPageProcessor(StatefulProcessor):
+    """Passes observations whose hash is not the one seen last; state is that hash, at first the one of the stored analysis."""
+
+    def __init__(self, hash_col: str, order: list[str]) -> None:
+        self.hash_col, self.order = hash_col, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "hash string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        newest = initialState["_known"].iloc[0]
+        if newest is not None:
+            self.known.update((newest,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable") if self.order else pd.concat(list(rows))
+        hashes = frame[self.hash_col].astype(object).where(frame[self.hash_col].notna(), None)
+        before = self.known.get()[0] if self.known.exists() else None
+        seen = pd.concat([pd.Series([before], dtype=object), hashes], ignore_index=True).ffill()  # what is known after each row
+        changed = hashes.isna().to_numpy() | (seen.iloc[:-1].to_numpy() != seen.iloc[1:].to_numpy())
+        if seen.iloc[-1] is not None and seen.iloc[-1] != before:
+            self.known.update((seen.iloc[-1],))
+        yield frame[changed]
+
+    def close(self) -> None:
+        pass
+
+
+def changed_since_analysis(stream: DataFrame, analysed: DataFrame, *, key: str = "page_id", hash_col: str = "content_hash", order: list[str] | None = None) -> DataFrame:
+    """Observations whose content hash is not the one known of their page.
+
+    The state of a page is its last hash. It starts as that of the newest stored analysis, which is read once, and follows the stream:
+    a page that is seen twice with one new hash is passed once. Within a micro-batch rows go by ``order`` (columns of the stream).
+    Rows without a hash always pass and change nothing. Needs the RocksDB state store provider.
+    """
+    newest = analysed.groupBy(key).agg(F.max_by(hash_col, "analysed_at").alias("_known"))
+    return stream.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=ChangedPageProcessor(hash_col, order or []),
+        outputStructType=stream.schema,
+        outputMode="Append",
+        timeMode="None",
+        initialState=newest.groupBy(key),
+    )

@@ -131,15 +131,6 @@ def test_roadmap_caps_and_fallback(spark):
     assert got == [(1, "recommendation", 10), (2, "matrix", 1)]
 
 
-def test_replayed_delivery_batches_change_nothing(spark, tmp_path):
-    path = str(tmp_path / "deliveries")
-    write = deliveries.append_new(path)
-    batch = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "delivery_id string, v int")
-    for i in range(2):
-        write(batch, i)
-    assert sorted(r.delivery_id for r in spark.read.parquet(path).collect()) == ["a", "b"]
-
-
 def test_resync_rewrites_only_touched_dates(spark, tmp_path):
     path = str(tmp_path / "facts")
     write = deliveries.resync(path)

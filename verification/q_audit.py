@@ -189,7 +189,7 @@ for _number, _id in enumerate(SQL_RULES, start=1):
             usable = html.is_usable()
             skipped = rules.outcome("skipped", rules.text("Check skipped: HTTP {s}{w}.", s=status, w=F.when(usable, "").otherwise(" and no document was retrieved")))
             x = rules.evaluated(rules.REGISTRY[rule_id], (status == 200) & usable, skipped)
-            return pages.select("page_id", x.alias("x")).select("page_id", "x.o.status", "x.o.score", "x.o.severity", "x.o.details")
+            return pages.withColumn("crawl_error", F.lit("none")).select("page_id", x.alias("x")).select("page_id", "x.o.status", "x.o.score", "x.o.severity", "x.o.details")
 
     _make(_number, _id)
 
@@ -246,19 +246,87 @@ def _(t):
     )
 
 
-@query("udf01_registered_rule", "SELECT page_id, CASE WHEN h2_count > 3 THEN 'warning' ELSE 'pass' END AS status, CASE WHEN h2_count > 3 THEN concat(h2_count, ' sections') ELSE 'fine' END AS details FROM {signal}")
+OWN_RULES: dict[str, rules.Rule] = {}  # user-defined checks: the decorator alone makes them part of audit, catalogue and weights
+FAILING_RULES: dict[str, rules.Rule] = {}
+
+
+@rules.rule("many_sections", "headings", 0.0, "Many sections", "Split the page.", into=OWN_RULES)
+def many_sections():
+    """Long pages with many sections."""
+    c = rules.n("h2_count")
+    return rules.decide((c > 3, rules.warn(rules.text("{c} sections", c=c), 90.0, "LOW")), otherwise=rules.ok("fine"))
+
+
+@rules.row_rule("alt_ratio", "images", 0.0, "Share of images without text", "Describe the images.", ("image_count", "missing_alt_count"), into=OWN_RULES)
+def alt_ratio(page):
+    """Divides without looking: pages without images raise."""
+    share = page["missing_alt_count"] / page["image_count"]
+    return {"status": "warning", "score": 100 - 50 * share, "severity": "LOW", "details": f"{share:.2f}", "evidence": {"images": page["image_count"]}} if share > 0.5 else None
+
+
+@rules.rule("words_per_section", "headings", 0.0, "Words per section", "Split the page.", into=FAILING_RULES)
+def words_per_section():
+    """Divides without looking: pages without H2 fail."""
+    return rules.warn(rules.text("{w} words", w=F.col("word_count")), 100 / F.col("h2_count"), "LOW")
+
+
+@rules.rule("numeric_title", "metadata", 0.0, "Number in title", "Use words.", into=FAILING_RULES)
+def numeric_title():
+    """Casts text that is never a number."""
+    return rules.fail("a number", "HIGH", F.col("title").cast("int") + 1)
+
+
+@rules.rule("first_type", "structured_data", 0.0, "First type", "Name a type.", into=FAILING_RULES)
+def first_type():
+    """Looks up an element that only some pages have."""
+    kind = F.element_at("structured_data_types", 1)
+    return rules.outcome(F.when(kind.isNotNull(), "warning"), kind, 50.0, "LOW", advice=F.concat(F.lit("Check "), kind))
+
+
+@rules.rule("unknown_column", "metadata", 0.0, "Unknown column", "None.", into=FAILING_RULES)
+def unknown_column():
+    """Reads a column that no page table has."""
+    return rules.warn("never", F.col("no_such_column"), "LOW")
+
+
+@rules.rule("broken", "metadata", 0.0, "Broken", "None.", into=FAILING_RULES)
+def broken():
+    """Raises while it is built."""
+    raise RuntimeError("boom")
+
+
+def _own_checks(t, registry, *fields):
+    pages = rules.apply_rules(signals(t), F.lit(True), F.col("status_code"), F.lit(True), registry)
+    return pages.select("page_id", F.explode("checks").alias("c")).select("page_id", *[f"c.{f}" for f in fields])
+
+
+@query("udf01_registered_rule", """
+    SELECT page_id, 'many_sections' AS rule_id, CASE WHEN h2_count > 3 THEN 'warning' ELSE 'pass' END AS status, CASE WHEN h2_count > 3 THEN 90.0 ELSE 100.0 END::DOUBLE AS score, CASE WHEN h2_count > 3 THEN concat(h2_count, ' sections') ELSE 'fine' END AS details, NULL AS images FROM {signal}
+    UNION ALL SELECT page_id, 'alt_ratio', CASE WHEN s > 0.5 THEN 'warning' ELSE 'pass' END, CASE WHEN s > 0.5 THEN 100 - 50 * s ELSE 100 END, CASE WHEN s > 0.5 THEN printf('%.2f', s) ELSE 'No problem detected.' END, CASE WHEN s > 0.5 THEN image_count::VARCHAR END
+    FROM (SELECT *, CASE WHEN image_count > 0 THEN missing_alt_count::DOUBLE / image_count END AS s FROM {signal})""")
 def _(t):
-    if "many_sections" not in rules.REGISTRY:
-        # A user-defined check: the decorator alone makes it part of audit, catalogue and weights.
-        @rules.rule("many_sections", "headings", 0.0, "Many sections", "Split the page.")
-        def many_sections():
-            """Long pages with many sections."""
-            c = rules.n("h2_count")
-            return rules.decide((c > 3, rules.warn(rules.text("{c} sections", c=c), 90.0, "LOW")), otherwise=rules.ok("fine"))
+    return _own_checks(t, OWN_RULES, "rule_id", "status", "score", "details", "evidence").withColumn("images", F.try_element_at("evidence", F.lit("images"))).drop("evidence")
 
-    extra = rules.REGISTRY.pop("many_sections")
-    x = rules.evaluated(extra, F.lit(True), rules.outcome("skipped", "skipped"))
-    return signals(t).select("page_id", x.alias("x")).select("page_id", "x.o.status", "x.o.details")
+
+@query("udf01_failing_rules", """
+    SELECT page_id, rule_id, CASE WHEN bad THEN 'pass' ELSE 'warning' END AS status, CASE WHEN bad THEN 100 ELSE score END::DOUBLE AS score, CASE WHEN bad THEN NULL ELSE 'LOW' END AS severity, CASE WHEN bad THEN 'No problem detected.' ELSE details END AS details, CASE WHEN bad THEN hint ELSE advice END AS recommendation FROM (
+      SELECT page_id, 'words_per_section' AS rule_id, h2_count = 0 AS bad, CASE WHEN h2_count > 0 THEN 100.0 / h2_count END AS score, concat(word_count, ' words') AS details, 'Split the page.' AS hint, 'Split the page.' AS advice FROM {signal}
+      UNION ALL SELECT page_id, 'first_type', types = '', 50.0, split_part(types, ',', 1), 'Name a type.', concat('Check ', split_part(types, ',', 1)) FROM {signal}
+      UNION ALL SELECT page_id, 'numeric_title', TRUE, NULL, NULL, 'Use words.', NULL FROM {signal}
+      UNION ALL SELECT page_id, x, TRUE, NULL, NULL, 'None.', NULL FROM {signal}, (VALUES ('unknown_column'), ('broken')) AS v(x))""")
+def _(t):
+    return _own_checks(t, FAILING_RULES, "rule_id", "status", "score", "severity", "details", "recommendation")
+
+
+@query("rul01_advice_and_error", f"""
+    SELECT page_id, CASE WHEN status_code IN (301, 302, 303, 307, 308) THEN 'Link directly to the destination URL so users and crawlers skip the hop.' WHEN status_code = 0 THEN 'Check DNS, TLS and server availability for this URL.'
+             ELSE 'Fix the server or application response so the URL returns HTTP 200.' END AS recommendation,
+           CASE WHEN status_code <> 200 THEN status_code::VARCHAR END AS status_code, CASE WHEN status_code = 0 AND k % 2 = 0 THEN concat('timeout after ', k % 9, ' s') END AS error FROM {{signal}}""")
+def _(t):
+    failed = F.when((F.col("status_code") == 0) & (F.col("k") % 2 == 0), F.concat(F.lit("timeout after "), (F.col("k") % 9).cast("string"), F.lit(" s")))
+    rows = plan.run_checks(plan.annotate(signals(t).withColumn("crawl_error", failed))).select("page_id", F.filter("checks", lambda c: c["rule_id"] == "http_status")[0].alias("c"))
+    at = lambda key: F.try_element_at("c.evidence", F.lit(key))
+    return rows.select("page_id", "c.recommendation", at("status_code").alias("status_code"), at("error").alias("error"))
 
 
 # ── extraction of the supplied pages ─────────────────────────────────────────

@@ -182,19 +182,40 @@ def event_stream(t):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(t, stream, writer=None, mode="append"):
+def drain(t, stream, writer=None, mode="append", read=None):
     """Run a stream to the end of its source and return what it wrote."""
     base = f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     out = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
     out = out.format("parquet").option("path", f"{base}/out") if writer is None else out.foreachBatch(writer(f"{base}/out"))
     out.start().awaitTermination()
-    return t.spark.read.parquet(f"{base}/out")
+    return t.spark.read.parquet(f"{base}/out") if read is None else read(t.spark, f"{base}/out")
+
+
+def event_halves(t):
+    """The events as a stream of two micro-batches, earlier ids first; every file of the folder is one batch."""
+    events = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    folder = f"{checkpoint_dir(t.spark)}/halves-{uuid.uuid4().hex}"
+    middle = events.agg(F.max("event_id")).first()[0] // 2
+    for half in (F.col("event_id") <= middle, F.col("event_id") > middle):  # the source takes the older file first
+        events.filter(half).coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("str01_delivery_once", "SELECT event_id // 2 AS delivery_id FROM events GROUP BY 1")
 def _(t):
     stream = event_stream(t).select((F.floor(F.col("event_id") / 2)).alias("delivery_id"), "ts", "event_type")
-    return drain(t, deliveries.once_per_delivery(stream, delay="1 day"), deliveries.append_new).select("delivery_id")
+    return drain(t, deliveries.once_per_delivery(stream, delay="1 day"), deliveries.append_new, read=deliveries.delivered).select("delivery_id")
+
+
+@query("str01_committed_sink", "SELECT event_id // 2 AS delivery_id, CAST(min(ts) AS DATE) AS day FROM events GROUP BY 1")
+def _(t):
+    """Two micro-batches, the sink alone keeps redeliveries out."""
+    stream = event_halves(t).select(F.floor(F.col("event_id") / 2).alias("delivery_id"), "ts")
+    days = lambda path: deliveries.append_new(path, delay_days=40)
+    out = drain(t, stream, days, read=deliveries.delivered)
+    first = t.events.groupBy(F.floor(F.col("event_id") / 2).alias("delivery_id")).agg(F.to_date(F.min("ts")).alias("day"))
+    return out.select("delivery_id").join(first, "delivery_id")
 
 
 @query(
@@ -252,11 +273,17 @@ def deliveries_round(c):
     return rnd(c, 2).alias(c)
 
 
+_KNOWN = "SELECT p_partkey AS page_id, concat('h', p_size % 5) AS h FROM part"
+
+
 @query(
     "str05_changed_pages",
-    "SELECT event_id FROM events e LEFT JOIN (SELECT p_partkey AS page_id, concat('h', p_size % 5) AS h FROM part) a ON a.page_id = e.user_id WHERE concat('h', e.event_id % 5) IS DISTINCT FROM a.h",
+    f"""SELECT event_id FROM (SELECT e.event_id, concat('h', e.event_id % 5) AS h, lag(concat('h', e.event_id % 5), 1, a.h) OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS before
+          FROM events e LEFT JOIN ({_KNOWN}) a ON a.page_id = e.user_id) WHERE h IS DISTINCT FROM before""",
 )
 def _(t):
-    stream = event_stream(t).select("event_id", F.col("user_id").alias("page_id"), F.concat(F.lit("h"), (F.col("event_id") % 5).cast("string")).alias("content_hash"))
+    """Over two micro-batches: the hash known of a page follows the stream."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = event_halves(t).select("event_id", F.col("user_id").alias("page_id"), F.concat(F.lit("h"), (F.col("event_id") % 5).cast("string")).alias("content_hash"))
     analysed = t.part.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("h"), (F.col("p_size") % 5).cast("string")).alias("content_hash"), F.lit(1).alias("analysed_at"))
-    return drain(t, deliveries.changed_since_analysis(stream, analysed)).select("event_id")
+    return drain(t, deliveries.changed_since_analysis(stream, analysed, order=["event_id"])).select("event_id")
