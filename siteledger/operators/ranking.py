@@ -1,10 +1,8 @@
 """Exact ranks inside groups that may hold most of the table.
 
-A plain ``percent_rank().over(partitionBy(site))`` sorts a whole site in one task. These operators
-first reduce the rows to counts per value (partial aggregation runs before the shuffle), then rank
-the counts in two levels: running totals over bins of a group, and running totals over the values
-inside one bin. Every window partition is bounded by the number of bins or by the number of distinct
-values a bin can hold, never by the number of rows.
+A plain ``row_number().over(partitionBy(site))`` sorts a whole site in one task. Here rows are range-partitioned by group and
+order, so a large group spans many tasks in order. The rows of a group before a task follow from one count per (group, task), and
+a window inside (group, task) gives the rest. Nothing is assumed of ids, values or how many of them are distinct.
 """
 
 from __future__ import annotations
@@ -14,86 +12,73 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .joins import HEAVY_ROWS, heavy_join
 
-def value_ranks(df: DataFrame, group: Sequence[str], value: str, *, bin_width: float, descending: bool = False) -> DataFrame:
-    """One row per (group, value): rows before it in the order, rows equal to it, rows in the group.
+PART = "_part"
 
-    ``bin_width`` should keep both the number of bins per group and the distinct values per bin in
-    the thousands; for values rounded to six decimals a width of 0.001 bounds a bin to 1 000 values.
+
+def in_order(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows with ``_part``, the number of their range partition by group and order; materialised, so that the numbers stay."""
+    return cut(df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn(PART, F.spark_partition_id()))
+
+
+def with_running_total(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, *, weight: str | None = None, total: str | None = None, keep_part: bool = False
+) -> DataFrame:
+    """Add ``name``: the weights (default 1) of the rows of the group before a row in the order; ``total``: those of the whole group.
+
+    ``order`` should be unique in a group: rows that are equal in it count in any order, and fall into one range partition.
     """
     group = list(group)
-    counts = (
-        df.groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("_same"))
-        .withColumn("_bin", F.floor(F.col(value) / F.lit(bin_width)))
-    )
-    order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    in_group = Window.partitionBy(*group)
-    earlier_bins = in_group.orderBy(order("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        counts.groupBy(*group, "_bin")
-        .agg(F.sum("_same").alias("_in_bin"))
-        .withColumn("_offset", F.coalesce(F.sum("_in_bin").over(earlier_bins), F.lit(0)))
-        .withColumn("_total", F.sum("_in_bin").over(in_group))
-        .drop("_in_bin")
-    )
-    earlier_values = (
-        Window.partitionBy(*group, "_bin").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        counts.join(bins, [*group, "_bin"])
-        .withColumn("rows_before", F.col("_offset") + F.coalesce(F.sum("_same").over(earlier_values), F.lit(0)))
-        .select(*group, value, "rows_before", F.col("_same").alias("rows_equal"), F.col("_total").alias("rows_total"))
+    value = F.lit(1) if weight is None else F.col(weight)
+    rows = in_order(df, group, order)
+    whole = Window.partitionBy(*group)
+    until = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = rows.groupBy(*group, PART).agg(F.sum(value).alias("_n"))
+    parts = parts.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(PART).alias("_p"),
+        (F.sum("_n").over(until) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_total"),
     )
+    inside = Window.partitionBy(*group, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = F.col(PART) == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.equal_null(F.col(g), F.col(f"_g{i}"))
+    out = counted.join(parts, same).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long"))
+    if total:
+        out = out.withColumn(total, F.col("_total").cast("long"))
+    return out.drop("_p", "_before", "_total", "_inside", *[f"_g{i}" for i in range(len(group))], *([] if keep_part else [PART]))
+
+
+def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, *, total: str | None = None, keep_part: bool = False) -> DataFrame:
+    """Add a 1-based position in the order of the group; end ``order`` with a unique column."""
+    return with_running_total(df, group, order, name, total=total, keep_part=keep_part).withColumn(name, F.col(name) + 1)
+
 
+def value_ranks(df: DataFrame, group: Sequence[str], value: str, *, descending: bool = False) -> DataFrame:
+    """One row per (group, value): rows before it in the order, rows equal to it, rows in the group."""
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("rows_equal"))
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    out = with_running_total(counts, group, [order], "rows_before", weight="rows_equal", total="rows_total")
+    return out.select(*group, value, "rows_before", "rows_equal", "rows_total")
 
-def percent_ranks(df: DataFrame, group: Sequence[str], values: dict[str, str], *, bin_width: float = 0.001) -> DataFrame:
+
+def percent_ranks(df: DataFrame, group: Sequence[str], values: dict[str, str], *, limit: int = HEAVY_ROWS) -> DataFrame:
     """Add ``values[v]`` = percent rank of column ``v`` inside its group, for every v.
 
-    Ties share the rank of their first row; a constant or single-row group ranks 0.
+    Ties share the rank of their first row; a constant or single-row group ranks 0. A value that many rows share (often 0) is
+    joined in parts of ``limit`` rows.
     """
     out = df
     for value, name in values.items():
-        ranks = value_ranks(df, group, value, bin_width=bin_width).select(
-            *group,
-            value,
-            F.when(F.col("rows_total") > 1, F.col("rows_before") / (F.col("rows_total") - 1))
-            .otherwise(F.lit(0.0))
-            .alias(name),
-        )
-        out = out.join(ranks, [*group, value], "left")
+        ranks = cut(value_ranks(df, group, value))
+        share = F.when(F.col("rows_total") > 1, F.col("rows_before") / (F.col("rows_total") - 1)).otherwise(F.lit(0.0))
+        sizes = ranks.select(*group, value, F.col("rows_equal").alias("rows"))
+        out = heavy_join(out, ranks.select(*group, value, share.alias(name)), [*group, value], "left", limit=limit, sizes=sizes)
     return out
 
 
-def row_numbers(
-    df: DataFrame, group: Sequence[str], score: str, tie: str, name: str, *, tie_span: int = 1_000_000
-) -> DataFrame:
-    """Add a 1-based position by ``score`` descending (nulls last), then integer ``tie`` ascending.
-
-    ``score`` must have few distinct values (scores are rounded to one or two decimals). Rows are cut
-    into cells (group, score, tie // tie_span); cell sizes give each cell its offset and a
-    row number inside the cell gives the rest, so no task ever sorts a whole group.
-    """
-    group = list(group)
-    cell = [*group, "_key", "_span"]
-    keyed = df.withColumn("_key", F.coalesce(F.col(score), F.lit(float("-inf")))).withColumn(
-        "_span", F.floor(F.col(tie) / F.lit(tie_span))
-    )
-    before = (
-        Window.partitionBy(*group)
-        .orderBy(F.col("_key").desc(), F.col("_span").asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    cells = (
-        keyed.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(F.col(tie).asc()))
-    return keyed.join(cells, cell).withColumn(name, (F.col("_offset") + inside).cast("long")).drop("_key", "_span", "_offset")
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key. Spark prunes each map task to one row per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

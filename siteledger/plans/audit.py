@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import SEVERITIES, SEVERITY_RANK, health_category, lookup, num, rnd, severity_name, severity_rank, technical_band
 from ..functions.urls import normalize_url, url_path
 from ..operators import rules
+from ..operators.joins import HEAVY_ROWS, heavy_join
 from ..operators.ranking import newest_per_key, top_per_key
 from ..session import cut
 from ..sources.html import has_document, is_usable
@@ -53,25 +54,23 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.explode("internal_links").alias("_t")).select("url", normalize_url("_t").alias("target"))
 
 
-def link_counts(edges: DataFrame, pages: DataFrame) -> DataFrame:
+def link_counts(edges: DataFrame, pages: DataFrame, *, limit: int = HEAVY_ROWS) -> DataFrame:
     """Per page url: broken outgoing links and distinct linking pages.
 
-    Occurrences collapse to (source, target, n) before any join, so a target linked from everywhere
-    meets the status table with one row per linking page, and its inbound count is a partial sum.
+    Occurrences collapse to (source, target, n) before any join, and a target's inbound count is a partial sum. A target that more
+    than ``limit`` pages link to, such as a broken link in the navigation, meets the status table in several tasks.
     A page counts under its own and its final url and takes the larger figure.
     """
-    pairs = edges.groupBy("url", "target").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut(edges.groupBy("url", "target").agg(F.count(F.lit(1)).alias("n")))
+    inbound = pairs.groupBy("target").agg(F.count(F.lit(1)).alias("_in"))
     statuses = (
         pages.select(F.explode(F.array_distinct(F.array("url", effective_url()))).alias("target"), "status_code")
         .groupBy("target")
         .agg(F.max("status_code").alias("status_code"))
     )
-    broken = (
-        pairs.join(statuses.filter("status_code >= 400"), "target")
-        .groupBy("url")
-        .agg(F.sum("n").alias("broken_link_count"))
-    )
-    inbound = pairs.groupBy("target").agg(F.count(F.lit(1)).alias("_in"))
+    faulty = statuses.filter("status_code >= 400").select("target")
+    linked = heavy_join(pairs, faulty, ["target"], limit=limit, sizes=inbound.withColumnRenamed("_in", "rows"), spread=["url"])
+    broken = linked.groupBy("url").agg(F.sum("n").alias("broken_link_count"))
     seen = (
         pages.select("url", F.explode(F.array_distinct(F.array("url", effective_url()))).alias("target"))
         .join(inbound, "target")
@@ -87,42 +86,66 @@ def link_counts(edges: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 # ── duplicates ───────────────────────────────────────────────────────────────
-def duplicate_groups(pages: DataFrame, key: Column, name: str) -> DataFrame:
-    """Add duplicate_<name>_count (members of the page's group) and up to five other URLs.
+def duplicate_keys() -> dict[str, Column]:
+    """What pages of a site may share: title, description, content of enough words."""
+    text_key = lambda c: F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
+    content = F.when(F.coalesce("word_count", F.lit(0)) >= MIN_DUPLICATE_WORDS, F.col("content_hash"))
+    return {"title": text_key("title"), "meta": text_key("meta_description"), "content": content}
 
-    Group sizes are partial counts; the examples are the six smallest URLs of a group, pruned before
-    the shuffle, so a group holding a third of the site is never gathered. Rows without a key are in no group; a spread
-    value of their own keeps them from meeting in one task of the join.
+
+def duplicate_signals(pages: DataFrame, *, limit: int = HEAVY_ROWS) -> DataFrame:
+    """Per (site_id, url, digests of the keys): size of the page's group and up to five other URLs, for every kind of key.
+
+    One narrow row per page and key, with the key as a digest. Group sizes are partial counts; the examples are the six smallest
+    URLs of a group, pruned before the shuffle, so a group holding a third of the site is never gathered, and one of more than
+    ``limit`` pages is joined in parts. Pages without a key are in no group.
     """
-    alone = F.pmod(F.xxhash64("url"), F.lit(1024)) + 1
-    keyed = pages.withColumn("_key", key).withColumns({"_spread": F.when(F.col("_key").isNull(), alone).otherwise(0), "_key": F.coalesce("_key", F.lit(""))})
-    members = keyed.filter("_spread = 0").select("site_id", "_key", effective_url().alias("_u"))
-    sizes = members.groupBy("site_id", "_key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    samples = (
-        top_per_key(members, ["site_id", "_key"], [F.col("_u").asc()], EXAMPLES + 1)
-        .groupBy("site_id", "_key")
-        .agg(F.array_sort(F.collect_list("_u")).alias("_sample"))
-    )
-    others = F.slice(F.filter("_sample", lambda u: u != effective_url()), 1, EXAMPLES)
-    return (
-        keyed.join(sizes.join(samples, ["site_id", "_key"]).withColumn("_spread", F.lit(0).cast("long")), ["site_id", "_key", "_spread"], "left")
-        .withColumns(
-            {
-                f"duplicate_{name}_count": F.coalesce("_size", F.lit(0)),
-                f"duplicate_{name}_examples": F.when(F.col("_size").isNotNull(), others),
-            }
-        )
-        .drop("_key", "_spread", "_size", "_sample")
-    )
+    kinds = list(duplicate_keys())
+    mine = ["site_id", "url", *[f"_{k}_key" for k in kinds]]
+    keyed = with_duplicate_keys(pages).select(*mine, effective_url().alias("_u"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}_key").alias("key")) for k in kinds])
+    long = cut(keyed.select(*mine, "_u", F.explode(F.filter(pairs, lambda p: p["key"].isNotNull())).alias("p")).select(*mine, "_u", "p.*"))
+    group = ["site_id", "kind", "key"]
+    sizes = long.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    samples = top_per_key(long.select(*group, "_u"), group, [F.col("_u").asc()], EXAMPLES + 1).groupBy(*group).agg(F.array_sort(F.collect_list("_u")).alias("sample"))
+    groups = cut(sizes.join(samples, group))
+    found = heavy_join(long, groups, group, limit=limit, sizes=groups.select(*group, "rows"), spread=["url"])
+    others = F.slice(F.filter("sample", lambda u: u != F.col("_u")), 1, EXAMPLES)
+    found = found.withColumn("g", F.struct("rows", others.alias("others")))
+    return found.groupBy(*mine).agg(*[F.max(F.when(F.col("kind") == k, F.col("g"))).alias(f"_{k}") for k in kinds])
 
 
-def annotate(pages: DataFrame) -> DataFrame:
-    """Duplicate title, description and content signals of every page within its site."""
-    text_key = lambda c: F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
-    content_key = F.when(F.coalesce("word_count", F.lit(0)) >= MIN_DUPLICATE_WORDS, F.col("content_hash"))
-    out = duplicate_groups(pages, text_key("title"), "title")
-    out = duplicate_groups(out, text_key("meta_description"), "meta")
-    return duplicate_groups(out, content_key, "content")
+def with_duplicate_keys(pages: DataFrame) -> DataFrame:
+    return pages.withColumns({f"_{k}_key": F.unhex(F.sha2(key.cast("binary"), 256)) for k, key in duplicate_keys().items()})
+
+
+def _settle_duplicates(rows: DataFrame) -> DataFrame:
+    kinds = list(duplicate_keys())
+    out = {f"duplicate_{k}_count": F.coalesce(F.col(f"_{k}.rows"), F.lit(0)) for k in kinds} | {f"duplicate_{k}_examples": F.col(f"_{k}.others") for k in kinds}
+    return rows.withColumns(out).drop(*[f"_{k}" for k in kinds], *[f"_{k}_key" for k in kinds])
+
+
+def _meet(pages: DataFrame, signals: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which null keys meet."""
+    renamed = signals.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in signals.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.equal_null(F.col(k), F.col(f"_j{i}"))
+    return pages.join(renamed, same, "left").drop(*[f"_j{i}" for i in range(len(keys))])
+
+
+def annotate(pages: DataFrame, counts: DataFrame | None = None, *, limit: int = HEAVY_ROWS) -> DataFrame:
+    """Duplicate title, description and content signals of every page within its site, and its link ``counts`` (by url) where given.
+
+    Both are narrow; whole pages are shuffled once. Pages without any duplicate have no row there.
+    """
+    keyed = with_duplicate_keys(pages)
+    found = duplicate_signals(pages, limit=limit)
+    mine = ["site_id", "url", *[f"_{k}_key" for k in duplicate_keys()]]
+    if counts is None:
+        return _settle_duplicates(_meet(keyed, found, mine))
+    narrow = _meet(keyed.select(*mine).distinct(), found, mine).join(counts, "url", "left")
+    return _settle_duplicates(_meet(keyed, narrow, mine))
 
 
 # ── rules and scores ─────────────────────────────────────────────────────────
@@ -185,8 +208,8 @@ def audit_pages(pages: DataFrame, edges: DataFrame | None = None, weights: dict[
     """
     absent = {c: F.lit(None).cast(kind) for c, kind in CRAWL_COLUMNS.items() if c not in pages.columns}
     base = cut(pages.withColumns(absent) if absent else pages)
-    counted = base.join(link_counts(link_edges(base) if edges is None else edges, base), "url", "left")
-    return score_checks(run_checks(annotate(counted)), weights, site_weights)
+    counts = link_counts(link_edges(base) if edges is None else edges, base)
+    return score_checks(run_checks(annotate(base, counts)), weights, site_weights)
 
 
 def issue_rows(audited: DataFrame, keys: tuple[str, ...] = ("site_id", "page_id")) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import is_probably_page, matches_any, normalize_url, registrable_domain
 from ..sources.html import discovered_urls
-from ..sources.robots_txt import allowed, with_rules
+from ..sources.robots_txt import allow_urls
 
 
 def admission(urls: DataFrame, rules: DataFrame | None = None, *, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def admission(urls: DataFrame, rules: DataFrame | None = None, *, include: list[
 
     ``urls`` has url and base_domain.
     """
-    rows = urls if rules is None else with_rules(urls, rules)
+    rows = urls if rules is None else allow_urls(urls, rules)
     u = F.col("url")
     tests = [
         (registrable_domain(u) != registrable_domain("base_domain"), "off_domain"),
@@ -26,11 +26,11 @@ def admission(urls: DataFrame, rules: DataFrame | None = None, *, include: list[
     if include:
         tests.append((~matches_any(u, include), "not_included"))
     if rules is not None:
-        tests.append((~allowed(), "robots"))
+        tests.append((~F.col("allowed"), "robots"))
     reason = F.lit(None).cast("string")
     for failed, name in reversed(tests):
         reason = F.when(failed, F.lit(name)).otherwise(reason)
-    return rows.withColumn("rejected_by", reason).drop("rules", "origin")
+    return rows.withColumn("rejected_by", reason).drop("allowed")
 
 
 def reject_counts(admitted: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def impact_rank(pages: DataFrame, scored: DataFrame) -> DataFrame:
     """Every page with its best score and its rank inside the site (1 = highest)."""
     best = scored.groupBy("page_id").agg(F.max("overall_priority").alias("impact_score"))
     ranked = pages.join(best, "page_id", "left").withColumn("_best", F.coalesce("impact_score", F.lit(0.0)))
-    return row_numbers(ranked, ["site_id"], "_best", "page_id", "rank").drop("_best")
+    return row_numbers(ranked, ["site_id"], [F.col("_best").desc(), F.col("page_id").asc()], "rank").drop("_best")
 
 
 def open_issue_counts(issues: DataFrame) -> DataFrame:
@@ -204,9 +204,8 @@ def selection_preview(
             "has_critical": F.col("highest_severity") == "CRITICAL",
         }
     )
-    # Ties prefer the lower health score: fold it into the ordering value (scores have one decimal).
-    rows = rows.withColumn("_order", F.round(F.col("_key") * 1000000.0 - F.col("_health") * 10.0, 0))
-    ranked = cut(row_numbers(rows, ["site_id"], "_order", "page_id", "rank").drop("_order", "_key", "_health"))
+    order = [F.col("_key").desc(), F.col("_health").asc(), F.col("page_id").asc()]
+    ranked = cut(row_numbers(rows, ["site_id"], order, "rank").drop("_key", "_health"))
 
     seo = F.col("seo_score")
     idle = (F.coalesce("issue_count", F.lit(0)) == 0) & ~F.col("intent_mismatch")

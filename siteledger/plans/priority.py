@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
@@ -15,7 +15,7 @@ from ..functions.priority import (
     semrush_opportunity_raw,
     seo_severity_raw,
 )
-from ..operators.ranking import percent_ranks
+from ..operators.ranking import PART, percent_ranks, row_numbers
 from ..operators.settings import overlay
 from ..session import cut
 
@@ -79,32 +79,19 @@ def _band(score: Column, site_pages: Column, cuts: dict[str, Column]) -> Column:
     return F.when(site_pages < SMALL_SITE, small).otherwise(relative)
 
 
-def band_and_rank(scored: DataFrame, score: str = "score", *, tie_span: int = 1_000_000) -> DataFrame:
+def band_and_rank(scored: DataFrame, score: str = "score") -> DataFrame:
     """Add ``band`` (relative to the site's own distribution, absolute below eight pages) and ``rank``.
 
-    Both follow from the counts of the cells (site, score, page_id // tie_span): scores have two
-    decimals, so a site has at most 10 001 of them and windows run over cell counts only. Rows join
-    their cell once and are numbered inside it; no task sorts a whole site.
+    The cut-offs of a site are the scores at the ranks of its shares. They reach the rows beside the range partitions of the site,
+    so no task sorts or joins a whole site.
     """
-    cell = ["site_id", score, "_span"]
-    spanned = scored.withColumn("_span", F.floor(F.col("page_id") / F.lit(tie_span)))
-    site = Window.partitionBy("site_id")
-    order = site.orderBy(F.col(score).desc(), F.col("_span").asc())
-    counts = (
-        spanned.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_offset", F.col("_end") - F.col("_n"))
-        .withColumn("_pages", F.sum("_n").over(site))
-    )
-    cuts = {}
-    for band, share in BAND_SHARES.items():
-        row = F.greatest(F.lit(1), F.floor(F.col("_pages") * F.lit(share)))
-        hit = (F.col("_offset") < row) & (F.col("_end") >= row)
-        cuts[band] = F.max(F.when(hit, F.col(score))).over(site)
-    cells = counts.withColumn("band", _band(F.col(score), F.col("_pages"), cuts)).select(*cell, "_offset", "band")
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("page_id"))
-    return spanned.join(cells, cell).withColumn("rank", F.col("_offset") + inside).drop("_span", "_offset")
+    order = [F.col(score).desc(), F.col("page_id").asc()]
+    ranked = cut(row_numbers(scored, ["site_id"], order, "rank", total="_pages", keep_part=True))
+    at = {band: F.greatest(F.lit(1), F.floor(F.col("_pages") * F.lit(share))) for band, share in BAND_SHARES.items()}
+    cuts = ranked.groupBy("site_id").agg(*[F.max(F.when(F.col("rank") == row, F.col(score))).alias(f"_{band}") for band, row in at.items()])
+    spans = ranked.select("site_id", PART).distinct().join(cuts, "site_id")
+    band = _band(F.col(score), F.col("_pages"), {b: F.col(f"_{b}") for b in BAND_SHARES})
+    return ranked.join(spans, ["site_id", PART]).withColumn("band", band).drop(PART, "_pages", *[f"_{b}" for b in BAND_SHARES])
 
 
 def score_pages(raw: DataFrame, weights: DataFrame) -> DataFrame:

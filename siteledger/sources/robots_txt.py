@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import _decode, _part, raw_path
+from ..operators.joins import HEAVY_ROWS, heavy_join
+from ..session import cut
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -52,26 +54,42 @@ def _pattern(value: Column) -> Column:
     return F.concat(quoted, F.when(anchored, "$").otherwise(""))
 
 
-def rule_sets(rules: DataFrame) -> DataFrame:
-    """One row per origin with its rules as an array (one file's rules, so the array is small)."""
-    entry = F.struct("kind", _pattern(F.col("value")).alias("pattern"), F.length("value").alias("size"))
-    return rules.filter("kind in ('allow', 'disallow') and value <> ''").groupBy("origin").agg(F.collect_list(entry).alias("rules"))
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(origin, prefix, kind, size, pattern): every path rule under the text before its first ``*`` or final ``$``.
 
+    ``pattern`` is null where the prefix alone decides.
+    """
+    value = F.col("value")
+    anchored = value.endswith("$")
+    body = F.when(anchored, F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
+    return rules.filter("kind in ('allow', 'disallow') and value <> ''").select(
+        "origin", F.substring_index(body, "*", 1).alias("prefix"), "kind", F.length(value).alias("size"),
+        F.when(anchored | F.contains(value, F.lit("*")), _pattern(value)).alias("pattern"),
+    ).distinct()
 
-def allowed(url: Column | str = "url", rules: Column | str = "rules") -> Column:
-    """Longest matching rule wins, ties allow; no rules allow everything."""
-    u = F.col(url) if isinstance(url, str) else url
-    r = F.col(rules) if isinstance(rules, str) else rules
-    path = F.when(raw_path(u) == "", F.lit("/")).otherwise(_decode(raw_path(u)))
-    query = _part(u, 4)
-    full = F.when(query == "", path).otherwise(F.concat(path, F.lit("?"), query))
-    longest = lambda kind: F.coalesce(
-        F.array_max(F.transform(F.filter(r, lambda x: (x["kind"] == kind) & F.regexp_like(full, x["pattern"])), lambda x: x["size"])), F.lit(-1)
-    )
-    return F.when(r.isNull() | (longest("disallow") < 0), F.lit(True)).otherwise(longest("allow") >= longest("disallow"))
 
+def path_of(url: Column) -> Column:
+    """Decoded path and query of a URL, as rules see it."""
+    path = F.when(raw_path(url) == "", F.lit("/")).otherwise(_decode(raw_path(url)))
+    query = _part(url, 4)
+    return F.when(query == "", path).otherwise(F.concat(path, F.lit("?"), query))
 
-def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """URLs with the rule set of their origin: a one-to-one join, no row per rule."""
+
+def allow_urls(urls: DataFrame, rules: DataFrame, *, limit: int = HEAVY_ROWS) -> DataFrame:
+    """The URLs with ``allowed``: the longest matching rule of the origin wins, ties allow; no rule allows everything.
+
+    A URL is looked up by its beginnings, of the lengths that rules of its origin have, so it meets only rules whose text it starts
+    with, and wildcards are tried on those alone. An origin or a beginning that more than ``limit`` URLs share is joined in parts.
+    """
     origin = F.lower(F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1))
-    return urls.withColumn("origin", origin).join(rule_sets(rules), "origin", "left")
+    index = cut(rule_index(rules))
+    lengths = index.groupBy("origin").agg(F.collect_set(F.length("prefix")).alias("lengths"))  # as many as paths have lengths
+    found = cut(urls.select("url").distinct().select("url", origin.alias("origin"), path_of(F.col("url")).alias("path")))
+    probes = heavy_join(found, lengths, ["origin"], limit=limit, spread=["url"])
+    probes = probes.select("url", "path", "origin", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    probes = probes.withColumn("prefix", F.substring("path", F.lit(1), F.col("n")))
+    hits = heavy_join(probes, index, ["origin", "prefix"], limit=limit, spread=["url"]).filter(F.col("pattern").isNull() | F.regexp_like("path", F.col("pattern")))
+    longest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("size")))
+    verdict = hits.groupBy("url").agg(longest("allow").alias("_allow"), longest("disallow").alias("_disallow"))
+    allowed = F.col("_disallow").isNull() | (F.coalesce("_allow", F.lit(-1)) >= F.col("_disallow"))
+    return urls.join(verdict, "url", "left").withColumn("allowed", allowed).drop("_allow", "_disallow")

@@ -9,6 +9,7 @@ from ..functions.urls import is_probably_page, normalize_url, registrable_domain
 from ..operators.ranking import first_per_key, top_per_key
 from ..session import cut
 
+COMPACT = 16  # levels of a walk after which what was reached is one table again
 _LOC = r"(?is)<(?:\w+:)?loc[^>]*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc>"
 
 
@@ -58,32 +59,34 @@ def parse_documents(docs: DataFrame, body: str = "body") -> DataFrame:
 def walk(docs: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, max_children: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, dropped): what can be reached from the seed sitemaps, each once, with the depth it was reached at.
 
-    ``docs`` is the parsed table (site_id, sitemap_url, ...), ``seeds`` (site_id, sitemap_url). The walk goes on until no new
-    document is found. Limits are off unless given; every child that a limit leaves out is a row of ``dropped`` with the
-    reason, ``too_deep`` or ``too_many``. Each level is materialised, so lineage does not grow with depth.
+    ``docs`` is the parsed table (site_id, sitemap_url, ...), ``seeds`` (site_id, sitemap_url). Documents are parsed once; the walk runs
+    over the narrow edges (parent, child) and goes on until no new document is found. Limits are off unless given; every child
+    that a limit leaves out is a row of ``dropped`` with the reason, ``too_deep`` or ``too_many``.
     """
     keys = ["site_id", "sitemap_url"]
-    frontier = seeds.select(*keys).distinct()
-    visited = seen = dropped = None
-    depth = 0
+    parsed = cut(docs)
+    known = cut(parsed.select(*keys).distinct())
+    edges = cut(parsed.select(*keys, F.posexplode("nested").alias("pos", "child")))
+    reached = dropped = None
+    frontier, depth = seeds.select(*keys).distinct().join(known, keys, "left_semi"), 0
     while True:
-        level = cut(docs.join(frontier, keys, "left_semi").withColumn("depth", F.lit(depth)))
-        if visited is not None and level.isEmpty():
+        frontier = cut(frontier.withColumn("depth", F.lit(depth)))
+        if reached is not None and frontier.isEmpty():
             break
-        visited = level if visited is None else visited.unionByName(level)
-        seen = level.select(*keys) if seen is None else cut(seen.union(level.select(*keys)))
-        children = level.select("site_id", F.posexplode("nested").alias("pos", "sitemap_url"))
+        reached = frontier if reached is None else reached.union(frontier)
+        if depth % COMPACT == COMPACT - 1:
+            reached = cut(reached)
         reason = F.lit(None).cast("string")
         if max_children is not None:
             reason = F.when(F.col("pos") >= max_children, "too_many")
         if max_depth is not None and depth >= max_depth:
             reason = F.lit("too_deep")
-        children = children.withColumn("reason", reason)
-        over = children.filter("reason is not null").select(*keys, "reason")
+        children = edges.join(frontier.select(*keys), keys).select("site_id", F.col("child").alias("sitemap_url"), reason.alias("reason"))
+        over = children.filter("reason is not null")
         dropped = over if dropped is None else dropped.union(over)
-        frontier = children.filter("reason is null").select(*keys).distinct().join(seen, keys, "left_anti")
+        frontier = children.filter("reason is null").select(*keys).distinct().join(known, keys, "left_semi").join(reached.select(*keys), keys, "left_anti")
         depth += 1
-    return visited, dropped
+    return parsed.join(reached, keys), dropped
 
 
 def url_entries(documents: DataFrame, sites: DataFrame, dropped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

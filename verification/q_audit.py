@@ -239,10 +239,21 @@ def _(t):
     )
 
 
-@query("jn09_duplicate_groups", "SELECT page_id, duplicate_title_count, duplicate_meta_count, duplicate_content_count FROM {dup3}")
+_KEYS = {"title": "nullif(lower(trim(title)), '')", "meta": "nullif(lower(trim(meta_description)), '')", "content": "CASE WHEN word_count >= 50 THEN content_hash END"}
+
+@query(
+    "jn09_duplicate_groups",
+    f"""SELECT page_id, duplicate_title_count, duplicate_meta_count, duplicate_content_count, CASE WHEN duplicate_title_count > 0 THEN title_examples END AS title_examples, CASE WHEN duplicate_meta_count > 0 THEN meta_examples END AS meta_examples,
+               CASE WHEN duplicate_content_count > 0 THEN content_examples END AS content_examples FROM (
+          SELECT page_id, {', '.join(f'{k}_n AS duplicate_{k}_count' for k in _KEYS)}, {', '.join(f"array_to_string(list_filter({k}_all, lambda u: u <> url)[1:5], ' ') AS {k}_examples" for k in _KEYS)} FROM (
+            SELECT s.page_id, s.url, {', '.join(f'coalesce({k}_g.n, 0) AS {k}_n, {k}_g.urls AS {k}_all' for k in _KEYS)} FROM {{signal}} s
+            {' '.join(f"LEFT JOIN (SELECT site_id, {v} AS gk, count(*) AS n, list(url ORDER BY url) AS urls FROM {{signal}} WHERE {v} IS NOT NULL GROUP BY ALL HAVING count(*) > 1) {k}_g ON {k}_g.site_id = s.site_id AND {k}_g.gk = {v.replace('title', 's.title').replace('meta_description', 's.meta_description').replace('word_count', 's.word_count').replace('content_hash', 's.content_hash')}" for k, v in _KEYS.items())}))""",
+)
 def _(t):
+    kinds = ("title", "meta", "content")
     return plan.annotate(signals(t)).select(
-        "page_id", *[F.col(f"duplicate_{k}_count").cast("long").alias(f"duplicate_{k}_count") for k in ("title", "meta", "content")]
+        "page_id", *[F.col(f"duplicate_{k}_count").cast("long").alias(f"duplicate_{k}_count") for k in kinds],
+        *[F.array_join(f"duplicate_{k}_examples", " ").alias(f"{k}_examples") for k in kinds],
     )
 
 

@@ -52,7 +52,7 @@ BLOCKED = "(shape = 0 OR (shape = 2 AND k % 3 <> 0 AND n <> 7))"
 
 @query("jn10_robots_longest_match", f"SELECT url_id, url, NOT {BLOCKED} AS allowed FROM {{candidate_url}}")
 def _(t):
-    return robots_txt.with_rules(t.spread(t.candidate_url), rules(t)).select("url_id", "url", robots_txt.allowed().alias("allowed"))
+    return robots_txt.allow_urls(t.spread(t.candidate_url), rules(t)).select("url_id", "url", "allowed")
 
 
 @query(

@@ -184,7 +184,7 @@ def _(t):
 )
 def _(t):
     m = page_metrics(t).select("site_id", "page_id", "impressions")
-    return ranking.percent_ranks(m, ["site_id"], {"impressions": "impressions_rank"}, bin_width=100.0).select(
+    return ranking.percent_ranks(m, ["site_id"], {"impressions": "impressions_rank"}).select(
         "page_id", rnd("impressions_rank", 8).alias("impressions_rank")
     )
 
@@ -195,7 +195,7 @@ common("priority_known", "SELECT site_id, page_id, priority_score AS score FROM
 @query("win02_relative_band", f"SELECT page_id, score, band FROM ({bands_sql('{priority_known}')})")
 def _(t):
     known = t.page.filter("priority_score is not null").select("site_id", "page_id", F.col("priority_score").alias("score"))
-    return plan.band_and_rank(known, tie_span=64).select("page_id", "score", "band")
+    return plan.band_and_rank(known).select("page_id", "score", "band")
 
 
 @query(
@@ -203,7 +203,7 @@ def _(t):
     "SELECT page_id, row_number() OVER (PARTITION BY site_id ORDER BY priority_score DESC NULLS LAST, page_id) AS rank FROM {page}",
 )
 def _(t):
-    return ranking.row_numbers(t.page, ["site_id"], "priority_score", "page_id", "rank", tie_span=64).select("page_id", "rank")
+    return ranking.row_numbers(t.page, ["site_id"], [F.col("priority_score").desc_nulls_last(), F.col("page_id").asc()], "rank").select("page_id", "rank")
 
 
 @query("jn19_weight_overlay", "SELECT * FROM {site_weight}")
