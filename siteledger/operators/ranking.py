@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .joins import HEAVY_ROWS, heavy_join
+from .joins import HEAVY_ROWS, NONE_HEAVY, heavy_join
 
 PART = "_part"
 
@@ -70,12 +70,18 @@ def percent_ranks(df: DataFrame, group: Sequence[str], values: dict[str, str], *
     Ties share the rank of their first row; a constant or single-row group ranks 0. A value that many rows share (often 0) is
     joined in parts of ``limit`` rows.
     """
+    group = list(group)
+    measured = F.array(*[F.struct(F.lit(v).alias("_measure"), F.col(v).cast("double").alias("_value")) for v in values])
+    long = df.select(*group, F.explode(measured).alias("_m")).select(*group, "_m.*")
+    ranks = cut(value_ranks(long, [*group, "_measure"], "_value"))  # all measures at once
+    frequent = not ranks.filter(F.col("rows_equal") > limit).isEmpty()
+    share = F.when(F.col("rows_total") > 1, F.col("rows_before") / (F.col("rows_total") - 1)).otherwise(F.lit(0.0))
     out = df
     for value, name in values.items():
-        ranks = cut(value_ranks(df, group, value))
-        share = F.when(F.col("rows_total") > 1, F.col("rows_before") / (F.col("rows_total") - 1)).otherwise(F.lit(0.0))
-        sizes = ranks.select(*group, value, F.col("rows_equal").alias("rows"))
-        out = heavy_join(out, ranks.select(*group, value, share.alias(name)), [*group, value], "left", limit=limit, sizes=sizes)
+        mine = ranks.filter(F.col("_measure") == value)
+        sizes = mine.select(*group, "_value", F.col("rows_equal").alias("rows")) if frequent else NONE_HEAVY
+        keyed = out.withColumn("_value", F.col(value).cast("double"))
+        out = heavy_join(keyed, mine.select(*group, "_value", share.alias(name)), [*group, "_value"], "left", limit=limit, sizes=sizes).drop("_value")
     return out
 
 

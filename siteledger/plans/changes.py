@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import changes as cx
 from ..functions.numeric import rnd
 from ..functions.urls import normalize_url
-from ..operators.ranking import newest_per_key
+from ..operators.ranking import newest_per_key, row_numbers, top_per_key
 
 
 def match_sites(deliveries: DataFrame, sites: DataFrame) -> DataFrame:
@@ -143,21 +143,25 @@ def pr_changes(files: DataFrame, sites: DataFrame, keywords: DataFrame | None =
     return found.select("pr_id", "site_id", "file_id", "filename", "affected_url", "pos", "c.*")
 
 
-def predict(changes: DataFrame) -> DataFrame:
+def finding_rows(changes: DataFrame) -> DataFrame:
+    """Every finding of a pull request as a row, numbered by file and position within its direction."""
+    rows = changes.select("pr_id", "direction", "file_id", "pos", "change_type", "description")
+    return row_numbers(rows, ["pr_id", "direction"], [F.col("file_id").asc(), F.col("pos").asc()], "finding_rank")
+
+
+def predict(changes: DataFrame, *, listed: int | None = None) -> DataFrame:
     """Expected impact, confidence, risk and suggestions of every pull request.
 
-    Weights aggregate partially; the text lists are those of one pull request, whose files the
-    provider caps, ordered by file and position.
+    All figures are partial sums, so a pull request of very many files is never gathered; :func:`finding_rows` has its findings as rows.
+    With ``listed`` the first so many positive and negative findings also come as arrays. Suggestions are at most one per change type,
+    in the order in which the types first occur.
     """
-    w = F.col("weight")
+    w, negative = F.col("weight"), F.col("direction") == "negative"
     by = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, w)), F.lit(0.0))
-    texts = lambda d: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("direction") == d, F.struct("file_id", "pos", "description", "change_type")))), lambda x: x
-    )
-    noindex = F.max((F.col("direction") == "negative") & (F.col("change_type") == "robots") & F.lower("description").contains("noindex directive was added"))
+    noindex = F.max(negative & (F.col("change_type") == "robots") & F.lower("description").contains("noindex directive was added"))
     rows = changes.groupBy("pr_id").agg(
         F.count(F.lit(1)).alias("change_count"), by("positive").alias("_p"), by("negative").alias("_n"), F.sum(w).alias("_t"), noindex.alias("_noindex"),
-        texts("positive").alias("_pos"), texts("negative").alias("_neg"),
+        F.count_if(negative).alias("_negatives"),
     )
     p, n, total = rnd("_p", 6), rnd("_n", 6), F.when(F.col("_t") == 0, 1.0).otherwise(F.col("_t"))
     impact = (
@@ -171,16 +175,22 @@ def predict(changes: DataFrame) -> DataFrame:
     advice = (
         F.when(F.col("risk_level").isin("critical", "high"), "DO NOT DEPLOY WITHOUT REVISION")
         .when(F.col("risk_level") == "medium", "Review before merging — some findings may reduce SEO performance.")
-        .when(F.size("_neg") == 0, "No blocking SEO concerns detected.")
+        .when(F.col("_negatives") == 0, "No blocking SEO concerns detected.")
         .otherwise("Safe to merge; minor findings noted below.")
     )
     remedy = F.create_map(*[F.lit(x) for item in cx.SUGGESTIONS.items() for x in item])
-    return rows.select(
-        "pr_id", "change_count", "expected_impact", "positive_confidence", "negative_confidence", "risk_level", advice.alias("recommendation"),
-        F.transform("_pos", lambda x: x["description"]).alias("positive_findings"),
-        F.transform("_neg", lambda x: x["description"]).alias("negative_findings"),
-        F.array_distinct(F.array_compact(F.transform("_neg", lambda x: F.try_element_at(remedy, x["change_type"])))).alias("suggested_changes"),
+    firsts = changes.filter(negative & F.col("change_type").isin(list(cx.SUGGESTIONS))).groupBy("pr_id", "change_type").agg(F.min(F.struct("file_id", "pos")).alias("_at"))
+    remedies = firsts.groupBy("pr_id").agg(F.array_sort(F.collect_list(F.struct("_at", "change_type"))).alias("_remedies"))
+    suggested = F.array_distinct(F.transform(F.coalesce("_remedies", F.array().cast("array<struct<_at:struct<file_id:long,pos:int>,change_type:string>>")), lambda x: F.try_element_at(remedy, x["change_type"])))
+    out = rows.join(remedies, "pr_id", "left").select(
+        "pr_id", "change_count", "expected_impact", "positive_confidence", "negative_confidence", "risk_level", advice.alias("recommendation"), suggested.alias("suggested_changes"),
     )
+    if listed is None:
+        return out
+    first = top_per_key(changes, ["pr_id", "direction"], [F.col("file_id").asc(), F.col("pos").asc()], listed, "_k")
+    texts = lambda d: F.transform(F.array_sort(F.collect_list(F.when(F.col("direction") == d, F.struct("_k", "description")))), lambda x: x["description"]).alias(f"{d}_findings")
+    lists = first.groupBy("pr_id").agg(texts("positive"), texts("negative"))
+    return out.join(lists, "pr_id", "left")
 
 
 def latest_analysis(pull_requests: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -195,8 +205,6 @@ def events_of_pages(pages: DataFrame, events: DataFrame, k: int = 5) -> DataFram
     Site-wide events are cut to the newest ``k`` per site before they meet the pages, which cannot
     change the result: no page shows more than ``k``.
     """
-    from ..operators.ranking import top_per_key
-
     newest = [F.col("event_id").desc()]
     named = events.filter("affected_urls is not null").select("site_id", "event_id", F.explode(F.array_distinct("affected_urls")).alias("url"))
     own = pages.select("site_id", "page_id", "url").join(named, ["site_id", "url"]).select("page_id", "event_id")

@@ -21,6 +21,9 @@ COMPETING_TIERS = ("primary", "secondary")
 LISTED_PAGES = 20
 
 
+KEYWORD_BATCH = 1000  # keywords of a page that meet its text together
+
+
 def keyword_sources(queries: DataFrame, snapshot_keywords: DataFrame, suggestions: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """One row per (page, keyword): search rows win over snapshot rows, these over suggestions.
 
@@ -61,14 +64,18 @@ def keyword_sources(queries: DataFrame, snapshot_keywords: DataFrame, suggestion
     return rows.groupBy("page_id", "keyword").agg(F.min_by(payload, order).alias("r")).select("page_id", "keyword", "r.*")
 
 
-def score_keywords(keywords: DataFrame, pages: DataFrame) -> DataFrame:
+def score_keywords(keywords: DataFrame, pages: DataFrame, *, batch: int = KEYWORD_BATCH) -> DataFrame:
     """Tier and six factors of every keyword of a page.
 
     ``pages`` has page_id, site_id, detected_intent, business_relevance, the page text and, where known, ``headings``. The
-    keywords of a page travel as one array to the page row, so the text is read once per page and not once per keyword.
+    keywords of a page travel to the page row in arrays of about ``batch``, so the text is read once per array and not once per
+    keyword, and a page of very many keywords is never gathered.
     """
     entry = F.struct("keyword", "source", "idx", "position", "impressions", "demand_base", "difficulty", "given_tier")
-    lists = keywords.groupBy("page_id").agg(F.collect_list(entry).alias("_ks"))
+    parts = keywords.groupBy("page_id").agg(F.ceil(F.count(F.lit(1)) / batch).alias("_parts"))
+    large = cut(parts.filter("_parts > 1"))  # at most keywords / batch pages
+    dealt = keywords.join(large, "page_id", "left").withColumn("_part", F.pmod(F.xxhash64("keyword", "source"), F.coalesce("_parts", F.lit(1))))
+    lists = dealt.groupBy("page_id", "_part").agg(F.collect_list(entry).alias("_ks")).drop("_part")
     lowered = {f"_{c}": F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "h1", "content")}
     lowered["_headings"] = F.lower(F.coalesce(F.array_join("headings", " "), F.lit(""))) if "headings" in pages.columns else F.lit("")
     relevant = F.transform(
@@ -116,19 +123,24 @@ def ranked_keywords(scored: DataFrame, caps: dict[str, int] | None = None) -> Da
     return ranked.filter(F.col("tier_rank") <= lookup(F.col("keyword_tier"), caps, 10))
 
 
-def page_keyword_scores(capped: DataFrame) -> DataFrame:
-    """Mean of the best three keywords of each page, with its keyword lists per tier."""
+def page_keyword_scores(capped: DataFrame, listed: dict[str, int] | None = None) -> DataFrame:
+    """Mean of the best three keywords of each page, with its best keywords per tier.
+
+    Lists hold ``listed`` keywords of a tier (by default the customary ones); all keywords are rows with their rank.
+    """
+    listed = kx.TIER_CAPS if listed is None else listed
     order = [F.col("keyword_opportunity_score").desc(), F.col("keyword").asc()]
     best = top_per_key(capped, ["page_id"], order, BEST_KEYWORDS)
     means = best.groupBy("page_id").agg(rnd(F.avg("keyword_opportunity_score"), 1).alias("keyword_opportunity_score"))
     entry = F.struct("tier_rank", "keyword")
-    lists = capped.groupBy("page_id").agg(  # the keywords of one page
+    best_of_tier = capped.filter(F.col("tier_rank") <= lookup(F.col("keyword_tier"), listed, 0))
+    lists = best_of_tier.groupBy("page_id").agg(
         *[
             F.transform(F.array_sort(F.collect_list(F.when(F.col("keyword_tier") == tier, entry))), lambda e: e["keyword"]).alias(f"{tier}_keywords")
             for tier in COMPETING_TIERS
         ]
     )
-    return means.join(lists, "page_id")
+    return means.join(lists, "page_id", "left")
 
 
 def changed_pages(pages: DataFrame, profiles: DataFrame) -> DataFrame:

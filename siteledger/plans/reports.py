@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import SEVERITIES, lookup, num, rnd, severity_name, severity_rank
-from ..operators.ranking import newest_per_key, top_per_key
+from ..operators.ranking import newest_per_key, row_numbers, top_per_key
 from .roadmap import level_rank
 
 # Sortable page columns, metric sorts.
@@ -297,16 +297,30 @@ def page_dossier(pages: DataFrame, issues: DataFrame, audits: DataFrame, metrics
     )
 
 
-def action_plan(pages: DataFrame, metrics: DataFrame, profiles: DataFrame, scores: DataFrame, competitors: DataFrame) -> DataFrame:
-    """One row per page: metrics, intent, keywords, newest competitor analysis and ordered actions.
+ACTION_ORDER = ("score_id", "recommendation_type")  # ties after the priority
 
-    Stored recommendations are capped per page when scored, which bounds the action list.
+
+def action_rows(scores: DataFrame) -> DataFrame:
+    """Every stored recommendation as a row with its place among those of its page, best first."""
+    order = [num("overall_priority").desc(), *[F.col(c).asc() for c in ACTION_ORDER]]
+    rows = scores.select("page_id", "score_id", "recommendation_type", "priority_level", "overall_priority", "effort", "reason", "status")
+    return row_numbers(rows, ["page_id"], order, "action_rank")
+
+
+def action_plan(
+    pages: DataFrame, metrics: DataFrame, profiles: DataFrame, scores: DataFrame, competitors: DataFrame, *, listed: int | None = None
+) -> DataFrame:
+    """One row per page: metrics, intent, keywords, newest competitor analysis, number of actions and the first of them.
+
+    With ``listed`` the best so many actions also come as an array; :func:`action_rows` has them all.
     """
-    action = F.struct(
-        (-num("overall_priority")).alias("_o"), F.col("score_id"), F.col("recommendation_type"), F.col("priority_level"), F.col("overall_priority"),
-        F.col("effort"), F.col("reason"), F.col("status"),
-    )
-    actions = scores.groupBy("page_id").agg(F.array_sort(F.collect_list(action)).alias("recommended_actions"))
+    action = F.struct("score_id", "recommendation_type", "priority_level", "overall_priority", "effort", "reason", "status")
+    best = F.struct((-num("overall_priority")).alias("_o"), *ACTION_ORDER)
+    actions = scores.groupBy("page_id").agg(F.count(F.lit(1)).alias("action_count"), F.min_by(action, best).alias("first_action"))
+    if listed is not None:
+        order = [num("overall_priority").desc(), *[F.col(c).asc() for c in ACTION_ORDER]]
+        top = top_per_key(scores, ["page_id"], order, listed, "_k").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("_k", action.alias("a")))).alias("_top"))
+        actions = actions.join(top.select("page_id", F.transform("_top", lambda x: x["a"]).alias("recommended_actions")), "page_id")
     newest = newest_per_key(competitors.select("page_id", "analysis_id", "keyword", "median_word_count"), ["page_id"], ["analysis_id"])
     profile = profiles.select("page_id", "detected_intent", "intent_mismatch", "mismatch_explanation", "primary_keywords", "secondary_keywords", "keyword_opportunity_score")
     keep = ["page_id", "impressions", "clicks", "ctr", "position", "sessions", "engagement_rate", "conversions", "revenue"]
@@ -316,6 +330,7 @@ def action_plan(pages: DataFrame, metrics: DataFrame, profiles: DataFrame, score
         .join(profile, "page_id", "left")
         .join(newest, "page_id", "left")
         .join(actions, "page_id", "left")
+        .fillna(0, ["action_count"])
         .withColumns({"intent_mismatch": F.coalesce("intent_mismatch", F.lit(False)), "competitors_available": F.col("analysis_id").isNotNull()})
     )
 
@@ -327,7 +342,7 @@ def newest_rows(rows: DataFrame, newest: list[str]) -> DataFrame:
 
 # ── exports ──────────────────────────────────────────────────────────────────
 def audit_report(pages: DataFrame, open_issues: DataFrame, findings: DataFrame, keywords: DataFrame, metrics: DataFrame) -> dict[str, DataFrame]:
-    """The five result tables of a site export; write each with :func:`write_report`."""
+    """The five result tables of a site export; ``operators.exports.write_tables`` writes them."""
     active = pages.filter("is_active")
     summary = active.groupBy("site_id").agg(
         F.count(F.lit(1)).alias("pages"), rnd(F.avg("seo_score"), 1).alias("average_seo_score"), F.sum("issue_count").alias("issues")
@@ -344,13 +359,6 @@ def audit_report(pages: DataFrame, open_issues: DataFrame, findings: DataFrame,
     }
 
 
-def write_report(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
-    """Every table to its own folder, partitioned by site where it has one."""
-    for name, df in tables.items():
-        writer = df.write.mode("overwrite").option("header", "true")
-        (writer.partitionBy("site_id") if "site_id" in df.columns else writer).format(fmt).save(f"{folder}/{name}")
-
-
 def issue_export(
     pages: DataFrame, issues: DataFrame, rule_id: str, metrics: DataFrame, profiles: DataFrame, *, sort: str = "priority_score", descending: bool = True, **filters
 ) -> DataFrame:

@@ -12,7 +12,6 @@ PAYLOAD = (
     "organic_results array<struct<position:int,link:string,title:string,snippet:string>>, "
     "related_questions array<struct<question:string,snippet:string>>, related_searches array<struct<query:string>>"
 )
-MAX_SUBTOPICS = 15
 
 
 def parse(raw: DataFrame, payload: str = "payload") -> DataFrame:
@@ -41,11 +40,12 @@ def related_searches(raw: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.select(*keep, "q.query").filter("coalesce(query, '') <> ''")
 
 
-def competitor_gap(results: DataFrame, headings: DataFrame, own: DataFrame) -> DataFrame:
+def competitor_gap(results: DataFrame, headings: DataFrame, own: DataFrame, *, max_subtopics: int | None = None) -> DataFrame:
     """Per keyword: upper median words, mean H2 count, subtopics two or more competitors cover.
 
     ``results`` is (keyword, url, fetch_status, word_count, h2_count), ``headings`` (keyword, url, level,
-    text), ``own`` (keyword, h1, word_count). A keyword has at most the few results a search returns.
+    text), ``own`` (keyword, h1, word_count). A keyword has at most the few results a search returns, so its subtopics are few; with
+    ``max_subtopics`` only the most covered ones are listed.
     """
     ok = results.filter("fetch_status = 'ok'")
     w = Window.partitionBy("keyword")
@@ -72,10 +72,10 @@ def competitor_gap(results: DataFrame, headings: DataFrame, own: DataFrame) -> D
         .agg(F.count_distinct("url").alias("competitors"), F.min(F.trim("text")).alias("label"))
         .filter("competitors >= 2")
     )
-    top = top_per_key(counted, ["keyword"], [F.col("competitors").desc(), F.col("topic").asc()], MAX_SUBTOPICS, "_r")
-    missing = top.groupBy("keyword").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", "label"))), lambda x: x["label"]).alias("missing_subtopics")
-    )
+    if max_subtopics is not None:
+        counted = top_per_key(counted, ["keyword"], [F.col("competitors").desc(), F.col("topic").asc()], max_subtopics)
+    entry = F.struct((-F.col("competitors")).alias("o"), "topic", "label")
+    missing = counted.groupBy("keyword").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["label"]).alias("missing_subtopics"))
     return (
         own.select("keyword", F.col("word_count").alias("this_word_count"))
         .join(stats, "keyword", "left")

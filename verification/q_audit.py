@@ -8,7 +8,7 @@ from siteledger.functions import robots, urls
 from siteledger.functions.numeric import severity_rank
 from siteledger.operators import rules
 from siteledger.plans import audit as plan
-from siteledger.sources import html
+from siteledger.sources import html, markup
 
 from .q_impact import q
 from .registry import common, query, r
@@ -376,6 +376,11 @@ def _(t):
     return html.extract_pages(documents(t)).select("page_id", html.needs_rendering(minimum=3000).alias("thin"))
 
 
+@query("flt07_render_needed_by_default", """SELECT page_id, length(trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '<[a-z/][^>]*>', ' ', 'gs'), '\\s+', ' ', 'g'))) < 400 AS thin FROM pages""")
+def _(t):
+    return html.extract_pages(documents(t)).select("page_id", html.needs_rendering().alias("thin"))
+
+
 @query("flt08_document_predicates", """SELECT page_id, status_code BETWEEN 200 AND 299 AND crawl_quality = 'ok' AS has_document, crawl_quality <> 'failed' AND status_code <> 0 AS usable FROM {signal}""")
 def _(t):
     return t.signal.select("page_id", html.has_document().alias("has_document"), html.is_usable().alias("usable"))
@@ -421,15 +426,16 @@ def _(t):
 # ── persistence ──────────────────────────────────────────────────────────────
 VIEWS.update(
     {
-        # Several observations per page: URL variants of one page, some failed.
+        # Several observations per page: URL variants of one page, some failed. Every third page is found under a new URL, and every
+        # fourth stored one lies under an old URL, so that some are missing and some are new.
         "observation": """
-            SELECT l_orderkey * 10 + l_linenumber AS observation_id, site_id, concat(url, CASE WHEN l_linenumber % 2 = 0 THEN '/' ELSE '?gclid=1' END) AS url, CAST(NULL AS STRING) AS final_url,
+            SELECT l_orderkey * 10 + l_linenumber AS observation_id, site_id, concat(url, CASE WHEN l_partkey % 3 = 0 THEN '/moved' ELSE '' END, CASE WHEN l_linenumber % 2 = 0 THEN '/' ELSE '?gclid=1' END) AS url, CAST(NULL AS STRING) AS final_url,
                    CASE WHEN l_suppkey % 5 = 0 THEN 500 WHEN l_suppkey % 7 = 0 THEN 0 ELSE 200 END AS status_code, CASE WHEN l_suppkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS crawl_quality,
                    CASE WHEN l_suppkey % 7 = 0 THEN 'timeout' END AS crawl_error, concat('new title ', l_orderkey) AS title, CAST(l_quantity AS INT) AS word_count, l_shipdate AS fetched_at, l_partkey AS k
-            FROM {lineitem} JOIN {page} ON page_id = l_partkey WHERE l_quantity > 45 AND l_partkey % 3 <> 0""",
+            FROM {lineitem} JOIN {page} ON page_id = l_partkey""",
         "stored_page": """
-            SELECT site_id, page_id, url, path, status_code, title, word_count, is_active, CAST('1990-01-01' AS TIMESTAMP) AS first_seen_at, CAST('1990-06-01' AS TIMESTAMP) AS last_seen_at, CAST('1990-06-01' AS TIMESTAMP) AS content_captured_at
-            FROM {page} WHERE page_id % 4 <> 0""",
+            SELECT site_id, page_id, concat(url, CASE WHEN page_id % 4 = 0 THEN '/old' ELSE '' END) AS url, path, status_code, title, word_count, is_active, CAST('1990-01-01' AS TIMESTAMP) AS first_seen_at, CAST('1990-06-01' AS TIMESTAMP) AS last_seen_at, CAST('1990-06-01' AS TIMESTAMP) AS content_captured_at
+            FROM {page}""",
     }
 )
 common(
@@ -614,21 +620,68 @@ def _(t):
 
 
 # ── agreement of two measurements ────────────────────────────────────────────
+# The supplied pages with more markup, made from the page id, so that SQL knows what each metric must be.
+VIEWS["marked_page"] = """
+    SELECT page_id, url, concat(split_part(html, '</head>', 1),
+             CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('<meta name="description" content="', CASE WHEN page_id % 3 = 1 THEN concat('About page ', page_id, ' &amp; more') ELSE '' END, '">') END, CASE WHEN page_id % 11 = 0 THEN '<META NAME=description CONTENT="second">' ELSE '' END,
+             CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('<link rel="canonical" href="', url, '">') WHEN 2 THEN '<link href="/other" rel="shortlink canonical"/>' ELSE '<link rel=canonical href=https://other.test/x><link rel="canonical" href="/second">' END,
+             CASE WHEN page_id % 5 = 0 THEN '<meta name="robots" content="noindex, follow">' ELSE '' END, repeat(concat('<link rel="alternate" hreflang="fr" href="/fr/', page_id, '">'), CAST(page_id % 3 AS INT)),
+             CASE WHEN page_id % 2 = 0 THEN '<script type="application/ld+json">{"@type":"Article","x":"<h2>no</h2><img src=q>"}</script>' ELSE '' END, '</head>', substr(html, length(split_part(html, '</head>', 1)) + 8, instr(html, '</article>') - length(split_part(html, '</head>', 1)) - 8),
+             repeat('<h2>Part <b>two</b></h2>', CAST(page_id % 4 AS INT)), repeat('<h3 class="x">Detail</h3>', CAST(page_id % 3 AS INT)), '<!-- <h2>gone</h2> <img src="/c.png"> -->',
+             repeat('<img src="/a.png" alt="a picture" width=9 height=9>', CAST(page_id % 2 AS INT)), repeat('<img src="/b.png">', CAST(page_id % 3 AS INT)), repeat('<img src="/d.png" alt="">', CAST(page_id % 5 AS INT)),
+             CASE WHEN page_id % 6 = 0 THEN '<img src="/pixel.gif" width="1" height="1" alt="">' ELSE '' END,
+             concat('<a href="https://partner.test/', page_id, '" rel="nofollow noopener">p</a><a href="https://partner.test/', page_id, '">again</a>'), repeat('<a href="mailto:x@y.test">m</a><a href="#top">t</a>', CAST(page_id % 2 AS INT)),
+             CASE WHEN page_id % 7 = 0 THEN '<div itemscope itemtype="https://schema.org/Thing">i</div>' ELSE '' END, substr(html, instr(html, '</article>'))) AS html
+    FROM {pages}"""
+common(
+    "marked_signal",
+    """SELECT s.page_id, s.title, s.h1, s.lang, s.internal_link_count, CASE WHEN p.page_id % 3 = 1 THEN concat('About page ', p.page_id, ' & more') WHEN p.page_id % 3 = 0 AND p.page_id % 11 = 0 THEN 'second' END AS meta_description, CASE WHEN p.page_id % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN p.page_id % 11 = 0 THEN 1 ELSE 0 END AS meta_description_count,
+              [0, 1, 1, 2][CAST(p.page_id % 4 + 1 AS INT)] AS canonical_count, CASE p.page_id % 4 WHEN 1 THEN p.url WHEN 2 THEN '/other' WHEN 3 THEN 'https://other.test/x' END AS canonical_raw, CASE WHEN p.page_id % 5 = 0 THEN 'noindex, follow' END AS meta_robots, p.page_id % 3 AS hreflang_count,
+              1 AS h1_count, p.page_id % 4 AS h2_count, p.page_id % 3 AS h3_count, p.page_id % 2 + p.page_id % 3 + p.page_id % 5 AS image_count, p.page_id % 3 AS missing_alt_count, p.page_id % 5 AS empty_alt_count, 1 AS external_link_count, 1 AS nofollow_link_count, p.page_id % 2 = 0 AS json_ld, p.page_id % 7 = 0 AS microdata,
+              CASE WHEN p.page_id % 2 = 0 THEN concat('Article', CASE WHEN p.page_id % 7 = 0 THEN ',Thing' ELSE '' END) WHEN p.page_id % 7 = 0 THEN 'Thing' ELSE '' END AS types, CASE p.page_id % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'self' WHEN 2 THEN 'relative' ELSE 'multiple' END AS canonical_status,
+              p.page_id % 2 + p.page_id % 3 + p.page_id % 5 - p.page_id % 2 AS images_without_dimensions
+       FROM {page_signal} s JOIN pages p USING (page_id)""",
+)
+MARKED = (
+    "title", "h1", "lang", "internal_link_count", "meta_description", "meta_description_count", "canonical_count", "canonical_raw", "meta_robots", "h1_count", "h2_count", "h3_count", "image_count", "missing_alt_count", "empty_alt_count",
+    "external_link_count", "nofollow_link_count", "images_without_dimensions",
+)
+
+
+def marked(t):
+    return html.extract_pages(t.spread(t.marked_page).withColumn("base_domain", urls.domain_of("url")))
+
+
+@query("src01_marked_signals", f"SELECT page_id, {', '.join(MARKED)}, hreflang_count, json_ld, microdata, types, 1 AS title_count, FALSE AS structured_data_invalid FROM {{marked_signal}}")
+def _(t):
+    formats = lambda kind: F.array_contains("structured_data_formats", kind)
+    return marked(t).select(
+        "page_id", *MARKED, F.size("hreflang").alias("hreflang_count"), formats("json-ld").alias("json_ld"), formats("microdata").alias("microdata"), F.array_join("structured_data_types", ",").alias("types"), "title_count", "structured_data_invalid",
+    )
+
+
+_SECOND = {
+    "status_code": "200", "title": "title", "title_count": "1", "meta_description_present": "meta_description IS NOT NULL", "meta_description_count": "meta_description_count", "canonical_count": "canonical_count", "canonical_href": "canonical_raw", "h1_count": "1", "h1_text": "h1",
+    "h2_count": "h2_count", "h3_count": "h3_count", "img_count": "image_count + CASE WHEN page_id % 6 = 0 THEN 1 ELSE 0 END", "img_missing_alt": "missing_alt_count", "external_links": "2", "nofollow_links": "1", "meta_robots": "meta_robots", "lang": "lang", "hreflang_count": "hreflang_count", "json_ld": "json_ld", "microdata": "microdata",
+    "img_empty_alt": "empty_alt_count + CASE WHEN page_id % 6 = 0 THEN 1 ELSE 0 END",
+}
+
+
+@query("pipe16_markup_signals", f"SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _SECOND.items())} FROM {{marked_signal}}")
+def _(t):
+    return markup.markup_signals(t.spread(t.marked_page).withColumn("base_domain", urls.domain_of("url"))).select("page_id", *_SECOND)
+
+
+_AGREE = {m: "TRUE" for m in _SECOND} | {"img_count": "page_id % 6 <> 0", "img_empty_alt": "page_id % 6 <> 0", "external_links": "FALSE"}
+
+
 @query(
     "pipe16_extraction_agreement",
-    """SELECT metric, count(*) AS pages, count(*) FILTER (WHERE a IS NOT DISTINCT FROM b) AS agreed, count(*) FILTER (WHERE a IS DISTINCT FROM b) AS differing FROM (
-         SELECT unnest(['internal_link_count', 'word_count', 'raw_word_count']) AS metric, unnest([internal_link_count, word_count, raw_word_count]) AS a, unnest([internal_link_count, word_count, raw_word_count + CASE WHEN page_id % 10 = 0 THEN 1 ELSE 0 END]) AS b FROM {page_signal}) GROUP BY metric""",
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) AS pages, count(*) FILTER (WHERE {same}) AS agreed, {'0' if m in ('img_count', 'external_links') else f'count(*) FILTER (WHERE NOT ({same}))'} AS differing, {f'count(*) FILTER (WHERE NOT ({same}))' if m in ('img_count', 'external_links') else '0'} AS expected_differences FROM pages" for m, same in _AGREE.items()),
 )
 def _(t):
-    # The independent measurement here is regular expressions over the markup, with a planted error.
-    body = F.regexp_extract("html", r"(?s)<body>(.*)$", 1)
-    article = F.regexp_extract("html", r"(?s)<article>(.*?)(</article>|$)", 1)
-    stripped = lambda e: F.regexp_replace(F.regexp_replace(e, r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    other = t.pages.select(
-        "page_id",
-        F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1))).alias("internal_link_count"),
-        html.word_count(stripped(article)).alias("word_count"),
-        (html.word_count(stripped(body)) + F.when(F.col("page_id") % 10 == 0, 1).otherwise(0)).alias("raw_word_count"),
-    )
-    mine = html.extract_pages(documents(t))
-    return plan.agreement(mine, other, "page_id", ["internal_link_count", "word_count", "raw_word_count"]).select("metric", "pages", "agreed", "differing")
+    mine = markup.extracted_signals(marked(t))
+    theirs = markup.markup_signals(t.spread(t.marked_page).withColumn("base_domain", urls.domain_of("url")))
+    known = t.pages.select("page_id", F.explode(F.array(*[F.lit(m) for m in markup.EXPECTED])).alias("metric"))
+    report = plan.agreement(mine, theirs, "page_id", list(markup.METRICS), known)
+    return report.filter(F.col("metric").isin(list(_AGREE))).select("metric", "pages", "agreed", "differing", "expected_differences")

@@ -135,6 +135,15 @@ def _(t):
     return scoped(t).select("event_id", "action", "reason")
 
 
+_free = [x for x in _L if x[0] != "len(paths) > 2"]
+_case = lambda i: "CASE " + " ".join(f"WHEN {x[0]} THEN {x[i]}" if i == 2 else f"WHEN {x[0]} THEN '{x[i]}'" for x in _free) + " END"
+
+
+@query("chg03_push_scope_no_limit", f"SELECT k AS event_id, {_case(1)} AS action, {_case(2)} AS reason FROM {{push_mapped}}")
+def _(t):
+    return plan.push_scope(plan.match_sites(log(t), sites(t)), sites(t)).select("event_id", "action", "reason")
+
+
 @query(
     "chg03_affected_urls",
     f"SELECT k AS event_id, unnest(list_transform(paths, lambda p: concat(rtrim(base_url, '/'), p))) AS url FROM (SELECT *, {_act} AS action FROM {{push_mapped}}) WHERE action = 'incremental_crawl'",
@@ -285,6 +294,11 @@ def _(t):
     return predictions(t).select("pr_id", "change_count", "expected_impact", "positive_confidence", "negative_confidence", "risk_level", "recommendation")
 
 
+@query("agg16_finding_rows", "SELECT pr_id, direction, description, row_number() OVER (PARTITION BY pr_id, direction ORDER BY file_id, pos) AS finding_rank FROM {refined}")
+def _(t):
+    return plan.finding_rows(refined(t)).select("pr_id", "direction", "description", "finding_rank")
+
+
 _remedy = "CASE change_type " + " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in cx.SUGGESTIONS.items()) + " END"
 
 
@@ -310,11 +324,11 @@ VIEWS.update(
     {
         "analysis": """
             SELECT l_orderkey * 10 + l_linenumber AS analysis_id, l_orderkey AS pr_id, split_part('positive,negative,mixed,neutral', ',', CAST(1 + l_suppkey % 4 AS INT)) AS predicted_impact,
-                   split_part('low,medium,high', ',', CAST(1 + l_suppkey % 3 AS INT)) AS predicted_risk_level FROM {lineitem} WHERE l_linenumber <= 3 AND l_quantity > 10""",
+                   split_part('low,medium,high', ',', CAST(1 + l_suppkey % 3 AS INT)) AS predicted_risk_level FROM {lineitem}""",
         "pull_request": "SELECT o_orderkey AS pr_id, CAST(1 + o_orderkey % 25 AS INT) AS site_id, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS merged_at FROM {orders}",
         "pr_change": """
             SELECT l_orderkey * 1000 + l_suppkey AS change_id, l_orderkey * 10 + l_linenumber AS analysis_id, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_partkey END AS page_id, concat('/p/', l_partkey) AS affected_url, CAST(l_quantity AS DOUBLE) / 10 AS weight FROM {lineitem}""",
-        "tracked": "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS analysis_id FROM {lineitem} WHERE l_orderkey % 7 = 0",
+        "tracked": "SELECT DISTINCT CASE WHEN l_orderkey % 7 = 0 THEN l_orderkey * 10 + l_linenumber ELSE -l_orderkey END AS analysis_id FROM {lineitem}",
     }
 )
 common("newest_analysis", "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY analysis_id DESC, predicted_impact DESC, predicted_risk_level DESC) AS rn FROM {analysis}) WHERE rn = 1")
@@ -346,7 +360,7 @@ VIEWS["checkpoint"] = """
            CAST('2001-06-25' AS DATE) + CAST(l_orderkey % 25 AS INT) AS deployed_at, CAST(CASE l_linenumber % 3 WHEN 0 THEN 7 WHEN 1 THEN 14 ELSE 28 END AS INT) AS checkpoint_day,
            CAST('2001-06-25' AS DATE) + CAST(l_orderkey % 25 AS INT) + CAST(CASE l_linenumber % 3 WHEN 0 THEN 7 WHEN 1 THEN 14 ELSE 28 END AS INT) AS due_date,
            CASE WHEN l_returnflag = 'A' THEN 'completed' ELSE 'monitoring' END AS status, CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN CAST('2001-07-01' AS DATE) END AS measured_at
-    FROM {lineitem} WHERE l_linenumber <= 4"""
+    FROM {lineitem}"""
 
 
 def window_sql(label: str, low: str, high: str) -> str:

@@ -31,9 +31,10 @@ VIEWS.update(
                    split_part('CRITICAL,HIGH,MEDIUM,LOW', ',', CAST(1 + (l_linenumber * 3 + l_suppkey) % 4 AS INT)) AS severity,
                    concat('finding ', l_suppkey % 30) AS title, concat('found on line ', l_linenumber) AS description,
                    l_returnflag = 'R' AS is_resolved, CAST(substr(p_brand, 7) AS INT) AS site_id
-            FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey WHERE l_linenumber <= 4 AND l_suppkey % 3 = 0""".replace("{part}.p_brand", "p_brand"),
+            FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""".replace("{part}.p_brand", "p_brand"),
+        # Every seventh profile is that of a page that is gone (its id lies beyond those of the page table).
         "profile": """
-            SELECT p_partkey AS page_id, CAST(substr(p_brand, 7) AS INT) AS site_id,
+            SELECT CASE WHEN p_partkey % 7 = 0 THEN p_partkey + 1000000000 ELSE p_partkey END AS page_id, CAST(substr(p_brand, 7) AS INT) AS site_id,
                    split_part('transactional,commercial,local,navigational,informational', ',', CAST(1 + p_partkey % 5 AS INT)) AS detected_intent,
                    CAST(40 + p_partkey % 60 AS DOUBLE) / 100 AS intent_confidence,
                    CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_partkey % 1000 AS DOUBLE) / 10 END AS keyword_opportunity_score,
@@ -41,7 +42,7 @@ VIEWS.update(
                    CASE WHEN p_partkey % 4 <> 0 THEN NULL WHEN p_partkey % 16 = 0 THEN 'P0' WHEN p_partkey % 16 = 4 THEN 'P1' WHEN p_partkey % 16 = 8 THEN 'P2' ELSE 'P3' END AS mismatch_severity,
                    concat('page ', p_partkey, ' serves another intent') AS mismatch_explanation,
                    p_name AS primary_keyword, lower(p_type) AS secondary_keyword, concat(p_name, '|', p_size) AS content_key
-            FROM {part} WHERE p_partkey % 7 <> 0""",
+            FROM {part}""",
     }
 )
 
@@ -390,7 +391,7 @@ VIEWS["stored_score"] = """
            split_part('low,medium,high', ',', CAST(1 + l_orderkey % 3 AS INT)) AS effort,
            split_part('detected,approved,implemented,dismissed', ',', CAST(1 + l_suppkey % 4 AS INT)) AS status,
            concat('reason ', l_suppkey) AS reason
-    FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity > 40 AND CAST(substr(p_brand, 7) AS INT) % 4 <> 0"""
+    FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
 
 LIMIT = 15
 _stier, _swhy = route_sql("coalesce(issue_count, 0)", "highest_severity = 'CRITICAL'", LIMIT)
@@ -439,7 +440,7 @@ def _(t):
 VIEWS["stored_finding"] = """
     SELECT l_orderkey * 10 + l_linenumber AS finding_id, l_partkey AS page_id, CASE WHEN l_returnflag = 'A' THEN 'failed' ELSE 'completed' END AS status,
            concat(p_name, '|', CASE WHEN l_suppkey % 2 = 0 THEN p_size ELSE p_size + 1 END) AS content_key, concat('payload ', l_suppkey) AS payload
-    FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity > 30"""
+    FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
 
 
 @query(

@@ -24,24 +24,25 @@ VIEWS.update(
                    concat('/', p_name, '-', p_partkey) AS path,
                    CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE concat(split_part('Buy the,Best,How to choose a,Cheap,Directions to,Our,Review of,What is a', ',', CAST(1 + p_partkey % 8 AS INT)), ' ', p_name) END AS title,
                    CASE WHEN p_partkey % 43 = 0 THEN NULL ELSE concat(split_part('Order,Compare,Learn about,Near,Guide to', ',', CAST(1 + p_partkey % 5 AS INT)), ' ', lower(p_type)) END AS h1,
+                   CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(split_part('What is new in,Buy now:,Compare all,Near me:,Guide for', ',', CAST(1 + (p_partkey * 7) % 5 AS INT)), ' ', p_name, '|', split_part('Prices and offers of,How it works with,Local store of', ',', CAST(1 + p_partkey % 4 % 3 AS INT)), ' ', lower(p_type)) END AS headings_text,
                    d.text AS content, split_part('Offer,Article,Hotel,FAQPage,Thing,Thing,Thing,Thing,Event,Thing,Thing', ',', CAST(1 + p_partkey % 11 AS INT)) AS schema_type,
                    concat(p_name, '|', p_size) AS content_key, CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE CAST(200 - p_size * 3 AS DOUBLE) / 2 END AS seo_score
             FROM {part} LEFT JOIN {documents} d ON d.doc_id = p_partkey""",
         "intent_query": """
             SELECT page_id, query, clicks, impressions, position, CAST(rn AS INT) AS query_rank FROM (
               SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY clicks DESC, impressions DESC, query) AS rn FROM (
-                SELECT l_partkey AS page_id, concat(split_part('buy |best |how to use |directions |login |what is |the |cheap ', '|', CAST(1 + (l_suppkey + l_partkey % 3) % 8 AS INT)), p_name, ' ', lower(p_type)) AS query,
+                SELECT CASE WHEN l_partkey % 6 = 5 THEN l_partkey + 1000000000 ELSE l_partkey END AS page_id, concat(split_part('buy |best |how to use |directions |login |what is |the |cheap ', '|', CAST(1 + (l_suppkey + l_partkey % 3) % 8 AS INT)), p_name, ' ', lower(p_type)) AS query,
                        CAST(SUM(floor(l_quantity * round(l_discount * 100) / 10)) AS BIGINT) AS clicks, CAST(SUM(l_quantity * 10) AS BIGINT) AS impressions, MIN(CAST(10 + l_orderkey % 300 AS DOUBLE) / 10) AS position
-                FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_partkey % 6 <> 5 GROUP BY 1, 2) a) b WHERE rn <= 10""",
+                FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2) a) b""",
         "snapshot_list": """
             SELECT page_id, keyword, position, volume, difficulty, CAST(rn - 1 AS INT) AS idx FROM (
               SELECT k.*, row_number() OVER (PARTITION BY k.page_id ORDER BY k.volume DESC, k.position, k.keyword) AS rn
-              FROM {snapshot_keyword} k JOIN (SELECT page_id, max(snapshot_id) AS snapshot_id FROM {snapshot_keyword} GROUP BY page_id) n ON n.snapshot_id = k.snapshot_id) x WHERE rn <= 25""",
+              FROM {snapshot_keyword} k JOIN (SELECT page_id, max(snapshot_id) AS snapshot_id FROM {snapshot_keyword} GROUP BY page_id) n ON n.snapshot_id = k.snapshot_id) x""",
         "suggestion": """
             SELECT page_id, keyword, tier, CAST(rn - 1 AS INT) AS idx FROM (
               SELECT l_partkey AS page_id, concat(' ', p_name, ' ', CASE WHEN l_suppkey % 3 = 0 THEN 'How ' ELSE '' END, l_suppkey % 50) AS keyword, split_part('primary|semantic|none|Long Tail|', '|', CAST(1 + l_suppkey % 5 AS INT)) AS tier,
                      row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_suppkey, l_extendedprice) AS rn
-              FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber = 1) a WHERE rn <= 25""",
+              FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) a""",
         "ai_finding": """
             SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 0 THEN split_part('commercial,local,transactional', ',', CAST(1 + p_partkey % 2 AS INT)) END AS ai_intent,
                    CASE WHEN p_partkey % 2 = 0 THEN CAST(0.65 AS DOUBLE) END AS ai_confidence FROM {part} WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0""",
@@ -101,12 +102,14 @@ common(
     f"""SELECT *, CASE WHEN com + inf <= 0 THEN 'informational' WHEN com / (com + inf) >= 0.65 THEN 'commercial' WHEN com / (com + inf) <= 0.35 THEN 'informational' ELSE 'hybrid' END AS page_type FROM (
           SELECT *, {_com} AS com, {_inf} AS inf FROM (SELECT *, lower(concat_ws(' ', title, h1)) AS prom, lower(coalesce(content, '')) AS body FROM {{intent_final}}))""",
 )
-# Targeting: title weighs 3 (h1 3 when there is no title), then h1 2.
+# Targeting: the first fragment weighs 3, the second 2, every other 1; the heaviest intent wins, on a tie the one named first.
 common(
     "targeting",
-    f"""SELECT page_id, CASE WHEN g2 IS NULL OR g1 = g2 THEN g1 ELSE g1 END AS target_intent, {r('least(0.80, 0.45 + (CASE WHEN g2 IS NULL OR g1 = g2 THEN 1.0 ELSE 3.0 / 5.0 END) * 0.45)', 3)} AS target_confidence
-        FROM (SELECT page_id, CASE WHEN title IS NOT NULL THEN {GUESS('title')} ELSE {GUESS('h1')} END AS g1, CASE WHEN title IS NOT NULL AND h1 IS NOT NULL THEN {GUESS('h1')} END AS g2
-              FROM {{intent_page}} WHERE title IS NOT NULL OR h1 IS NOT NULL)""",
+    f"""SELECT page_id, target_intent, {r('least(0.80, 0.45 + w / total * 0.45)', 3)} AS target_confidence FROM (
+          SELECT *, sum(w) OVER (PARTITION BY page_id) AS total, row_number() OVER (PARTITION BY page_id ORDER BY w DESC, i) AS rn FROM (
+            SELECT page_id, {GUESS('f')} AS target_intent, sum(CASE i WHEN 1 THEN 3.0 WHEN 2 THEN 2.0 ELSE 1.0 END)::DOUBLE AS w, min(i) AS i FROM (
+              SELECT page_id, unnest(frs) AS f, generate_subscripts(frs, 1) AS i FROM (
+                SELECT page_id, list_filter(list_concat([title, h1], string_split(headings_text, '|')), lambda x: x IS NOT NULL AND x <> '') AS frs FROM {{intent_page}})) GROUP BY ALL)) WHERE rn = 1""",
 )
 _sev = "CASE " + " ".join(f"WHEN business_intent = '{b}' AND o = '{o}' THEN '{v}'" for (b, o), v in ix.MISMATCH.items()) + " END"
 
@@ -137,9 +140,9 @@ common(
 common(
     "keyword_source",
     """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY page_id, keyword ORDER BY o, idx) AS rn FROM (
-         SELECT page_id, lower(trim(query)) AS keyword, 'gsc' AS source, 0 AS o, query_rank - 1 AS idx, position, impressions, CAST(impressions AS DOUBLE) AS base, CAST(NULL AS DOUBLE) AS difficulty, NULL AS given FROM {intent_query} WHERE query_rank <= 20
-         UNION ALL SELECT page_id, lower(trim(keyword)), 'semrush', 1, idx, CAST(position AS DOUBLE), NULL, volume * 30.0, difficulty, NULL FROM {snapshot_list} WHERE idx < 20
-         UNION ALL SELECT page_id, lower(trim(keyword)), 'ai', 2, idx, NULL, NULL, NULL, NULL, tier FROM {suggestion} WHERE idx < 25) WHERE keyword <> '') WHERE rn = 1""",
+         SELECT page_id, lower(trim(query)) AS keyword, 'gsc' AS source, 0 AS o, query_rank - 1 AS idx, position, impressions, CAST(impressions AS DOUBLE) AS base, CAST(NULL AS DOUBLE) AS difficulty, NULL AS given FROM {intent_query}
+         UNION ALL SELECT page_id, lower(trim(keyword)), 'semrush', 1, idx, CAST(position AS DOUBLE), NULL, volume * 30.0, difficulty, NULL FROM {snapshot_list}
+         UNION ALL SELECT page_id, lower(trim(keyword)), 'ai', 2, idx, NULL, NULL, NULL, NULL, tier FROM {suggestion}) WHERE keyword <> '') WHERE rn = 1""",
 )
 TIER = f"""CASE WHEN source = 'ai' AND replace(lower(given), ' ', '_') IN {inlist(kx.TIER_CAPS)} THEN replace(lower(given), ' ', '_')
    WHEN coalesce({TOKENS('keyword')}[1] IN {inlist(kx.QUESTION_WORDS)}, FALSE) THEN 'question' WHEN (source <> 'ai' AND idx < 2) OR (source = 'ai' AND idx = 0) THEN 'primary'
@@ -151,7 +154,7 @@ COMPETITION = """CASE WHEN difficulty IS NOT NULL THEN least(1.0, greatest(0.05,
    WHEN position > 0 THEN 0.45 WHEN impressions > 0 THEN 0.55 ELSE 0.40 END"""
 MATCH = "CASE WHEN guess = intent THEN 1.0 " + " ".join(f"WHEN (guess = '{a}' AND intent = '{b}') OR (guess = '{b}' AND intent = '{a}') THEN {v}" for (a, b), v in kx.ADJACENT_INTENTS.items()) + " ELSE 0.30 END"
 _terms = f"list_filter({TOKENS('keyword')}, lambda w: len(w) > 2)"
-RELEVANT = f"""CASE WHEN len({_terms}) = 0 THEN 0.5 ELSE least(1.0, greatest(0.05, (coalesce(list_sum(list_transform({_terms}, lambda w: CASE WHEN contains(lt, w) THEN 0.40::DOUBLE WHEN contains(lh, w) THEN 0.30::DOUBLE WHEN contains(lb, w) THEN 0.10::DOUBLE ELSE 0::DOUBLE END)), 0)
+RELEVANT = f"""CASE WHEN len({_terms}) = 0 THEN 0.5 ELSE least(1.0, greatest(0.05, (coalesce(list_sum(list_transform({_terms}, lambda w: CASE WHEN contains(lt, w) THEN 0.40::DOUBLE WHEN contains(lh, w) THEN 0.30::DOUBLE WHEN contains(lhd, w) THEN 0.18::DOUBLE WHEN contains(lb, w) THEN 0.10::DOUBLE ELSE 0::DOUBLE END)), 0)
    + CASE WHEN contains(lt, keyword) OR contains(lh, keyword) THEN 0.35 WHEN contains(lb, keyword) THEN 0.15 ELSE 0 END) / len({_terms}) + CASE WHEN contains(lb, keyword) THEN 0.15 ELSE 0 END)) END"""
 common(
     "intent_relevance",
@@ -162,19 +165,20 @@ common(
     f"""SELECT *, {r('least(100, pow(demand_score * ranking_opportunity_score * intent_match_score * business_relevance_score * content_relevance_score * competition_opportunity_score, 1 / 6::DOUBLE) * 100)', 1)} AS keyword_opportunity_score FROM (
         SELECT site_id, page_id, keyword, source, o, idx, {TIER} AS keyword_tier, CAST({DEMAND} AS DOUBLE) AS demand_score, CAST({RANKING} AS DOUBLE) AS ranking_opportunity_score, CAST({MATCH} AS DOUBLE) AS intent_match_score,
           relevance AS business_relevance_score, CAST({RELEVANT} AS DOUBLE) AS content_relevance_score, CAST({COMPETITION} AS DOUBLE) AS competition_opportunity_score, position AS current_position, impressions AS current_impressions FROM (
-        SELECT k.*, p.site_id, p.intent, v.relevance, {GUESS('k.keyword')} AS guess, lower(coalesce(title, '')) AS lt, lower(coalesce(h1, '')) AS lh, lower(coalesce(content, '')) AS lb
+        SELECT k.*, p.site_id, p.intent, v.relevance, {GUESS('k.keyword')} AS guess, lower(coalesce(title, '')) AS lt, lower(coalesce(h1, '')) AS lh, lower(replace(headings_text, '|', ' ')) AS lhd, lower(coalesce(content, '')) AS lb
         FROM {{keyword_source}} k JOIN {{intent_final}} p USING (page_id) JOIN {{intent_relevance}} v USING (page_id)))""",
 )
 _caps = "CASE keyword_tier " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in kx.TIER_CAPS.items()) + " END"
 common(
-    "keyword_capped",
-    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, keyword_tier ORDER BY keyword_opportunity_score DESC, o, idx) AS tier_rank FROM {{keyword_scored}}) WHERE tier_rank <= {_caps}",
+    "keyword_ranked",
+    "SELECT *, row_number() OVER (PARTITION BY page_id, keyword_tier ORDER BY keyword_opportunity_score DESC, o, idx) AS tier_rank FROM {keyword_scored}",
 )
+common("keyword_capped", f"SELECT * FROM {{keyword_ranked}} WHERE tier_rank <= {_caps}")
 common(
     "keyword_page",
-    f"""SELECT page_id, {r('avg(keyword_opportunity_score) FILTER (WHERE rn <= 3)', 1)} AS keyword_opportunity_score, string_agg(keyword, '|' ORDER BY tier_rank) FILTER (WHERE keyword_tier = 'primary') AS primary_keywords,
-          string_agg(keyword, '|' ORDER BY tier_rank) FILTER (WHERE keyword_tier = 'secondary') AS secondary_keywords
-        FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY keyword_opportunity_score DESC, keyword) AS rn FROM {{keyword_capped}}) GROUP BY page_id""",
+    f"""SELECT page_id, {r('avg(keyword_opportunity_score) FILTER (WHERE rn <= 3)', 1)} AS keyword_opportunity_score, string_agg(keyword, '|' ORDER BY tier_rank) FILTER (WHERE keyword_tier = 'primary' AND tier_rank <= 3) AS primary_keywords,
+          string_agg(keyword, '|' ORDER BY tier_rank) FILTER (WHERE keyword_tier = 'secondary' AND tier_rank <= 5) AS secondary_keywords
+        FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY keyword_opportunity_score DESC, keyword) AS rn FROM {{keyword_ranked}}) GROUP BY page_id""",
 )
 common(
     "intent_profile",
@@ -192,8 +196,8 @@ common(
 # ── Spark side ───────────────────────────────────────────────────────────────
 def text_pages(t):
     return t.spread(t.intent_page).withColumns(
-        {"structured_data_types": F.array("schema_type"), "content_hash": F.sha2("content_key", 256)}
-    ).drop("schema_type", "content_key")
+        {"structured_data_types": F.array("schema_type"), "content_hash": F.sha2("content_key", 256), "headings": F.filter(F.split("headings_text", r"\|"), lambda h: h != "")}
+    ).drop("schema_type", "content_key", "headings_text")
 
 
 def classified(t):
@@ -207,12 +211,12 @@ def pages_with_metrics(t):
 
 def sources(t):
     queries = t.intent_query.withColumn("idx", F.col("query_rank") - 1)
-    return plan.keyword_sources(queries, t.snapshot_list, t.suggestion, plan.SOURCE_LIMITS)
+    return plan.keyword_sources(queries, t.snapshot_list, t.suggestion)
 
 
 def built(t, existing=None):
     queries = t.intent_query.withColumn("idx", F.col("query_rank") - 1)
-    return plan.intent_profiles(pages_with_metrics(t), queries, t.snapshot_list, t.ai_finding, t.suggestion, existing, PATTERNS, plan.SOURCE_LIMITS, kx.TIER_CAPS)
+    return plan.intent_profiles(pages_with_metrics(t), queries, t.snapshot_list, t.ai_finding, t.suggestion, existing, PATTERNS)
 
 
 def scored(t):
@@ -248,7 +252,7 @@ def _(t):
 
 @query("scl64_targeting_intent", "SELECT page_id, target_intent AS intent, target_confidence AS confidence FROM {targeting}")
 def _(t):
-    v = ix.targeting_intent(F.col("title"), F.col("h1"))
+    v = ix.targeting_intent(F.col("title"), F.col("h1"), F.col("headings"))
     return text_pages(t).withColumn("v", v).filter("v is not null").select("page_id", "v.intent", "v.confidence")
 
 
@@ -302,7 +306,7 @@ def _(t):
 
 @query("win10_page_keyword_score", "SELECT page_id, keyword_opportunity_score, primary_keywords FROM {keyword_page}")
 def _(t):
-    out = plan.page_keyword_scores(plan.cut(plan.ranked_keywords(scored(t), kx.TIER_CAPS)))
+    out = plan.page_keyword_scores(plan.cut(plan.ranked_keywords(scored(t))))
     primary = F.nullif(F.array_join("primary_keywords", "|"), F.lit(""))
     return out.select("page_id", "keyword_opportunity_score", primary.alias("primary_keywords"))
 
@@ -333,7 +337,7 @@ VIEWS["keyword_row"] = """
     SELECT l_orderkey * 10 + l_linenumber AS row_id, CAST(substr(p_brand, 7) AS INT) AS site_id, l_partkey AS page_id, concat(p_name, CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE concat(' ', lower(p_type)) END) AS keyword,
            split_part('primary,secondary,long_tail', ',', CAST(1 + l_suppkey % 3 AS INT)) AS keyword_tier, CASE WHEN l_linenumber = 5 THEN NULL ELSE CAST((l_orderkey * 7 + l_suppkey) % 1000 AS DOUBLE) / 10 END AS keyword_opportunity_score,
            CAST(l_suppkey % 10 AS DOUBLE) / 10 AS demand_score, CASE WHEN l_partkey % 3 = 0 THEN CAST(1 + l_orderkey % 30 AS DOUBLE) END AS current_position, split_part('gsc,semrush,ai', ',', CAST(1 + l_linenumber % 3 AS INT)) AS source
-    FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber >= 5"""
+    FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
 common(
     "best_keyword_row",
     "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY site_id, keyword, keyword_tier, page_id ORDER BY coalesce(keyword_opportunity_score, 0) DESC, coalesce(current_position, 9999), source) AS rn FROM {keyword_row}) WHERE rn = 1",

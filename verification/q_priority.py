@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siteledger.functions import priority as pf
@@ -9,7 +11,7 @@ from siteledger.functions.numeric import health_category, rnd, technical_band
 from siteledger.operators import metrics, ranking
 from siteledger.plans import priority as plan
 
-from siteledger.session import cut
+from siteledger.session import checkpoint_dir, cut
 
 from .q_facts import page_metrics
 from .registry import common, query, r
@@ -256,7 +258,11 @@ def _(t):
 )
 def _(t):
     m = cut(page_metrics(t))
-    history = plan.score_history(priority(t, m), m, weights(t), sources(t), computed_date=TODAY)
+    scored = cut(priority(t, m))
+    folder = f"{checkpoint_dir(t.spark)}/history-{uuid.uuid4().hex}"
+    for day in ("2001-01-01", TODAY):  # two runs are appended, the later one is read back by its partition
+        plan.append_history(plan.score_history(scored, m, weights(t), sources(t), computed_date=day), folder)
+    history = t.spark.read.parquet(folder).filter(F.col("computed_date") == F.lit(TODAY).cast("date"))
     return history.select(
         "site_id", "page_id", "score", "band", "rank", "computed_date",
         F.col("breakdown.raw.seo_severity").alias("raw_severity"), F.col("breakdown.metrics.impressions").cast("long").alias("impressions"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siteledger.functions.numeric import rnd
+from siteledger.operators import exports
 from siteledger.plans import reports, rollup
 from siteledger.plans import roadmap as rm
 from siteledger.plans.audit import open_issues
-from siteledger.session import cut
+from siteledger.session import checkpoint_dir, cut
 from siteledger.sources import serp
 
 from .q_facts import ga4, gsc, page_metrics, snapshots_with_keywords
@@ -124,7 +127,7 @@ def _(t):
 
 VIEWS["finding_row"] = """
     SELECT l_orderkey * 10 + l_linenumber AS finding_id, l_partkey AS page_id, split_part('completed,failed,pending', ',', CAST(1 + l_suppkey % 3 AS INT)) AS status, split_part('high,medium,low', ',', CAST(1 + l_orderkey % 3 AS INT)) AS priority,
-           CAST(l_linenumber AS INT) AS n, concat('payload ', l_suppkey) AS payload FROM {lineitem} WHERE l_quantity > 35"""
+           CAST(l_linenumber AS INT) AS n, concat('payload ', l_suppkey) AS payload FROM {lineitem}"""
 
 
 @query("flt09_recommendation_list", "SELECT finding_id, f.page_id, p.url, CAST(n AS INTEGER) AS finding_count FROM {finding_row} f JOIN {page} p ON p.page_id = f.page_id WHERE status = 'completed' AND priority = 'high'")
@@ -176,7 +179,7 @@ def _(t):
 
 
 VIEWS["connection"] = "SELECT n_nationkey + 1 AS site_id, CASE n_nationkey % 3 WHEN 0 THEN 'connected' WHEN 1 THEN 'error' ELSE 'not_connected' END AS ga4_status FROM {nation}"
-VIEWS["run"] = "SELECT o_orderkey AS run_id, CAST(1 + o_custkey % 25 AS INT) AS site_id, split_part('queued,running,completed,failed', ',', CAST(1 + o_orderkey % 4 AS INT)) AS run_status FROM {orders} WHERE o_custkey % 25 <> 3"
+VIEWS["run"] = "SELECT o_orderkey AS run_id, CAST(1 + o_custkey % 25 AS INT) AS site_id, split_part('queued,running,completed,failed', ',', CAST(1 + o_orderkey % 4 AS INT)) AS run_status FROM {orders}"
 common(
     "portfolio",
     f"""SELECT s.site_id, s.name, coalesce(g.total_pages, 0) AS total_pages, g.average_seo_score, coalesce(g.p0, 0) AS p0_pages, coalesce(g.p1, 0) AS p1_pages, coalesce(g.p0, 0) + coalesce(g.p1, 0) AS high_priority_pages, coalesce(i.n, 0) AS total_issues, coalesce(i.c, 0) AS critical_issues,
@@ -255,7 +258,7 @@ def _(t):
     return rollup.page_rollup(t.page, day=DAY, k=30).select("site_id", "page_id", "date", "priority_score", "critical_count")
 
 
-VIEWS["history"] = "SELECT l_partkey AS page_id, CAST(1 + l_partkey % 25 AS INT) AS site_id, CAST(l_shipdate AS DATE) AS date, MAX(CAST(l_quantity AS DOUBLE)) AS seo_score, MAX(CAST(l_suppkey AS DOUBLE)) AS priority_score, MAX(l_linenumber) AS issue_count FROM {lineitem} WHERE l_linenumber = 2 GROUP BY 1, 2, 3"
+VIEWS["history"] = "SELECT l_partkey AS page_id, CAST(1 + l_partkey % 25 AS INT) AS site_id, CAST(l_shipdate AS DATE) AS date, MAX(CAST(l_quantity AS DOUBLE)) AS seo_score, MAX(CAST(l_suppkey AS DOUBLE)) AS priority_score, MAX(l_linenumber) AS issue_count FROM {lineitem} GROUP BY 1, 2, 3"
 
 
 def series_sql(key: str) -> str:
@@ -407,7 +410,7 @@ def _(t):
     return out.select("page_id", rules.cast("long").alias("open_rules"), "impressions", "users", "score", "finding_id")
 
 
-VIEWS["competitor_row"] = "SELECT o_orderkey AS analysis_id, o_custkey AS page_id, concat('kw ', o_orderkey) AS keyword, CAST(o_orderkey % 900 AS INT) AS median_word_count FROM {orders} WHERE o_orderkey % 3 = 0"
+VIEWS["competitor_row"] = "SELECT o_orderkey AS analysis_id, o_custkey AS page_id, concat('kw ', o_orderkey) AS keyword, CAST(o_orderkey % 900 AS INT) AS median_word_count FROM {orders}"
 
 
 @query(
@@ -417,23 +420,47 @@ VIEWS["competitor_row"] = "SELECT o_orderkey AS analysis_id, o_custkey AS page_i
 )
 def _(t):
     out = reports.action_plan(t.page, page_metrics(t).drop("site_id"), profiles(t), t.stored_score, t.competitor_row)
-    actions = F.when(F.col("recommended_actions").isNull(), F.lit(0)).otherwise(F.size("recommended_actions"))
-    first = F.get("recommended_actions", F.lit(0))["recommendation_type"]
-    return out.select("page_id", "impressions", "detected_intent", "intent_mismatch", "keyword", "competitors_available", actions.cast("long").alias("actions"), first.alias("first_action"))
+    return out.select(
+        "page_id", "impressions", "detected_intent", "intent_mismatch", "keyword", "competitors_available", F.col("action_count").alias("actions"), F.col("first_action.recommendation_type").alias("first_action"),
+    )
+
+
+@query(
+    "pipe13_action_rows",
+    "SELECT page_id, score_id, recommendation_type, status, row_number() OVER (PARTITION BY page_id ORDER BY overall_priority DESC, score_id, recommendation_type) AS action_rank FROM {stored_score}",
+)
+def _(t):
+    return reports.action_rows(t.stored_score).select("page_id", "score_id", "recommendation_type", "status", "action_rank")
+
+
+def written(t, tables, fmt="parquet"):
+    """Through a written export and back."""
+    folder = f"{checkpoint_dir(t.spark)}/export-{uuid.uuid4().hex}"
+    return exports.read_tables(t.spark, folder, exports.write_tables(tables, folder, fmt=fmt))
+
+
+_line = lambda *xs: "concat_ws('|', " + ", ".join(f"coalesce(CAST({x} AS VARCHAR), '-')" for x in xs) + ")"
 
 
 @query(
     "snk07_audit_report",
-    """SELECT 'page_overview' AS table_name, count(*) AS rows FROM {page} WHERE is_active UNION ALL SELECT 'issues', count(*) FROM {open_issue} UNION ALL SELECT 'findings', count(DISTINCT f.page_id) FROM {finding_row} f JOIN {page} p ON p.page_id = f.page_id WHERE p.is_active AND status = 'completed'
-       UNION ALL SELECT 'keywords', count(*) FROM {keyword_row} k JOIN {page} p ON p.page_id = k.page_id WHERE p.is_active UNION ALL SELECT 'summary', count(DISTINCT site_id) FROM {page} WHERE is_active""",
+    f"""SELECT 'page_overview' AS table_name, p.page_id AS id, {_line('p.site_id', 'p.url', 'p.seo_category', 'm.impressions', 'm.users')} AS line FROM {{page}} p LEFT JOIN {{page_metric}} m ON m.page_id = p.page_id WHERE p.is_active
+       UNION ALL SELECT 'issues', issue_id, {_line('page_id', 'rule_id', 'severity', 'title', 'description')} FROM {{open_issue}}
+       UNION ALL SELECT 'findings', finding_id, {_line('page_id', 'payload', 'status')} FROM (SELECT f.*, row_number() OVER (PARTITION BY f.page_id ORDER BY finding_id DESC) AS rn FROM {{finding_row}} f JOIN {{page}} p ON p.page_id = f.page_id WHERE p.is_active AND status = 'completed') WHERE rn = 1
+       UNION ALL SELECT 'keywords', row_id, {_line('k.site_id', 'k.page_id', 'keyword', 'keyword_tier', 'source', 'p.url')} FROM {{keyword_row}} k JOIN {{page}} p ON p.page_id = k.page_id WHERE p.is_active
+       UNION ALL SELECT 'summary', site_id, {_line('count(*)', 'sum(issue_count)')} FROM {{page}} WHERE is_active GROUP BY site_id""",
 )
 def _(t):
     tables = reports.audit_report(t.page, opened(t), t.finding_row, t.keyword_row.drop("url"), page_metrics(t).select("page_id", "impressions", "users"))
-    counts = [df.agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name)) for name, df in tables.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    back = written(t, tables)
+    line = lambda name, key, *columns: back[name].select(F.lit(name).alias("table_name"), F.col(key).cast("long").alias("id"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("line"))
+    return (
+        line("page_overview", "page_id", "site_id", "url", "seo_category", "impressions", "users")
+        .unionByName(line("issues", "issue_id", "page_id", "rule_id", "severity", "title", "description"))
+        .unionByName(line("findings", "finding_id", "page_id", "payload", "status"))
+        .unionByName(line("keywords", "row_id", "site_id", "page_id", "keyword", "keyword_tier", "source", "url"))
+        .unionByName(line("summary", "site_id", "pages", "issues"))
+    )
 
 
 @query(
@@ -443,4 +470,5 @@ def _(t):
         WHERE p.is_active AND p.issue_count > 0 AND p.page_id IN (SELECT page_id FROM {{issue}} WHERE rule_id = 'title' AND NOT is_resolved)""",
 )
 def _(t):
-    return reports.issue_export(t.page, t.issue, "title", page_metrics(t), profiles(t), has_issues=True)
+    pages = reports.issue_export(t.page, t.issue, "title", page_metrics(t), profiles(t), has_issues=True)
+    return written(t, {"pages": pages}, "csv")["pages"]

@@ -15,6 +15,13 @@ TODAY = "2001-08-01"
 
 SITE_OF_PART = "CAST(substr(p_brand, 7) AS INT)"
 
+
+def gone(page: str, every: int) -> str:
+    """Page ids, those of every so-maniest site beyond the ids of the page table: rows of pages that are gone, so their sites have none."""
+    return f"({page}) + CASE WHEN {SITE_OF_PART} % {every} = 0 THEN 1000000000 ELSE 0 END"
+
+
+
 VIEWS: dict[str, str] = {
     # Website and page snapshot from part.
     "site": f"""
@@ -45,9 +52,9 @@ VIEWS: dict[str, str] = {
                CAST(floor(l_quantity * round(l_discount * 100) / 10) AS BIGINT) AS clicks,
                CAST(10 + l_orderkey % 300 AS DOUBLE) / 10 AS position
         FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
-    # Analytics rows from events, shifted to end just before TODAY; every fifth site has none.
+    # Analytics rows from events, shifted to end just before TODAY; those of every fifth site are of a site and pages that are gone.
     "ga4_raw": f"""
-        SELECT event_id AS row_id, user_id * 13 AS page_id, {SITE_OF_PART} AS site_id,
+        SELECT event_id AS row_id, {gone('user_id * 13', 5)} AS page_id, {SITE_OF_PART} + CASE WHEN {SITE_OF_PART} % 5 = 0 THEN 1000 ELSE 0 END AS site_id,
                CAST(ts AS DATE) - 8225 AS date,
                CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS BIGINT) AS users,
                CAST(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS BIGINT) AS new_users,
@@ -60,17 +67,15 @@ VIEWS: dict[str, str] = {
                CAST(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS DOUBLE) AS conversions,
                CASE WHEN event_type = 'purchase' THEN value ELSE CAST(0 AS DOUBLE) END AS purchase_revenue,
                CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE CAST(0 AS DOUBLE) END AS total_revenue
-        FROM {{events}} JOIN {{part}} ON user_id * 13 = p_partkey
-        WHERE {SITE_OF_PART} % 5 <> 0""",
-    # Keyword-tool snapshots from orders; every seventh site has none.
+        FROM {{events}} JOIN {{part}} ON user_id * 13 = p_partkey""",
+    # Keyword-tool snapshots from orders; those of every seventh site are of a site and pages that are gone.
     "semrush": f"""
-        SELECT o_orderkey AS snapshot_id, o_custkey AS page_id, {SITE_OF_PART} AS site_id,
+        SELECT o_orderkey AS snapshot_id, {gone('o_custkey', 7)} AS page_id, {SITE_OF_PART} + CASE WHEN {SITE_OF_PART} % 7 = 0 THEN 1000 ELSE 0 END AS site_id,
                CAST(o_orderdate AS DATE) AS date, o_orderkey % 200 AS organic_keywords,
                CAST(floor(o_totalprice / 100) AS BIGINT) AS organic_traffic,
                o_orderkey % 40 AS striking_distance_keywords, (o_orderkey * 7) % 5000 AS opportunity_volume,
                o_orderkey % 300 AS backlinks
-        FROM {{orders}} JOIN {{part}} ON o_custkey = p_partkey
-        WHERE {SITE_OF_PART} % 7 <> 0""",
+        FROM {{orders}} JOIN {{part}} ON o_custkey = p_partkey""",
     # Settings rows: one global row from region, site rows from nation.
     "setting_flat": """
         SELECT CAST(NULL AS INT) AS site_id, '0.5' AS seo_severity, '0.2' AS ga4_activity, '0.2' AS gsc_search, 'n/a' AS semrush_opportunity
