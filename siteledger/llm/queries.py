@@ -91,19 +91,29 @@ WITH d AS (
          (2, 'hex', '[0-9a-f]+', 0, 24, 0, 0.0),
          (3, 'entropy', '[A-Za-z0-9+/_=-]{20,}', 0, 0, 20, 20 * (log2(20) - 3.75)),
          (4, 'entropy_hex', '[0-9A-Fa-f]{24,}', 0, 0, 24, 24 * (log2(24) - 3.0))
+), parted AS (
+  SELECT doc_id, t, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+           '[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}', repeat(' ', 36), 'g'), '(?i)abcdefghijklmnop|0123456789abcdef', repeat(' ', 16), 'g'),
+           '(?i)placeholder', repeat(' ', 11), 'g'), '(?i)changeme', repeat(' ', 8), 'g'), '(?i)example', repeat(' ', 7), 'g'), '(?i)sample', repeat(' ', 6), 'g'), '(?i)dummy', repeat(' ', 5), 'g'), '(?i)xxxx', repeat(' ', 4), 'g') AS u
+  FROM d
+), looked AS (
+  SELECT doc_id, o, kind, p, grp, least, width, most, CASE WHEN o < 3 THEN t ELSE u END AS t FROM parted, patterns
 ), hits AS (
   SELECT doc_id, o, kind, least, width, most, regexp_extract_all(t, p, 0) AS m,
          CASE WHEN grp = 2 THEN regexp_extract_all(t, p, 2) ELSE regexp_extract_all(t, p, 0) END AS v, string_split_regex(t, p) AS g
-  FROM d, patterns WHERE regexp_matches(t, p)
+  FROM looked WHERE regexp_matches(t, p)
 ), one AS (
   SELECT doc_id, o, kind, least, width, most, k, m[k] AS m, v[k] AS v,
          (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::BIGINT AS s
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM hits)
 ), base AS (
   SELECT doc_id, o, kind, s, s + length(m) AS e FROM one WHERE o < 3 AND length(v) >= least
+), rest AS (
+  SELECT doc_id, o, kind, width, most, s + length(lead) AS s, substr(m, length(lead) + 1) AS m
+  FROM (SELECT *, regexp_extract(m, '^/?(?:[a-z_-]+[0-9]{0,4}[/=]+)+') AS lead FROM one WHERE o >= 3)
 ), windows AS (
-  SELECT doc_id, o, kind, s, m, width, most, unnest(range(0, length(m) - width + 1)) AS j FROM one
-  WHERE o >= 3 AND NOT regexp_matches(m, '^[^0-9]*$|^[^A-Za-z]*$|^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^/?([a-z_-]+[0-9]{0,4}/){2,}|(?i:example|sample|placeholder|dummy|changeme|xxxx|abcdefghijklmnop|0123456789abcdef)')
+  SELECT doc_id, o, kind, s, m, width, most, unnest(range(0, length(m) - width + 1)) AS j FROM rest
+  WHERE length(m) >= width AND NOT regexp_matches(m, '^[^0-9]*$|^[^A-Za-z]*$|^/?(?:[a-z_-]+[0-9]{0,4}/)*[a-z_-]+[0-9]{0,4}/?$')
 ), added AS (
   SELECT doc_id, o, kind, s + min(j) AS s, s + max(j) + any_value(width) AS e FROM windows
   WHERE list_sum(list_transform(map_values(list_histogram(string_split(substr(m, j + 1, width), ''))), lambda n: n * log2(n))) <= most + 1e-8

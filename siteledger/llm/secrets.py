@@ -43,15 +43,21 @@ CLASSES = (
     CharacterClass("entropy", _UPPER + _LOWER + _DIGITS + "+/_=-", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.75),
     CharacterClass("entropy_hex", _DIGITS + "ABCDEFabcdef", r"[0-9A-Fa-f]{24,}", 24, 3.0),
 )
-#: Candidates that are no secrets: without a digit or without a letter, ids with dashes, file paths, placeholders, alphabets.
-ALLOWED = (
-    r"^[^0-9]*$",
-    r"^[^A-Za-z]*$",
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^/?([a-z_-]+[0-9]{0,4}/){2,}",
-    r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
-    r"(?i)abcdefghijklmnop|0123456789abcdef",
+#: Stretches of fixed length that are no secrets; they part a candidate, so that what stands beside them is still judged.
+HARMLESS = (
+    (r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}", 36),
+    (r"(?i)abcdefghijklmnop|0123456789abcdef", 16),
+    (r"(?i)placeholder", 11),
+    (r"(?i)changeme", 8),
+    (r"(?i)example", 7),
+    (r"(?i)sample", 6),
+    (r"(?i)dummy", 5),
+    (r"(?i)xxxx", 4),
 )
+#: Names before a value: lower-case path segments and keys.
+LEADING = r"^/?(?:[a-z_-]+[0-9]{0,4}[/=]+)+"
+#: What is left of a candidate is no secret without a digit, without a letter, or where all of it is a file path.
+ALLOWED = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^/?(?:[a-z_-]+[0-9]{0,4}/)*[a-z_-]+[0-9]{0,4}/?$")
 
 
 def _starts(gaps: Column, matches: Column) -> Column:
@@ -139,21 +145,33 @@ def _dense_part(string: Column, c: CharacterClass) -> Column:
 
 
 def _entropy_spans(text: Column, c: CharacterClass, order: int, allowed: tuple[str, ...]) -> Column:
+    rest = _matches(text, c.pattern)
+    lead = lambda x: F.char_length(F.regexp_extract(x["match"], LEADING, 0))
+    rest = F.transform(rest, lambda x: F.struct((x["start"] + lead(x)).alias("start"), F.substring(x["match"], lead(x) + 1, F.char_length(x["match"])).alias("match")))
+    rest = F.filter(rest, lambda x: F.char_length(x["match"]) >= c.width)
     allow = "|".join(f"(?:{p})" for p in allowed)
-    rows = _matches(text, c.pattern)
-    rows = F.filter(rows, lambda x: ~F.regexp_like(x["match"], F.lit(allow))) if allowed else rows
-    dense = F.transform(rows, lambda x: F.struct(x["start"].alias("start"), _dense_part(x["match"], c).alias("part")))
+    rest = F.filter(rest, lambda x: ~F.regexp_like(x["match"], F.lit(allow))) if allowed else rest
+    dense = F.transform(rest, lambda x: F.struct(x["start"].alias("start"), _dense_part(x["match"], c).alias("part")))
     dense = F.filter(dense, lambda x: x["part"]["first"] > 0)
     return F.transform(dense, lambda x: _span(x["start"] + x["part"]["first"] - c.width, x["start"] + x["part"]["last"], order, c.kind))
 
 
+def _parted(text: Column, harmless: tuple[tuple[str, int], ...]) -> Column:
+    """The text with spaces in place of the harmless stretches, so that positions stay."""
+    for pattern, length in harmless:
+        text = F.regexp_replace(text, pattern, " " * length)
+    return text
+
+
 def find_secrets(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED,
+    harmless: tuple[tuple[str, int], ...] = HARMLESS,
 ) -> DataFrame:
     """``doc_id``, ``base`` and ``added``: arrays of spans (``start``, ``order``, ``end``, ``kind``) in order of start, then kind.
 
-    ``base`` holds the matches of the three patterns; ``added`` holds, for each candidate string of a class that the allow-list
-    does not suppress, the stretch from its first to its last window of enough entropy. Positions are code points, ends
+    ``base`` holds the matches of the three patterns; ``added`` holds, for each candidate string of a class, the stretch from its first
+    to its last window of enough entropy. The allow-list parts a candidate at harmless stretches, takes names in front away and
+    judges what is left, so a key beside a placeholder or below a path is found. Positions are code points, ends
     exclusive. Null is empty text and has no spans; every row is judged alone, so repeated rows and ids get a row each. There
     is no shuffle and no Python: texts without a match of a pattern cost one search for it.
     """
@@ -163,7 +181,8 @@ def find_secrets(
         _spans(_matches(text, ACCESS), 1, "access", ACCESS_LEAST),
         _spans(_matches(text, HEX), 2, "hex", 0),
     )
-    added = F.concat(*[_entropy_spans(text, c, 3 + i, allowed) for i, c in enumerate(classes)])
+    parted = lambda c: F.when(F.regexp_like(text, F.lit(c.pattern)), _parted(text, harmless)).otherwise("")
+    added = F.concat(*[_entropy_spans(parted(c), c, 3 + i, allowed) for i, c in enumerate(classes)])
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.array_sort(base).alias("base"), F.array_sort(added).alias("added"))
 
 
