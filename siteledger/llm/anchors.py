@@ -9,10 +9,10 @@ import numpy as np
 GRAM = 32  # bytes of a k-gram
 BASE = 0x9E3779B97F4A7C15 | 1
 PLACE_BITS = 26  # of a hash, its place in the batch takes the low bits
-BLOCK = 1 << 25  # bytes looked at together; a longer text is taken in parts that overlap by a string
+BLOCK = (1 << 20) - 4096  # bytes looked at together; a longer text is taken in parts that overlap by a string
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
     up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from .anchors import runs
 from .common import Scratch, columns, shuffle_partitions, slices
 from .lyndon import suffix_array
+from .passage_dedup import join_spans
 
 LENGTH = 100
 CHUNK_BYTES = 64 << 10  # contexts sorted together
-GROUP_CONTEXTS = 20_000  # contexts of one anchor that a task sorts; beyond that they go string by string
+GROUP_CONTEXTS = 4_000  # contexts of one anchor that a task sorts; beyond that they go string by string
+RUNS = 200_000  # runs of a batch that are compared at once
 NO_ID = (1 << 63) - 1  # a null id comes last
 
-PLACES = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("width", pa.int32())])
-_PLACES = "anchor long, context long, doc_id long, row long, start long, width int"
+PLACES = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("width", pa.int64())])
+_PLACES = "anchor long, context long, doc_id long, row long, start long, width long"
 CONTEXTS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 _CONTEXTS = "anchor long, doc_id long, row long, start long, bytes binary"
 _CLEANED = "row long, doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>"
@@ -33,7 +35,7 @@ CLEANED = pa.schema(
 def find_places(length: int):
     """Runs of starts with one anchor, and a checksum of the bytes that their strings span.
 
-    Inside a batch only the first run of equal bytes is sent on; for the others it is clear that their bytes occur earlier, and
+    Of ``RUNS`` runs at a time only the first of equal bytes is sent on; for the others it is clear that their bytes occur earlier, and
     they go out as rows without an anchor's context (null), under a key of their own.
     """
 
@@ -43,28 +45,32 @@ def find_places(length: int):
             texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
             raw = b"".join(texts)
             bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            first, last, anchor = runs(np.frombuffer(raw, np.uint8), bounds, length)
-            if not len(first):
-                continue
-            end = last + length
-            context = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), end.tolist())], np.uint64).view(np.int64)
-            text = np.searchsorted(bounds, first, "right") - 1
-            doc, row, start, anchor = ids[text], rows[text], first - bounds[text], anchor.view(np.int64)
-            order = np.lexsort((start, row, doc, context, anchor))
-            again = np.zeros(len(order), bool)
-            again[1:] = (anchor[order][1:] == anchor[order][:-1]) & (context[order][1:] == context[order][:-1])
-            repeat = order[again]
-            anchor = anchor.copy()
-            anchor[repeat] = row[repeat] * np.int64(-7046029254386353131)
-            missing = np.zeros(len(order), bool)
-            missing[repeat] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(context, mask=missing), pa.array(doc), pa.array(row), pa.array(start), pa.array((end - first).astype(np.int32))], schema=PLACES
-            )
+            found = runs(np.frombuffer(raw, np.uint8), bounds, length)
+            for k in range(0, len(found[0]), RUNS):
+                yield distinct_places(raw, bounds, rows, ids, length, *(x[k : k + RUNS] for x in found))
 
     return run
 
 
+def distinct_places(raw: bytes, bounds: np.ndarray, rows: np.ndarray, ids: np.ndarray, length: int, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
+    end = last + length
+    context = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), end.tolist())), np.uint64, len(first)).view(np.int64)
+    text = np.searchsorted(bounds, first, "right") - 1
+    doc, row, start, width, anchor = ids[text], rows[text], first - bounds[text], end - first, anchor.view(np.int64)
+    order = np.lexsort((start, row, doc, context, anchor))
+    again = np.zeros(len(order), bool)
+    again[1:] = (anchor[order][1:] == anchor[order][:-1]) & (context[order][1:] == context[order][:-1])
+    send, gone = np.sort(order[~again]), order[again]
+    # Neighbouring repeats of a text go out as one.
+    r, a, b = join_spans(row[gone], start[gone], start[gone] + width[gone])
+    nothing = pa.nulls(len(r), pa.int64())
+    parts = zip(
+        (pa.array(x[send]) for x in (anchor, context, doc, row, start, width)),
+        (pa.array(r * np.int64(-7046029254386353131)), nothing, pa.array(np.full(len(r), NO_ID)), pa.array(r), pa.array(a), pa.array(b - a)),
+    )
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in parts], schema=PLACES)
+
+
 def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over places sorted by anchor, context and position.
 
@@ -270,6 +276,7 @@ def remove_repeats(
     name = f"substring_dedup_{uuid.uuid4().hex}"
     source.repartition(n, "row").write.bucketBy(n, "row").sortBy("row").option("path", f"{scratch.folder}/texts").saveAsTable(name)
     texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; only the name goes
 
     places = texts.mapInArrow(find_places(length), _PLACES)
     sorted_places = places.repartition(n, "anchor").sortWithinPartitions("anchor", "context", "doc_id", "row", "start")

@@ -74,3 +74,26 @@ def test_long_texts_in_parts(monkeypatch):
 
 def test_empty_table(spark, table):
     assert remove_repeats(table([])).count() == 0
+
+
+_MEASURE = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from siteledger.llm.substring_dedup import find_places
+kind = sys.argv[1]
+data = b"ab" * (4 << 20) if kind == "period" else np.random.default_rng(0).integers(97, 122, 32 << 20).astype(np.uint8).tobytes()
+batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([1], pa.int64()), pa.array([data]).cast(pa.string())], names=["row", "doc_id", "text"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = sum(out.num_rows for out in find_places(100)(iter([batch])))
+print(rows, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+@pytest.mark.parametrize("kind,most_mb,most_rows", [("period", 300, 200), ("long", 350, 1_200_000)])
+def test_memory_of_a_worker(kind, most_mb, most_rows):
+    """A text of 32 MB, and 8 MB of one period, in a fresh process; the text itself is held three times."""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", _MEASURE, kind], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) < most_rows and int(out[1]) < most_mb, out
