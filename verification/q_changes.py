@@ -294,9 +294,15 @@ def _(t):
     return predictions(t).select("pr_id", "change_count", "expected_impact", "positive_confidence", "negative_confidence", "risk_level", "recommendation")
 
 
-@query("agg16_finding_rows", "SELECT pr_id, direction, description, row_number() OVER (PARTITION BY pr_id, direction ORDER BY file_id, pos) AS finding_rank FROM {refined}")
+@query(
+    "agg16_finding_rows",
+    """SELECT pr_id, direction, file_id, n AS findings, CAST(1 + coalesce(sum(n) OVER (PARTITION BY pr_id, direction ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_rank, texts
+       FROM (SELECT pr_id, direction, file_id, count(*) AS n, count(DISTINCT description) AS texts FROM {refined} GROUP BY ALL)""",
+)
 def _(t):
-    return plan.finding_rows(refined(t)).select("pr_id", "direction", "description", "finding_rank")
+    """Ranks go on from file to file; inside a file they follow the position."""
+    rows = plan.finding_rows(refined(t)).groupBy("pr_id", "direction", "file_id")
+    return rows.agg(F.count(F.lit(1)).alias("findings"), F.min("finding_rank").alias("first_rank"), F.count_distinct("description").alias("texts"))
 
 
 _remedy = "CASE change_type " + " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in cx.SUGGESTIONS.items()) + " END"
