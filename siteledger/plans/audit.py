@@ -41,6 +41,7 @@ CHECK_WEIGHTS = {
 }
 EXAMPLES = 5
 CRAWL_COLUMNS = {"final_url": "string", "redirect_chain": "array<string>", "crawl_error": "string"}
+TEXTS = ("html", "content", "raw_text", "visible_text")
 MIN_DUPLICATE_WORDS = 50
 
 
@@ -158,6 +159,8 @@ def run_checks(annotated: DataFrame) -> DataFrame:
     status = F.coalesce("status_code", F.lit(200))
     usable = is_usable(status, F.coalesce("crawl_quality", F.lit("ok")))
     absent = {c: F.lit(None).cast(kind) for c, kind in CRAWL_COLUMNS.items() if c not in annotated.columns}
+    if "content_size" not in annotated.columns:
+        absent["content_size"] = F.length("content")
     return rules.apply_rules(annotated.withColumns(absent) if absent else annotated, (status == 200) & usable, status, usable)
 
 
@@ -200,14 +203,17 @@ def score_checks(checked: DataFrame, weights: dict[str, float] | None = None, si
     ).drop("_sum", "_sw")
 
 
-def audit_pages(pages: DataFrame, edges: DataFrame | None = None, weights: dict[str, float] | None = None, site_weights: DataFrame | None = None) -> DataFrame:
+def audit_pages(
+    pages: DataFrame, edges: DataFrame | None = None, weights: dict[str, float] | None = None, site_weights: DataFrame | None = None, *, texts: bool = False
+) -> DataFrame:
     """The whole audit of extracted pages: links, duplicates, rules and scores.
 
-    ``pages`` is the extraction output plus site_id; extraction feeds several joins, so its result is
-    materialised once.
+    ``pages`` is the extraction output plus site_id; extraction feeds several joins, so its signals are materialised once. Whole
+    texts (``TEXTS``) stay out, as the rules need only their size; ``texts`` keeps them, for rules of one's own that read them.
     """
     absent = {c: F.lit(None).cast(kind) for c, kind in CRAWL_COLUMNS.items() if c not in pages.columns}
-    base = cut(pages.withColumns(absent) if absent else pages)
+    signals = pages.withColumns(absent | {"content_size": F.length("content")})
+    base = cut(signals if texts else signals.drop(*TEXTS))
     counts = link_counts(link_edges(base) if edges is None else edges, base)
     return score_checks(run_checks(annotate(base, counts)), weights, site_weights)
 

@@ -17,6 +17,7 @@ SOURCES = ("gsc", "semrush", "ai")
 #: Entries per source for callers that want short lists; nothing is left out unless such limits are passed.
 SOURCE_LIMITS = {"gsc": 20, "semrush": 20, "ai": 25}
 BEST_KEYWORDS = 3
+TEXTS = ("html", "content", "raw_text", "visible_text")
 COMPETING_TIERS = ("primary", "secondary")
 LISTED_PAGES = 20
 
@@ -205,7 +206,7 @@ def intent_profiles(
     All keywords of all sources are scored and kept, unless ``source_limits`` or ``tier_caps`` ask for fewer.
 
     ``pages`` carries text, metrics and site totals. Page classification and keyword scoring feed both
-    outputs, so each is materialised once.
+    outputs, so each is materialised once, without the text; keyword scoring reads that from ``pages``.
     """
     todo = pages if existing is None else changed_pages(pages, existing)
     classified = cut(
@@ -215,10 +216,12 @@ def intent_profiles(
                 "intent_confidence": F.col("intent.confidence"),
                 "business_relevance": business_relevance(patterns=patterns),
             }
-        )
+        ).drop(*TEXTS)
     )
     sources = keyword_sources(queries, snapshot_keywords, suggestions, source_limits)
-    capped = cut(ranked_keywords(score_keywords(sources, classified), tier_caps))
+    read = todo.select("page_id", "title", "h1", "content", *(["headings"] if "headings" in todo.columns else []))
+    judged = read.join(classified.select("page_id", "site_id", "detected_intent", "business_relevance"), "page_id")
+    capped = cut(ranked_keywords(score_keywords(sources, judged), tier_caps))
     rows = classified.join(page_keyword_scores(capped), "page_id", "left").fillna({"keyword_opportunity_score": 0.0})
     rows = rows.withColumn("traffic_potential_score", traffic_potential())
     profiles = rows.withColumn("lead_potential_score", lead_potential(patterns=patterns)).select(

@@ -215,7 +215,7 @@ def _(t):
 
 @query("set04_available_sources", "SELECT site_id, has_gsc, has_ga4, has_semrush FROM {source_flag}")
 def _(t):
-    return sources(t)
+    return sources(t).join(t.site.select("site_id"), "site_id", "left_semi")  # there are rows of sites that are gone
 
 
 _PREVIEW = {"ga4_activity": 0.6, "gsc_search": 0.0}
