@@ -20,16 +20,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Well spread 64-bit hash of the ``GRAM`` bytes from each place on."""
-    n = len(data) - GRAM + 1
+def gram_hashes(data: np.ndarray, width: int = GRAM) -> np.ndarray:
+    """Well spread 64-bit hash of the ``width`` bytes from each place on."""
+    n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     size = 1 << max(20, (len(data) - 1).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[GRAM:] - sums[:n]) * down[:n]
+    h = (sums[width:] - sums[:n]) * down[:n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)

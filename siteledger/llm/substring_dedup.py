@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import runs
+from .anchors import gram_hashes, runs
 from .common import Scratch, columns, shuffle_partitions, slices
 from .lyndon import suffix_array
 from .passage_dedup import join_spans
@@ -130,6 +130,26 @@ def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, CONTEXTS)], schema=CONTEXTS)
 
 
+def shared_parts(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the first and last start of a string whose hash occurs twice; -1 for none. Equal strings have equal hashes."""
+    widths = np.array([len(c) for c in contexts])
+    base = np.cumsum(widths) - widths
+    hashes = gram_hashes(np.frombuffer(b"".join(contexts), np.uint8), length)
+    owner = np.repeat(np.arange(len(contexts)), widths - length + 1)
+    starts = np.arange(len(owner)) - np.repeat(np.cumsum(widths - length + 1) - (widths - length + 1), widths - length + 1)
+    own = hashes[base[owner] + starts]
+    order = np.argsort(own)
+    same = np.zeros(len(own) + 1, bool)
+    same[1:-1] = own[order][1:] == own[order][:-1]
+    twice = np.zeros(len(own), bool)
+    twice[order] = same[1:] | same[:-1]
+    first, last = np.full(len(contexts), -1), np.full(len(contexts), -1)
+    at = np.flatnonzero(twice)
+    last[owner[at]] = starts[at]
+    first[owner[at[::-1]]] = starts[at[::-1]]
+    return first, last
+
+
 def repeated_starts(contexts: list[bytes], doc: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Context and offset of each string of ``length`` bytes that occurs earlier among the contexts.
 
@@ -167,7 +187,11 @@ def find_repeats(length: int, most: int | None):
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         doc, row, start = (np.array([h[i] for h in held], np.int64) for i in (1, 2, 3))
-        own, offset = repeated_starts([h[4] for h in held], doc, row, start, length)
+        first, last = shared_parts([h[4] for h in held], length)
+        some = np.flatnonzero(first >= 0)  # only what may be shared is sorted
+        doc, row, start = doc[some], row[some], start[some] + first[some]
+        parts = [held[i][4][first[i] : last[i] + length] for i in some.tolist()]
+        own, offset = repeated_starts(parts, doc, row, start, length) if parts else (some, some)
         if not len(own):
             return _stretches(row[:0], start[:0], start[:0])
         order = np.lexsort((offset, own))
