@@ -214,6 +214,7 @@ def _cat(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+# The descriptions that the detectors below give are results that must match.
 def tag_change(kind: str, added: Column, removed: Column, pattern: str, groups: int) -> Column:
     """Title, H1 or canonical: removed is negative, added positive, rewritten neutral at 40 % weight."""
     label, weight = kind.replace("_", " ").title(), ceiling(kind)

@@ -165,6 +165,7 @@ def _percent(c: Column) -> Column:
     return F.concat(F.format_string("%.1f", rnd(100.0 * c, 1)), F.lit("%"))
 
 
+# The sentences of this and the following functions are results that must match.
 def reason_text(mechanism="mechanism", basis: Column | None = None) -> Column:
     """Why the recommendation matters, from the page's own numbers."""
     i, s, p, e = num("impressions"), num("sessions"), dbl("position"), dbl("engagement_rate")

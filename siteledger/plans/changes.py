@@ -172,6 +172,7 @@ def predict(changes: DataFrame, *, listed: int | None = None) -> DataFrame:
     rows = rows.withColumns(
         {"expected_impact": impact, "risk_level": risk, "positive_confidence": share(F.col("_p")), "negative_confidence": share(F.col("_n"))}
     )
+    # The advice is a result that must match.
     advice = (
         F.when(F.col("risk_level").isin("critical", "high"), "DO NOT DEPLOY WITHOUT REVISION")
         .when(F.col("risk_level") == "medium", "Review before merging — some findings may reduce SEO performance.")

@@ -181,6 +181,7 @@ def accuracy_report(measured: DataFrame) -> DataFrame:
     return out.filter((F.col("scope") == "site") | (F.col("evaluable") > 0)).drop("_g", "predicted_impact", "risk_level")
 
 
+# The sentences of this function are results that must match.
 def weight_advice(report: DataFrame) -> DataFrame:
     """Hold below the smallest sample, lower the confidence weight when predictions miss more than half."""
     site = report.filter("scope = 'site'")

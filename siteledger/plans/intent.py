@@ -306,6 +306,7 @@ def cannibalization(keywords: DataFrame, pages: DataFrame) -> tuple[DataFrame, D
     ), members
 
 
+# The sentences of this function are results that must match.
 def _explanation() -> Column:
     tier, own = F.col("keyword_tier"), F.col("canonical.url")
     more = F.col("page_count") - 1 - LISTED_PAGES

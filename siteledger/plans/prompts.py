@@ -25,6 +25,7 @@ def _lines(rows: DataFrame, keys: str, rank: str, text: Column, name: str, liste
     return best.groupBy(keys).agg(F.array_join(ordered, "\n").alias(name))
 
 
+# Headings and lines of the prompt are results that must match.
 def metrics_text(window_days: int) -> Column:
     has = lambda *cs: sum((num(c) for c in cs), F.lit(0.0)) > 0
     cat = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
