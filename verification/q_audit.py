@@ -11,7 +11,7 @@ from siteledger.plans import audit as plan
 from siteledger.sources import html, markup
 
 from .q_impact import q
-from .registry import common, query, r
+from .registry import COMMON, common, query, r
 from .views import VIEWS
 
 K = "p_partkey"
@@ -365,7 +365,25 @@ def _(t):
     return html.extract_pages(documents(t)).select(*SIGNALS)
 
 
-@query("pipe01_site_audit_of_html")
+# The supplied pages in the shape that the SQL of the rules reads: what their markup lacks is absent.
+_THIN = f"length({_plain(_ARTICLE)}) < 300 AND length({_plain(_REST)}) >= 3 * greatest(length({_plain(_ARTICLE)}), 1)"
+common(
+    "html_signal",
+    f"""SELECT s.page_id, lower(regexp_extract(s.url, '^https?://([^/?#:]*)', 1)) AS site_id, s.page_id AS k, s.url, s.url AS final_url, 200 AS status_code, 'ok' AS crawl_quality, s.title, 1 AS title_count, CAST(NULL AS VARCHAR) AS meta_description, 0 AS meta_description_count,
+              '' AS meta_robots, '' AS x_robots_tag, CAST(NULL AS VARCHAR) AS canonical_url, 0 AS canonical_count, '' AS chain, FALSE AS has_open_graph, FALSE AS has_viewport, s.h1, greatest(1, len(list_filter(string_split(s.h1, ' | '), lambda x: trim(x) <> ''))) AS h1_count, 0 AS h2_count, 0 AS h3_count, 0 AS h4_count, 0 AS h5_count, 0 AS h6_count, 0 AS empty_heading_count,
+              CASE WHEN {_THIN} THEN {_plain(_REST)} ELSE {_plain(_ARTICLE)} END AS content, s.word_count, CASE WHEN {_THIN} THEN {_plain(_REST)} ELSE {_plain(_ARTICLE)} END AS content_hash, 0 AS image_count, 0 AS missing_alt_count, 0 AS empty_alt_count, 0 AS images_without_dimensions, s.internal_link_count, 0 AS external_link_count,
+              0 AS nofollow_link_count, 0 AS broken_link_count, 0 AS inbound_internal_links, FALSE AS structured_data_invalid, FALSE AS has_structured_data, '' AS types, s.lang, '' AS alternates
+       FROM {{page_signal}} s JOIN pages p USING (page_id)""",
+)
+_STEPS = ("dup1", "dup2", "dup3", "judged", "judged2", "judged3", "check_row", "audited")
+for _name in _STEPS:
+    _text = COMMON[_name].replace("{signal}", "{html_signal}")
+    for _step in _STEPS:
+        _text = _text.replace("{" + _step + "}", "{html_" + _step + "}")
+    common(f"html_{_name}", _text)
+
+
+@query("pipe01_site_audit_of_html", "SELECT page_id, site_id, seo_score, issue_count, highest_severity, seo_category FROM {html_audited}")
 def _(t):
     pages = html.extract_pages(documents(t)).withColumns({"site_id": F.col("base_domain"), "final_url": F.col("url")})
     return plan.audit_pages(pages).select("page_id", "site_id", "seo_score", "issue_count", "highest_severity", "seo_category")
