@@ -18,12 +18,15 @@ METRICS = (
 EXPECTED = ("word_count", "img_count", "internal_links", "external_links")
 
 _UNSEEN = r"(?is)<!--.*?-->|<(script|style|template|noscript|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)"
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# Old names also stand without their semicolon: anywhere in text, in an attribute only where no name or value goes on.
+_NAMED = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"))
+_STRICT = (("&#39(?:;|(?![0-9]))", "'"), ("&apos;", "'"))
 
 
-def _plain(text: Column) -> Column:
-    for mark, value in _ENTITIES:
-        text = F.replace(text, F.lit(mark), F.lit(value))
+def _plain(text: Column, *, attribute: bool = False) -> Column:
+    open_end = "(?:;|(?![=A-Za-z0-9]))" if attribute else ";?"
+    for mark, value in (*((f"&{name}{open_end}", value) for name, value in _NAMED), *_STRICT, (f"&amp{open_end}", "&")):
+        text = F.regexp_replace(text, mark, value)
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
@@ -42,7 +45,7 @@ def _has(tag: Column, name: str) -> Column:
 def _value(tag: Column, name: str) -> Column:
     """Value of an attribute, quoted or bare; empty without one."""
     found = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
-    return F.trim(_plain(F.regexp_replace(found, "^[\"']|[\"']$", "")))
+    return F.trim(_plain(F.regexp_replace(found, "^[\"']|[\"']$", ""), attribute=True))
 
 
 def _first(xs: Column) -> Column:

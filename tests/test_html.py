@@ -1,9 +1,14 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from siteledger.operators import rules
 from siteledger.plans import audit
+from siteledger.sources import markup
 from siteledger.sources.html import extract_pages
+from verification import q_audit
+from verification.compare import compare
 
 PAGE = "https://www.acme.test/shop/item"
 
@@ -134,3 +139,30 @@ def test_batches_are_cut_by_bytes(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"html": ["a" * 4, "b" * 4, "c" * 4, None, "d" * 40, "e"]})
     parts = [p.column(0).to_pylist() for p in html._parts(iter([batch]), "html")]
     assert [x for p in parts for x in p] == batch.column(0).to_pylist() and len(parts) == 4
+
+
+# ── character references ─────────────────────────────────────────────────────
+REFERENCES = '<html><head><title>A &quot;b&quot; &amp;lt; c&amp</title></head><body><a href="https://b.test/?x=1&copy=2&amp;y=3" rel="nofollow">l</a><img alt="&copy"><article><h1>d &lt e&amp</h1></article></body></html>'
+
+
+def test_references_without_semicolon(spark):
+    rows = spark.createDataFrame([(1, "https://a.test/", REFERENCES)], "page_id long, url string, html string").withColumn("base_domain", F.lit("a.test"))
+    page, second = extract_pages(rows).first(), markup.markup_signals(rows).first()
+    for title, h1 in ((page.title, page.h1), (second.title, second.h1_text)):
+        assert (title, h1) == ('A "b" &lt; c&', "d < e&")
+    assert (second.external_links, second.nofollow_links) == (1, 1)
+
+
+def test_sql_of_page_texts_reads_references_as_html_does(spark, tmp_path):
+    """Texts cut inside a reference, quotes, and tags that are text: the SQL of the extraction gives what the extraction gives."""
+    texts = ["x &amp;&amp;&amp", "y &quot;z&quot;", "w &amp;lt;", "v &lt;b&gt; u", "plain"]
+    pages = [(i, f"https://a.test/{i}", f'<html lang="en"><head><title>{t}</title></head><body><article><h1>{t}</h1><p>{t * 30}</p></article></body></html>') for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for key in ("src01_page_signals", "scl02_hashes", "flt07_render_needed", "flt07_render_needed_by_default"):
+        text, ok = compare(spark, con, key, queries()[key], oracle_sql()[key], str(tmp_path))
+        assert ok, f"{key}: {text}"
+    lengths = dict(con.execute(f"SELECT page_id, length({q_audit._plain(q_audit._ARTICLE)}) FROM pages").fetchall())
+    assert lengths == {r.page_id: r.landmark_length for r in extract_pages(rows.withColumn("base_domain", F.lit("a.test"))).collect()}
