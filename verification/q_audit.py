@@ -347,7 +347,14 @@ def documents(t):
 
 _strip = lambda e: f"regexp_replace(regexp_replace(regexp_replace({e}, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g')"
 _words = lambda e: f"len(list_filter(string_split({_strip(e)}, ' '), lambda w: w <> ''))"
-_dec = lambda e: f"trim(replace(replace(replace({e}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
+# Character references as HTML reads them: the old names also without their semicolon; the ampersand last, so that nothing is decoded twice.
+_REFERENCES = {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;": "''", "&apos;": "''", "&copy;?": "©", "&middot;?": "·", "&amp;?": "&"}
+
+
+def _dec(e):
+    for reference, character in _REFERENCES.items():
+        e = f"regexp_replace({e}, '{reference}', '{character}', 'g')"
+    return f"trim({e})"
 # A thin article inside a page with much more text outside it is only a fragment: the whole body counts.
 _ARTICLE = "regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's')"
 _REST = "regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<nav>.*?</nav>|<footer>.*?(</footer>|$)', ' ', 'gs')"
@@ -389,12 +396,12 @@ def _(t):
     return plan.audit_pages(pages).select("page_id", "site_id", "seo_score", "issue_count", "highest_severity", "seo_category")
 
 
-@query("flt07_render_needed", """SELECT page_id, length(trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '<[a-z/][^>]*>', ' ', 'gs'), '\\s+', ' ', 'g'))) < 3000 AS thin FROM pages""")
+@query("flt07_render_needed", f"SELECT page_id, length({_plain(_ARTICLE)}) < 3000 AS thin FROM pages")
 def _(t):
     return html.extract_pages(documents(t)).select("page_id", html.needs_rendering(minimum=3000).alias("thin"))
 
 
-@query("flt07_render_needed_by_default", """SELECT page_id, length(trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '<[a-z/][^>]*>', ' ', 'gs'), '\\s+', ' ', 'g'))) < 400 AS thin FROM pages""")
+@query("flt07_render_needed_by_default", f"SELECT page_id, length({_plain(_ARTICLE)}) < 400 AS thin FROM pages")
 def _(t):
     return html.extract_pages(documents(t)).select("page_id", html.needs_rendering().alias("thin"))
 
