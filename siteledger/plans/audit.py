@@ -98,8 +98,8 @@ def duplicate_signals(pages: DataFrame, *, limit: int = HEAVY_ROWS) -> DataFrame
     """Per (site_id, url, digests of the keys): size of the page's group and up to five other URLs, for every kind of key.
 
     One narrow row per page and key, with the key as a digest. Group sizes are partial counts; the examples are the six smallest
-    URLs of a group, pruned before the shuffle, so a group holding a third of the site is never gathered, and one of more than
-    ``limit`` pages is joined in parts. Pages without a key are in no group.
+    URLs of a group, each as often as pages have it but five times at most, pruned before the shuffle, so a group holding a third
+    of the site is never gathered, and one of more than ``limit`` pages is joined in parts. Pages without a key are in no group.
     """
     kinds = list(duplicate_keys())
     mine = ["site_id", "url", *[f"_{k}_key" for k in kinds]]
@@ -108,7 +108,9 @@ def duplicate_signals(pages: DataFrame, *, limit: int = HEAVY_ROWS) -> DataFrame
     long = cut(keyed.select(*mine, "_u", F.explode(F.filter(pairs, lambda p: p["key"].isNotNull())).alias("p")).select(*mine, "_u", "p.*"))
     group = ["site_id", "kind", "key"]
     sizes = long.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    samples = top_per_key(long.select(*group, "_u"), group, [F.col("_u").asc()], EXAMPLES + 1).groupBy(*group).agg(F.array_sort(F.collect_list("_u")).alias("sample"))
+    urls = long.groupBy(*group, "_u").agg(F.least(F.count(F.lit(1)), F.lit(EXAMPLES)).cast("int").alias("_times"))
+    times = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_u", "_times"))), lambda x: F.array_repeat(x["_u"], x["_times"])))
+    samples = top_per_key(urls, group, [F.col("_u").asc()], EXAMPLES + 1).groupBy(*group).agg(times.alias("sample"))
     groups = cut(sizes.join(samples, group))
     found = heavy_join(long, groups, group, limit=limit, sizes=groups.select(*group, "rows"), spread=["url"])
     others = F.slice(F.filter("sample", lambda u: u != F.col("_u")), 1, EXAMPLES)

@@ -115,3 +115,12 @@ def test_pages_without_a_site_are_in_no_group(spark):
     pages = spark.createDataFrame(rows, "site_id int, url string, final_url string, title string, meta_description string, word_count int, content_hash string")
     got = sorted((r.url, r.duplicate_title_count, r.duplicate_title_examples, r.duplicate_meta_count, r.duplicate_meta_examples) for r in audit.annotate(pages).collect())
     assert got == [("a", 0, None, 0, None), ("b", 0, None, 0, None), ("c", 0, None, 3, ["e"]), ("c", 0, None, 3, ["e"]), ("e", 0, None, 3, ["d", "d"])]
+
+
+def test_examples_of_a_url_that_pages_share(spark):
+    """A page whose url other pages have as well still gets five examples of other urls."""
+    urls = ["https://a.test/"] * 3 + [f"https://a.test/{i}" for i in range(6)]
+    pages = spark.createDataFrame([(1, i, u, None, "Same", None, None, 0) for i, u in enumerate(urls)], "site_id int, page_id long, url string, final_url string, title string, meta_description string, content_hash string, word_count int")
+    got = {r.page_id: r.duplicate_title_examples for r in audit.annotate(pages).collect()}
+    assert got[0] == [f"https://a.test/{i}" for i in range(5)] and len(got) == 9
+    assert got[8] == ["https://a.test/"] * 3 + ["https://a.test/0", "https://a.test/1"]
