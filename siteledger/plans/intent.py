@@ -247,8 +247,9 @@ def intent_profiles(
 
 
 def best_row_per_page(keywords: DataFrame) -> DataFrame:
-    """The best-scoring row of every (site, keyword, tier, page)."""
+    """The best-scoring row of every (site, keyword, tier, page); of equal ones a scored row, then the smallest ``row_id`` where there is one."""
     order = [F.coalesce("keyword_opportunity_score", F.lit(0.0)).desc(), F.coalesce("current_position", F.lit(9999.0)).asc(), F.col("source").asc()]
+    order += [F.col("keyword_opportunity_score").desc_nulls_last(), *[F.col(c).asc() for c in ("row_id",) if c in keywords.columns]]
     return first_per_key(keywords, ["site_id", "keyword", "keyword_tier", "page_id"], order)
 
 

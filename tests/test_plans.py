@@ -157,3 +157,14 @@ def test_headings_change_verdicts_and_caps_are_asked_for(spark):
     with_headings, without = score(pages), score(pages.drop("headings"))
     assert with_headings["buy part 1"] > without["buy part 1"]
     assert intent.ranked_keywords(intent.score_keywords(keywords, pages)).count() == 30
+
+
+def test_best_keyword_row_of_equal_ones(spark):
+    """A score of 0 comes before none, then the smallest row id, in whatever order the rows arrive."""
+    rows = [(3, None), (9, 0.0), (5, 0.0), (1, None)]
+    for turn in (rows, rows[::-1]):
+        keywords = spark.createDataFrame(
+            [(i, 1, "k", "primary", 7, s, None, "ai") for i, s in turn],
+            "row_id long, site_id int, keyword string, keyword_tier string, page_id long, keyword_opportunity_score double, current_position double, source string",
+        ).coalesce(1)
+        assert [(r.row_id, r.keyword_opportunity_score) for r in intent.best_row_per_page(keywords).collect()] == [(5, 0.0)]

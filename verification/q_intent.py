@@ -340,7 +340,7 @@ VIEWS["keyword_row"] = """
     FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
 common(
     "best_keyword_row",
-    "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY site_id, keyword, keyword_tier, page_id ORDER BY coalesce(keyword_opportunity_score, 0) DESC, coalesce(current_position, 9999), source) AS rn FROM {keyword_row}) WHERE rn = 1",
+    "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY site_id, keyword, keyword_tier, page_id ORDER BY coalesce(keyword_opportunity_score, 0) DESC, coalesce(current_position, 9999), source, keyword_opportunity_score DESC NULLS LAST, row_id) AS rn FROM {keyword_row}) WHERE rn = 1",
 )
 common(
     "cannibal_group",
