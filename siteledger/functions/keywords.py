@@ -90,24 +90,44 @@ def competition_opportunity(position: Column | str, difficulty: Column | str, im
     )
 
 
-def content_relevance(keyword: Column, title: Column, h1: Column, headings: Column, body: Column) -> Column:
-    """Coverage of one keyword by the page; arguments are lower-case text, empty when missing."""
-    terms = F.filter(words(keyword), lambda w: F.length(w) > 2)
+def key_terms(keyword: Column) -> Column:
+    """Words of a keyword that its coverage is judged by."""
+    return F.filter(words(keyword), lambda w: F.length(w) > 2)
 
-    def prominence(term: Column) -> Column:
-        return (
+
+def found_terms(terms: Column, title: Column, h1: Column, headings: Column, body: Column) -> Column:
+    """Per distinct term its prominence in the page and whether the body has it; arguments as in :func:`content_relevance`."""
+
+    def judged(term: Column) -> Column:
+        prominence = (
             F.when(title.contains(term), 0.40)
             .when(h1.contains(term), 0.30)
             .when(headings.contains(term), 0.18)
             .when(body.contains(term), 0.10)
             .otherwise(0.0)
         )
+        return F.struct(prominence.alias("prominence"), body.contains(term).alias("in_body"))
+
+    return F.map_from_arrays(terms, F.transform(terms, judged))
+
+
+def content_relevance(keyword: Column, title: Column, h1: Column, headings: Column, body: Column, *, terms: Column | None = None, found: Column | None = None) -> Column:
+    """Coverage of one keyword by the page; arguments are lower-case text, empty when missing.
+
+    Keywords of a page share most words: ``terms`` (``key_terms`` of the keyword) and ``found`` (``found_terms`` of all keywords of the
+    page), where they are known, save reading the text once per keyword and word. A body without one of the words has not the keyword.
+    """
+    terms = key_terms(keyword) if terms is None else terms
+    found = found_terms(F.array_distinct(terms), title, h1, headings, body) if found is None else found
+    in_title = title.contains(keyword) | h1.contains(keyword)
+
+    def score(elsewhere: float, more: float) -> Column:
+        phrase = F.when(in_title, 0.35).otherwise(elsewhere)
+        total = F.aggregate(terms, phrase.cast("double"), lambda acc, t: acc + found[t]["prominence"])
+        return clamp(total / F.size(terms) + more, 0.05, 1.0)
 
-    in_body = body.contains(keyword)
-    phrase = F.when(title.contains(keyword) | h1.contains(keyword), 0.35).when(in_body, 0.15).otherwise(0.0)
-    total = F.aggregate(terms, phrase.cast("double"), lambda acc, t: acc + prominence(t))
-    score = total / F.size(terms) + F.when(in_body, 0.15).otherwise(0.0)
-    return F.when(F.size(terms) == 0, F.lit(0.50)).otherwise(clamp(score, 0.05, 1.0))
+    in_body = F.forall(terms, lambda t: found[t]["in_body"]) & body.contains(keyword)
+    return F.when(F.size(terms) == 0, F.lit(0.50)).when(in_body, score(0.15, 0.15)).otherwise(score(0.0, 0.0))
 
 
 def composite_score(*factors: Column | str) -> Column:

@@ -79,21 +79,23 @@ def score_keywords(keywords: DataFrame, pages: DataFrame, *, batch: int = KEYWOR
     lists = dealt.groupBy("page_id", "_part").agg(F.collect_list(entry).alias("_ks")).drop("_part")
     lowered = {f"_{c}": F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "h1", "content")}
     lowered["_headings"] = F.lower(F.coalesce(F.array_join("headings", " "), F.lit(""))) if "headings" in pages.columns else F.lit("")
+    text = [F.col(f"_{c}") for c in ("title", "h1", "headings", "content")]
     relevant = F.transform(
-        "_ks",
-        lambda k: F.struct(
-            k.alias("k"),
-            kx.content_relevance(k["keyword"], F.col("_title"), F.col("_h1"), F.col("_headings"), F.col("_content")).alias("content_relevance_score"),
-        ),
+        "_kts",
+        lambda k: F.struct(k["k"].alias("k"), kx.content_relevance(k["k"]["keyword"], *text, terms=k["terms"], found=F.col("_found")).alias("content_relevance_score")),
     )
     rows = (
         pages.withColumns(lowered)
         .join(lists, "page_id")
+        .withColumn("_kts", F.transform("_ks", lambda k: F.struct(k.alias("k"), kx.key_terms(k["keyword"]).alias("terms"))))
+        .withColumn("_found", kx.found_terms(F.array_distinct(F.flatten("_kts.terms")), *text))
         .select("page_id", "site_id", "detected_intent", "business_relevance", F.explode(relevant).alias("e"))
         .select("page_id", "site_id", "detected_intent", "business_relevance", "e.content_relevance_score", "e.k.*")
     )
     ai = F.col("source") == "ai"
     given = F.replace(F.lower(F.col("given_tier")), F.lit(" "), F.lit("_"))
+    # A column of its own: the match names it in every branch, and each would read the keyword again.
+    rows = rows.withColumn("_guess", kx.intent_guess("keyword"))
     rows = rows.select(
         "site_id",
         "page_id",
@@ -103,7 +105,7 @@ def score_keywords(keywords: DataFrame, pages: DataFrame, *, batch: int = KEYWOR
         F.when(ai & given.isin(list(kx.TIER_CAPS)), given).otherwise(kx.assign_tier("keyword", "idx", "source")).alias("keyword_tier"),
         F.when(ai, 0.55).otherwise(kx.demand("demand_base")).alias("demand_score"),
         F.when(ai, 0.65).otherwise(kx.ranking_opportunity("position")).alias("ranking_opportunity_score"),
-        kx.intent_match(kx.intent_guess("keyword"), "detected_intent").alias("intent_match_score"),
+        kx.intent_match("_guess", "detected_intent").alias("intent_match_score"),
         F.col("business_relevance").alias("business_relevance_score"),
         "content_relevance_score",
         kx.competition_opportunity("position", "difficulty", "impressions").alias("competition_opportunity_score"),

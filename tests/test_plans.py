@@ -168,3 +168,14 @@ def test_best_keyword_row_of_equal_ones(spark):
             "row_id long, site_id int, keyword string, keyword_tier string, page_id long, keyword_opportunity_score double, current_position double, source string",
         ).coalesce(1)
         assert [(r.row_id, r.keyword_opportunity_score) for r in intent.best_row_per_page(keywords).collect()] == [(5, 0.0)]
+
+
+def test_content_relevance_with_words_looked_up_once(spark):
+    """Words looked up once for all keywords of a page give what each keyword gives alone; a body may have every word but not the phrase."""
+    text = [F.lit(x) for x in ("red shoe shop", "shoe guide", "care tips", "a red shoe and blue laces")]
+    rows = spark.createDataFrame([("red shoe",), ("blue shoe",), ("red hat",), ("care",), ("a b",), ("blue laces",)], "k string")
+    found = kx.found_terms(F.array(*[F.lit(x) for x in ("red", "shoe", "blue", "hat", "care", "laces")]), *text)
+    got = rows.select("k", kx.content_relevance(F.col("k"), *text).alias("alone"), kx.content_relevance(F.col("k"), *text, terms=kx.key_terms(F.col("k")), found=found).alias("shared")).collect()
+    want = {"red shoe": 0.4 + 0.35 / 2 + 0.15, "blue shoe": 0.25, "red hat": 0.2, "care": 0.18, "a b": 0.5, "blue laces": 0.1 + 0.15 / 2 + 0.15}
+    for r in got:
+        assert r.alone == r.shared == pytest.approx(want[r.k]), r.k
