@@ -57,30 +57,58 @@ def candidates(pages: DataFrame, issues: DataFrame, profiles: DataFrame) -> Data
     return issue_rows.unionByName(mismatch_rows).unionByName(ctr_rows)
 
 
-def factor_columns(patterns: tuple[str, ...] = ()) -> dict[str, Column]:
+def page_factors(patterns: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Factors that all findings of a page share."""
     return {
         "search_opportunity": fx.search_opportunity(),
         "activity_opportunity": fx.activity_opportunity(),
-        "improvement_potential": fx.improvement_potential("ceiling", "severity"),
         "business_relevance": fx.business_relevance(patterns=patterns),
+    }
+
+
+def finding_factors() -> dict[str, Column]:
+    return {
+        "improvement_potential": fx.improvement_potential("ceiling", "severity"),
         "confidence": fx.data_confidence(method=F.col("method")),
     }
 
 
-def score_candidates(found: DataFrame, weights: DataFrame | None = None, patterns: tuple[str, ...] = ()) -> DataFrame:
-    """Score rows that carry check_type, severity, method, page metrics and site totals."""
-    rows = with_catalogue(found)
+def factor_columns(patterns: tuple[str, ...] = ()) -> dict[str, Column]:
+    return {**page_factors(patterns), **finding_factors()}
+
+
+def page_basis(pages: DataFrame, weights: DataFrame | None = None, patterns: tuple[str, ...] = ()) -> DataFrame:
+    """Pages with metrics and site totals, and everything of the scores and sentences that no finding changes."""
     if weights is None:
         w = {k: F.lit(v) for k, v in fx.FACTOR_WEIGHTS.items()}
+        rows = pages
     else:
-        rows = rows.join(weights.select("site_id", *[F.col(k).alias(f"_w_{k}") for k in fx.FACTOR_WEIGHTS]), "site_id", "left")
-        w = {k: F.coalesce(F.col(f"_w_{k}"), F.lit(v)) for k, v in fx.FACTOR_WEIGHTS.items()}
-    rows = rows.withColumns(factor_columns(patterns))
-    scores = fx.recommendation_scores({k: F.col(k) for k in fx.FACTOR_WEIGHTS}, w, "search_leverage", "activity_leverage")
-    basis = fx.business_basis("revenue", "conversions", "site_revenue", "site_conversions", patterns=patterns)
-    out = rows.withColumns({**scores, "reason": fx.reason_text(basis=basis), "confidence_score": F.col("confidence")})
-    out = out.withColumn("expected_outcome", fx.expected_outcome_text())
-    return out.drop(*[f"_w_{k}" for k in fx.FACTOR_WEIGHTS])
+        rows = pages.join(weights.select("site_id", *[F.col(k).alias(f"_s_{k}") for k in fx.FACTOR_WEIGHTS]), "site_id", "left")
+        w = {k: F.coalesce(F.col(f"_s_{k}"), F.lit(v)) for k, v in fx.FACTOR_WEIGHTS.items()}
+    kept = {f"_w_{k}": w[k] for k in ("improvement_potential", "confidence")}
+    rows = rows.withColumns({**page_factors(patterns), **kept}).withColumns(fx.page_logs(w))
+    texts = fx.page_texts(fx.business_basis("revenue", "conversions", "site_revenue", "site_conversions", patterns=patterns))
+    return rows.withColumns(texts).drop(*[f"_s_{k}" for k in fx.FACTOR_WEIGHTS])
+
+
+def score_candidates(found: DataFrame) -> DataFrame:
+    """Score rows that carry check_type, severity, method and the columns of :func:`page_basis`."""
+    rows = with_catalogue(found).withColumns(finding_factors())
+    logs = fx.finding_logs(F.col("_w_improvement_potential"), F.col("_w_confidence"), "search_leverage", "activity_leverage")
+    rows = rows.withColumns(logs).withColumns(fx.recommendation_scores())
+    out = rows.withColumns({"reason": fx.reason_text(), "expected_outcome": fx.expected_outcome_text(), "confidence_score": F.col("confidence")})
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def scored_findings(
+    pages: DataFrame, issues: DataFrame, profiles: DataFrame, weights: DataFrame | None = None, patterns: tuple[str, ...] = ()
+) -> DataFrame:
+    """Scored findings of every page of ``pages``, which carries metrics and site totals.
+
+    Pages are materialised, as shortfalls and scores both read them. What a page's numbers decide is worked out once a page.
+    """
+    facts = cut(pages.select("page_id", "site_id", "path", "site_revenue", "site_conversions", *METRICS))
+    return score_candidates(candidates(facts, issues, profiles).join(page_basis(facts, weights, patterns), "page_id"))
 
 
 def impact_weights(sites: DataFrame, settings: DataFrame) -> DataFrame:
@@ -96,7 +124,7 @@ def best_per_page(scored: DataFrame, k: int = PER_PAGE) -> DataFrame:
 def impact_rank(pages: DataFrame, scored: DataFrame) -> DataFrame:
     """Every page with its best score and its rank inside the site (1 = highest)."""
     best = scored.groupBy("page_id").agg(F.max("overall_priority").alias("impact_score"))
-    ranked = pages.join(best, "page_id", "left").withColumn("_best", F.coalesce("impact_score", F.lit(0.0)))
+    ranked = cut(pages.join(best, "page_id", "left").withColumn("_best", F.coalesce("impact_score", F.lit(0.0))))  # ranking reads it twice
     return row_numbers(ranked, ["site_id"], [F.col("_best").desc(), F.col("page_id").asc()], "rank").drop("_best")
 
 
@@ -129,12 +157,9 @@ def recommendation_scores(
     they are materialised once.
     """
     active = with_site_totals(pages.filter("is_active"))
-    facts = active.select("page_id", "site_id", "path", "site_revenue", "site_conversions", *METRICS)
-    found = candidates(active, issues, profiles).join(facts, "page_id")
-    best = cut(best_per_page(score_candidates(found, weights, patterns)))
-    routed = routed_pages(
-        impact_rank(active.select("page_id", "site_id", "highest_severity"), best), issues, profiles
-    ).select("page_id", F.col("rank").alias("impact_rank"), "page_tier")
+    best = cut(best_per_page(scored_findings(active, issues, profiles, weights, patterns)))
+    ranked = pages.filter("is_active").select("page_id", "site_id", "highest_severity")
+    routed = routed_pages(impact_rank(ranked, best), issues, profiles).select("page_id", F.col("rank").alias("impact_rank"), "page_tier")
     level, why = fx.priority_level(
         "overall_priority", "recommendation_type", F.when(F.col("issue_id").isNotNull(), F.col("severity")), "mismatch_severity"
     )

@@ -227,7 +227,7 @@ def found(t):
 
 
 def scored(t):
-    return plan.score_candidates(found(t), weights(t), PATTERNS)
+    return plan.scored_findings(active(t), issues(t), profiles(t), weights(t), PATTERNS)
 
 
 def recommendations(t):
