@@ -142,7 +142,10 @@ def _segments(url: Column) -> Column:
 
 def has_recursive_path_loop(url: Column | str) -> Column:
     """A repeated path segment (outside the allow list) or a host name inside the path."""
-    segments = _segments(col(url))
+    return let(_segments(col(url)), _has_loop)
+
+
+def _has_loop(segments: Column) -> Column:
     guarded = F.filter(segments, lambda s: ~s.isin(REPEATABLE_SEGMENTS))
     return F.exists(segments, lambda s: s.rlike(HOST_LIKE_SEGMENT)) | (
         F.size(guarded) > F.size(F.array_distinct(guarded))
@@ -150,10 +153,16 @@ def has_recursive_path_loop(url: Column | str) -> Column:
 
 
 def is_probably_page(url: Column | str) -> Column:
-    u = col(url)
-    extension = F.regexp_extract(F.lower(raw_path(u)), r"\.([^./]*)$", 1)
-    blocked = F.arrays_overlap(_segments(u), F.array(*[F.lit(s) for s in BLOCKED_SEGMENTS]))
-    return ~has_recursive_path_loop(u) & ~blocked & ~extension.isin(ASSET_EXTENSIONS)
+    def page(path: Column) -> Column:
+        extension = F.regexp_extract(path, r"\.([^./]*)$", 1)
+
+        def passed(segments: Column) -> Column:
+            blocked = F.arrays_overlap(segments, F.array(*[F.lit(s) for s in BLOCKED_SEGMENTS]))
+            return ~_has_loop(segments) & ~blocked & ~extension.isin(ASSET_EXTENSIONS)
+
+        return let(F.filter(F.split(path, "/"), lambda s: s != ""), passed)
+
+    return let(F.lower(raw_path(col(url))), page)
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -161,13 +170,12 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def matches_any(url: Column | str, patterns: list[str] | None) -> Column:
-    """Glob match (``*`` only) against the normalised path or the URL itself."""
+    """Glob match (``*`` only) against the normalised path or the URL itself; all patterns are one expression."""
     u = col(url)
-    out = F.lit(False)
-    for pattern in patterns or []:
-        regex = glob_to_regex(pattern)
-        out = out | url_path(u).rlike(regex) | u.rlike(regex)
-    return out
+    if not patterns:
+        return F.lit(False)
+    regex = "|".join(glob_to_regex(pattern) for pattern in patterns)
+    return u.rlike(regex) | url_path(u).rlike(regex)
 
 
 def resolve_link(base: Column | str, href: Column | str, *, strip_tracking: bool = True) -> Column:

@@ -15,22 +15,22 @@ def admission(urls: DataFrame, rules: DataFrame | None = None, *, include: list[
 
     ``urls`` has url and base_domain.
     """
-    rows = urls if rules is None else allow_urls(urls, rules)
     u = F.col("url")
-    tests = [
-        (registrable_domain(u) != registrable_domain("base_domain"), "off_domain"),
-        (~is_probably_page(u), "not_a_page"),
-    ]
+    tests = [(~is_probably_page(u), "not_a_page")]
     if exclude:
         tests.append((matches_any(u, exclude), "excluded"))
     if include:
         tests.append((~matches_any(u, include), "not_included"))
-    if rules is not None:
-        tests.append((~F.col("allowed"), "robots"))
-    reason = F.lit(None).cast("string")
+    fault = F.lit(None).cast("string")
     for failed, name in reversed(tests):
-        reason = F.when(failed, F.lit(name)).otherwise(reason)
-    return rows.withColumn("rejected_by", reason).drop("allowed")
+        fault = F.when(failed, F.lit(name)).otherwise(fault)
+    off_domain = F.when(registrable_domain(u) != registrable_domain("base_domain"), "off_domain")
+    if rules is None:
+        return urls.withColumn("rejected_by", F.coalesce(off_domain, fault))
+    # Rows meet the verdict of robots.txt by URL, so what the text of a URL decides is worked out once a URL too.
+    faults = urls.select("url").distinct().withColumn("_fault", fault)
+    rows = allow_urls(urls, rules).join(faults, "url", "left")
+    return rows.withColumn("rejected_by", F.coalesce(off_domain, "_fault", F.when(~F.col("allowed"), "robots"))).drop("allowed", "_fault")
 
 
 def reject_counts(admitted: DataFrame) -> DataFrame:
