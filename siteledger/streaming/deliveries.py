@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +19,8 @@ QUEUED_LIMIT = 180
 RUNNING_LIMIT = 1200
 # Days that are named in the scan of a re-sync; a batch with more joins them.
 MAX_DAYS = 400
+# Groups of pages whose hashes are kept together.
+PAGE_BUCKETS = 4096
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -196,45 +198,60 @@ def daily_site_series(stream: DataFrame, *, delay: str = "1 day") -> DataFrame:
 
 # ── changed pages ────────────────────────────────────────────────────────────
 class ChangedPageProcessor(StatefulProcessor):
-    """Passes observations whose hash is not the one seen last; state is that hash, at first the one of the stored analysis."""
+    """Passes observations whose hash is not the one seen last of their page.
 
-    def __init__(self, hash_col: str, order: list[str]) -> None:
-        self.hash_col, self.order = hash_col, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "hash string")
+    A key is a bucket of pages and its state a map from page to hash, at first those of the stored analyses: a call of the processor costs
+    far more than a value of a map, and most pages have nothing new in a batch.
+    """
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        newest = initialState["_known"].iloc[0]
-        if newest is not None:
-            self.known.update((newest,))
+    def __init__(self, hash_col: str, order: list[str], columns: list[str]) -> None:
+        self.hash_col, self.order, self.columns = hash_col, order, columns
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable") if self.order else pd.concat(list(rows))
-        hashes = frame[self.hash_col].astype(object).where(frame[self.hash_col].notna(), None)
-        before = self.known.get()[0] if self.known.exists() else None
-        seen = pd.concat([pd.Series([before], dtype=object), hashes], ignore_index=True).ffill()  # what is known after each row
-        changed = hashes.isna().to_numpy() | (seen.iloc[:-1].to_numpy() != seen.iloc[1:].to_numpy())
-        if seen.iloc[-1] is not None and seen.iloc[-1] != before:
-            self.known.update((seen.iloc[-1],))
-        yield frame[changed]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "page string", "hash string")
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        if initialState["_known"] is not None:
+            self.known.updateValue((initialState["_page"],), (initialState["_known"],))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """One look at the state and one update per page and batch; nulls come last in the order."""
+        pages: dict[str | None, list[Row]] = {}
+        for row in rows:
+            pages.setdefault(row["_page"], []).append(row)
+        for page, seen in pages.items():
+            if self.order:
+                seen.sort(key=lambda r: [(r[c] is None, 0 if r[c] is None else r[c]) for c in self.order])
+            stored = self.known.getValue((page,))
+            before = known = stored[0] if stored else None
+            for row in seen:
+                now = row[self.hash_col]
+                if now is None or now != known:
+                    yield Row(**{c: row[c] for c in self.columns})
+                known = known if now is None else now
+            if known != before:
+                self.known.updateValue((page,), (known,))
 
     def close(self) -> None:
         pass
 
 
-def changed_since_analysis(stream: DataFrame, analysed: DataFrame, *, key: str = "page_id", hash_col: str = "content_hash", order: list[str] | None = None) -> DataFrame:
+def changed_since_analysis(
+    stream: DataFrame, analysed: DataFrame, *, key: str = "page_id", hash_col: str = "content_hash", order: list[str] | None = None, buckets: int = PAGE_BUCKETS,
+) -> DataFrame:
     """Observations whose content hash is not the one known of their page.
 
     The state of a page is its last hash. It starts as that of the newest stored analysis, which is read once, and follows the stream:
     a page that is seen twice with one new hash is passed once. Within a micro-batch rows go by ``order`` (columns of the stream).
-    Rows without a hash always pass and change nothing. Needs the RocksDB state store provider.
+    Rows without a hash always pass and change nothing. Pages lie in ``buckets`` by a hash of the key; a stream keeps their number as
+    long as its checkpoint, and a task holds the rows that one batch has of one bucket. Needs the RocksDB state store provider.
     """
+    page, bucket = F.col(key).cast("string").alias("_page"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).alias("_bucket")
     newest = analysed.groupBy(key).agg(F.max_by(hash_col, "analysed_at").alias("_known"))
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=ChangedPageProcessor(hash_col, order or []),
+    return stream.select("*", page, bucket).groupBy("_bucket").transformWithState(
+        statefulProcessor=ChangedPageProcessor(hash_col, order or [], stream.columns),
         outputStructType=stream.schema,
         outputMode="Append",
         timeMode="None",
-        initialState=newest.groupBy(key),
+        initialState=newest.select(page, "_known", bucket).groupBy("_bucket"),
     )

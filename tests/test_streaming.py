@@ -2,6 +2,7 @@ import datetime as dt
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from siteledger.streaming import deliveries
 
@@ -98,6 +99,31 @@ def test_changed_pages_follow_the_stream(spark, tmp_path):
     assert [sorted(r[2] for r in rows) for rows in got if rows] == [[1, 3, 5, 6], [8, 9, 12, 13], [16]]
 
 
+def test_changed_pages_that_share_a_bucket(spark, tmp_path):
+    """One call for many pages of one bucket: more rows than an Arrow batch has, null pages and orders, ids beyond 2^53."""
+    big = 2**53
+    analysed = spark.range(big, big + 3000).select(F.col("id").alias("page_id"), F.lit("a").alias("content_hash"), F.lit(1).alias("analysed_at"))
+    first = [(big + k, "b" if k % 3 == 0 else "a", 2 * k) for k in range(3000)] + [(None, "n", 6000), (None, "n", 6001), (big + 1, "c", None), (big + 1, "d", 1)]
+    second = [(big + k, "b", 10_000 + k) for k in range(3000)] + [(None, "n", 6002)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        got = run_stream(spark, tmp_path, [first, second], PAGES, lambda s: deliveries.changed_since_analysis(s, analysed, order=["i"], buckets=1))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    want = [(big + k, "b", 2 * k) for k in range(0, 3000, 3)] + [(None, "n", 6000), (big + 1, "d", 1), (big + 1, "a", 2), (big + 1, "c", None)]
+    after = [(big + k, "b", 10_000 + k) for k in range(3000) if k % 3]
+    by = lambda r: (r[0] is None, r[0] or 0, str(r[2]))
+    assert [sorted(rows, key=by) for rows in got if rows] == [sorted(want, key=by), sorted(after, key=by)]
+
+
+def test_changed_pages_are_not_called_for_one_by_one(spark):
+    """The processor groups by bucket, so pages that only have an analysis cost no call of their own."""
+    stream = spark.readStream.format("rate").load().select(F.col("value").alias("page_id"), F.lit("h").alias("content_hash"), F.col("value").alias("i"))
+    analysed = spark.createDataFrame([], "page_id long, content_hash string, analysed_at int")
+    plan = deliveries.changed_since_analysis(stream, analysed, order=["i"])._jdf.queryExecution().logical().toString()
+    assert "_bucket" in plan.splitlines()[0]
+
+
 def test_silent_runs_in_one_update_per_batch(spark, tmp_path):
     minute = dt.timedelta(minutes=1)
     start = at(1)
