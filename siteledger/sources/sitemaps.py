@@ -64,11 +64,13 @@ def walk(docs: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, max
     that a limit leaves out is a row of ``dropped`` with the reason, ``too_deep`` or ``too_many``.
     """
     keys = ["site_id", "sitemap_url"]
+    # A level may be as large as the table, and there are many: a hint keeps each of them from being sent through the driver to every task.
+    merged = lambda df: df.hint("merge")
     parsed = cut(docs)
     known = cut(parsed.select(*keys).distinct())
     edges = cut(parsed.select(*keys, F.posexplode("nested").alias("pos", "child")))
     reached = dropped = None
-    frontier, depth = seeds.select(*keys).distinct().join(known, keys, "left_semi"), 0
+    frontier, depth = seeds.select(*keys).distinct().join(merged(known), keys, "left_semi"), 0
     while True:
         frontier = cut(frontier.withColumn("depth", F.lit(depth)))
         if reached is not None and frontier.isEmpty():
@@ -81,12 +83,12 @@ def walk(docs: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, max
             reason = F.when(F.col("pos") >= max_children, "too_many")
         if max_depth is not None and depth >= max_depth:
             reason = F.lit("too_deep")
-        children = edges.join(frontier.select(*keys), keys).select("site_id", F.col("child").alias("sitemap_url"), reason.alias("reason"))
+        children = edges.join(merged(frontier.select(*keys)), keys).select("site_id", F.col("child").alias("sitemap_url"), reason.alias("reason"))
         over = children.filter("reason is not null")
         dropped = over if dropped is None else dropped.union(over)
-        frontier = children.filter("reason is null").select(*keys).distinct().join(known, keys, "left_semi").join(reached.select(*keys), keys, "left_anti")
+        frontier = children.filter("reason is null").select(*keys).distinct().join(merged(known), keys, "left_semi").join(merged(reached.select(*keys)), keys, "left_anti")
         depth += 1
-    return parsed.join(reached, keys), dropped
+    return parsed.join(merged(reached), keys), dropped
 
 
 def url_entries(documents: DataFrame, sites: DataFrame, dropped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

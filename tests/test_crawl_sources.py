@@ -124,3 +124,12 @@ def test_examples_of_a_url_that_pages_share(spark):
     got = {r.page_id: r.duplicate_title_examples for r in audit.annotate(pages).collect()}
     assert got[0] == [f"https://a.test/{i}" for i in range(5)] and len(got) == 9
     assert got[8] == ["https://a.test/"] * 3 + ["https://a.test/0", "https://a.test/1"]
+
+
+def test_a_walk_sends_no_level_to_every_task(spark):
+    docs = spark.createDataFrame([(1, "a", "<sitemapindex><sitemap><loc>b</loc></sitemap></sitemapindex>"), (1, "b", "<urlset><url><loc>u</loc></url></urlset>")], "site_id int, sitemap_url string, body string")
+    seeds = spark.createDataFrame([(1, "a")], "site_id int, sitemap_url string")
+    found = sitemaps.walk(sitemaps.parse_documents(docs), seeds)[0]
+    assert sorted((r.sitemap_url, r.depth) for r in found.collect()) == [("a", 0), ("b", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
