@@ -68,6 +68,21 @@ def print_batches(width: int):
     return run
 
 
+def segments_of(fp: np.ndarray) -> list[np.ndarray]:
+    """The three segments of fingerprints."""
+    segments, shift = [], 0
+    for width in WIDTHS:
+        segments.append((fp >> np.uint64(shift)) & np.uint64((1 << width) - 1))
+        shift += width
+    return segments
+
+
+def index_keys(fp: np.ndarray) -> np.ndarray:
+    """The Golay indices of the three segments in one number of 36 bits: it stays where turned bits leave every segment nearest to its codeword."""
+    low, middle, high = (nearest(s).astype(np.uint64) for s in segments_of(fp))
+    return low | middle << np.uint64(12) | high << np.uint64(24)
+
+
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of fingerprints, and the position of the fingerprint of each.
 
@@ -77,10 +92,7 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     index of one is among the indices around the other; so of each pair one side, in turn, spreads over its six indices and
     the other gives its own. Either fingerprint takes both parts, and a link is met at least once.
     """
-    segments, shift = [], 0
-    for width in WIDTHS:
-        segments.append((fp >> np.uint64(shift)) & np.uint64((1 << width) - 1))
-        shift += width
+    segments = segments_of(fp)
     own = [nearest(s).astype(np.uint64) for s in segments]
     wide = [around(s, w) for s, w in zip(segments, WIDTHS)]
     everyone = np.arange(len(fp))

@@ -3,8 +3,12 @@
 import importlib.util
 import random
 
+import numpy as np
 import pytest
 
+from siteledger.llm import similar_texts
+from siteledger.llm.golay import nearest
+from siteledger.llm.golay_simhash import WIDTHS, index_keys
 from siteledger.llm.similar_texts import drop_similar, similar_groups
 
 
@@ -74,3 +78,27 @@ def test_columns_and_empty_table(table):
     kept = drop_similar(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
     assert similar_groups(table([])).count() == 0
+
+
+def test_keys_are_golay_indices_of_fingerprints(monkeypatch):
+    """The key of a fingerprint holds the codewords nearest to its segments, so it stays when a bit turns within their reach."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 4, 300)]
+    prints = similar_texts.sample_prints(sets)
+    keys = similar_texts.golay_keys(sets)
+    assert prints.shape == keys.shape == (3, similar_texts.PRINTS)
+    kept = 0
+    for fp, key in zip(prints.ravel().tolist(), keys.ravel().tolist()):
+        parts, at = [], 0
+        for width in WIDTHS:
+            parts.append(int(nearest(np.array([fp >> at & (1 << width) - 1]))[0]))
+            at += width
+        assert key & (1 << 36) - 1 == parts[0] | parts[1] << 12 | parts[2] << 24
+        kept += sum(int(index_keys(np.array([fp ^ 1 << b], np.uint64))[0]) == key & (1 << 36) - 1 for b in range(64))
+    assert kept > 0
+    # Each bit of a fingerprint is the majority of its sample's.
+    seen = []
+    monkeypatch.setattr(similar_texts, "fingerprints", lambda hashes, counts: seen.append((hashes, counts)) or np.zeros(len(counts), np.uint64))
+    similar_texts.sample_prints(sets)
+    votes = (seen[0][0].reshape(-1, similar_texts.SAMPLE)[:, :, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).sum(axis=1)
+    assert np.array_equal(prints.ravel(), ((2 * votes > similar_texts.SAMPLE).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1))
