@@ -246,10 +246,13 @@ RESPONSE_COLUMNS = ("status_code", "final_url", "redirect_chain", "crawl_quality
 
 
 def collapse_observations(observations: DataFrame) -> DataFrame:
-    """One observation per (site, url hash): the latest fetch wins, for pages and audits alike."""
-    target = normalize_url(effective_url())
-    rows = observations.withColumn("url", target).withColumn("url_hash", F.sha2("url", 256))
-    return newest_per_key(rows, ["site_id", "url_hash"], ["fetched_at", "observation_id"])
+    """One observation per (site, url hash): the latest fetch wins, for pages and audits alike.
+
+    The URL tells rows apart as its hash does, so the many observations are sorted without a hash and only those that stay get one.
+    """
+    rows = observations.withColumn("url", normalize_url(effective_url()))
+    rows = newest_per_key(rows.drop("url_hash"), ["site_id", "url"], ["fetched_at", "observation_id"])
+    return rows.select("site_id", F.sha2("url", 256).alias("url_hash"), *[c for c in observations.columns if c not in ("site_id", "url_hash")])
 
 
 def merge_snapshot(pages: DataFrame, observations: DataFrame, content_columns: list[str]) -> DataFrame:
@@ -258,19 +261,21 @@ def merge_snapshot(pages: DataFrame, observations: DataFrame, content_columns: l
     Response columns always follow the newest crawl; content columns and ``content_captured_at`` only
     when the observation holds a document. ``first_seen_at`` never changes. Unseen pages stay as they are.
     """
+    # One column each, not a struct that is tested as a whole: columns that no result needs are then neither sorted nor shuffled.
+    n = lambda c: F.col(f"`_n.{c}`")
     new = observations.select(
-        "site_id", "url_hash", F.struct([F.col(c) for c in observations.columns if c not in ("site_id", "url_hash")]).alias("n")
+        "site_id", "url_hash", F.lit(True).alias("_seen"), *[F.col(f"`{c}`").alias(f"_n.{c}") for c in observations.columns if c not in ("site_id", "url_hash")]
     )
     joined = pages.join(new, ["site_id", "url_hash"], "full")
-    seen = F.col("n").isNotNull()
-    fresh = seen & has_document(F.col("n.status_code"), F.col("n.crawl_quality"))
-    pick = lambda test, c: F.when(test, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)
-    when = F.col("n.fetched_at")
+    seen = F.col("_seen").isNotNull()
+    fresh = seen & has_document(n("status_code"), n("crawl_quality"))
+    pick = lambda test, c: F.when(test, n(c)).otherwise(F.col(c)).alias(c)
+    when = n("fetched_at")
     return joined.select(
         "site_id",
         "url_hash",
         pick(seen, "url"),
-        F.when(seen, url_path("n.url")).otherwise(F.col("path")).alias("path"),
+        F.when(seen, url_path(n("url"))).otherwise(F.col("path")).alias("path"),
         *[pick(seen, c) for c in RESPONSE_COLUMNS if c in pages.columns],
         *[pick(fresh, c) for c in content_columns],
         F.coalesce("first_seen_at", when).alias("first_seen_at"),
