@@ -22,14 +22,14 @@ COMPETING_TIERS = ("primary", "secondary")
 LISTED_PAGES = 20
 
 
-KEYWORD_BATCH = 1000  # keywords of a page that meet its text together
+KEYWORD_BATCH = 1000  # keywords of a source of a page that meet its text together
 
 
 def keyword_sources(queries: DataFrame, snapshot_keywords: DataFrame, suggestions: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """One row per (page, keyword): search rows win over snapshot rows, these over suggestions.
 
-    Inputs carry ``idx``, the 0-based place in their source list; ``limits`` keeps the first so many of a source. The winner is found with a partial
-    ``min_by`` aggregate, so a page with many sources never becomes one task.
+    Inputs carry ``idx``, the 0-based place in their source list; ``limits`` keeps the first so many of a source. Rows are shuffled once, by page,
+    and all that follows for a page (scores, ranks, means) finds them so; they are sorted there, spilled where they are many, and never held together.
     """
 
     def side(df: DataFrame, source: str, keyword: str, **columns: Column) -> DataFrame:
@@ -62,20 +62,19 @@ def keyword_sources(queries: DataFrame, snapshot_keywords: DataFrame, suggestion
     )
     order = F.struct(lookup(F.col("source"), {s: i for i, s in enumerate(SOURCES)}, 9).alias("o"), "idx")
     payload = F.struct("source", "idx", "position", "impressions", "demand_base", "difficulty", "given_tier")
-    return rows.groupBy("page_id", "keyword").agg(F.min_by(payload, order).alias("r")).select("page_id", "keyword", "r.*")
+    return rows.repartition("page_id").groupBy("page_id", "keyword").agg(F.min_by(payload, order).alias("r")).select("page_id", "keyword", "r.*")
 
 
 def score_keywords(keywords: DataFrame, pages: DataFrame, *, batch: int = KEYWORD_BATCH) -> DataFrame:
     """Tier and six factors of every keyword of a page.
 
     ``pages`` has page_id, site_id, detected_intent, business_relevance, the page text and, where known, ``headings``. The
-    keywords of a page travel to the page row in arrays of about ``batch``, so the text is read once per array and not once per
-    keyword, and a page of very many keywords is never gathered.
+    keywords of a page meet the page row in arrays, one for every ``batch`` places in their source lists, so the text is read once per
+    array and not once per keyword, and a page of very many keywords is never gathered. Places tell the arrays apart without a count,
+    so ``keywords`` is worked out once.
     """
     entry = F.struct("keyword", "source", "idx", "position", "impressions", "demand_base", "difficulty", "given_tier")
-    parts = keywords.groupBy("page_id").agg(F.ceil(F.count(F.lit(1)) / batch).alias("_parts"))
-    large = cut(parts.filter("_parts > 1"))  # at most keywords / batch pages
-    dealt = keywords.join(large, "page_id", "left").withColumn("_part", F.pmod(F.xxhash64("keyword", "source"), F.coalesce("_parts", F.lit(1))))
+    dealt = keywords.repartition("page_id").withColumn("_part", F.floor(F.col("idx") / batch))
     lists = dealt.groupBy("page_id", "_part").agg(F.collect_list(entry).alias("_ks")).drop("_part")
     lowered = {f"_{c}": F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "h1", "content")}
     lowered["_headings"] = F.lower(F.coalesce(F.array_join("headings", " "), F.lit(""))) if "headings" in pages.columns else F.lit("")
@@ -133,17 +132,19 @@ def page_keyword_scores(capped: DataFrame, listed: dict[str, int] | None = None)
     """
     listed = kx.TIER_CAPS if listed is None else listed
     order = [F.col("keyword_opportunity_score").desc(), F.col("keyword").asc()]
-    best = top_per_key(capped, ["page_id"], order, BEST_KEYWORDS)
-    means = best.groupBy("page_id").agg(rnd(F.avg("keyword_opportunity_score"), 1).alias("keyword_opportunity_score"))
+    placed = capped.withColumn("_place", F.row_number().over(Window.partitionBy("page_id").orderBy(*order)))
+    is_listed = F.col("tier_rank") <= lookup(F.col("keyword_tier"), listed, 0)
     entry = F.struct("tier_rank", "keyword")
-    best_of_tier = capped.filter(F.col("tier_rank") <= lookup(F.col("keyword_tier"), listed, 0))
-    lists = best_of_tier.groupBy("page_id").agg(
+    # One aggregate for means and lists: the keywords are read once. A page without a listed keyword has no lists.
+    out = placed.groupBy("page_id").agg(
+        rnd(F.avg(F.when(F.col("_place") <= BEST_KEYWORDS, F.col("keyword_opportunity_score"))), 1).alias("keyword_opportunity_score"),
+        F.count(F.when(is_listed, F.lit(1))).alias("_listed"),
         *[
-            F.transform(F.array_sort(F.collect_list(F.when(F.col("keyword_tier") == tier, entry))), lambda e: e["keyword"]).alias(f"{tier}_keywords")
+            F.transform(F.array_sort(F.collect_list(F.when(is_listed & (F.col("keyword_tier") == tier), entry))), lambda e: e["keyword"]).alias(f"{tier}_keywords")
             for tier in COMPETING_TIERS
-        ]
+        ],
     )
-    return means.join(lists, "page_id", "left")
+    return out.withColumns({f"{tier}_keywords": F.when(F.col("_listed") > 0, F.col(f"{tier}_keywords")) for tier in COMPETING_TIERS}).drop("_listed")
 
 
 def changed_pages(pages: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -202,13 +203,15 @@ def intent_profiles(
     patterns: tuple[str, ...] = (),
     source_limits: dict[str, int] | None = None,
     tier_caps: dict[str, int] | None = None,
+    keep_keywords: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(profiles, keyword rows) of the pages whose content changed; all pages when ``existing`` is None.
 
     All keywords of all sources are scored and kept, unless ``source_limits`` or ``tier_caps`` ask for fewer.
 
     ``pages`` carries text, metrics and site totals. Page classification and keyword scoring feed both
-    outputs, so each is materialised once, without the text; keyword scoring reads that from ``pages``.
+    outputs, so each is materialised once, without the text; keyword scoring reads that from ``pages``. Callers that use
+    the profiles alone save writing all keyword rows with ``keep_keywords=False``.
     """
     todo = pages if existing is None else changed_pages(pages, existing)
     classified = cut(
@@ -223,7 +226,8 @@ def intent_profiles(
     sources = keyword_sources(queries, snapshot_keywords, suggestions, source_limits)
     read = todo.select("page_id", "title", "h1", "content", *(["headings"] if "headings" in todo.columns else []))
     judged = read.join(classified.select("page_id", "site_id", "detected_intent", "business_relevance"), "page_id")
-    capped = cut(ranked_keywords(score_keywords(sources, judged), tier_caps))
+    capped = ranked_keywords(score_keywords(sources, judged), tier_caps)
+    capped = cut(capped) if keep_keywords else capped
     rows = classified.join(page_keyword_scores(capped), "page_id", "left").fillna({"keyword_opportunity_score": 0.0})
     rows = rows.withColumn("traffic_potential_score", traffic_potential())
     profiles = rows.withColumn("lead_potential_score", lead_potential(patterns=patterns)).select(

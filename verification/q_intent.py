@@ -195,7 +195,8 @@ common(
 
 # ── Spark side ───────────────────────────────────────────────────────────────
 def text_pages(t):
-    return t.spread(t.intent_page).withColumns(
+    # By page, as the join with the texts leaves the rows and every join after it wants them: texts are shuffled once.
+    return t.intent_page.repartition("page_id").withColumns(
         {"structured_data_types": F.array("schema_type"), "content_hash": F.sha2("content_key", 256), "headings": F.filter(F.split("headings_text", r"\|"), lambda h: h != "")}
     ).drop("schema_type", "content_key", "headings_text")
 
@@ -216,7 +217,7 @@ def sources(t):
 
 def built(t, existing=None):
     queries = t.intent_query.withColumn("idx", F.col("query_rank") - 1)
-    return plan.intent_profiles(pages_with_metrics(t), queries, t.snapshot_list, t.ai_finding, t.suggestion, existing, PATTERNS)
+    return plan.intent_profiles(pages_with_metrics(t), queries, t.snapshot_list, t.ai_finding, t.suggestion, existing, PATTERNS, keep_keywords=False)
 
 
 def scored(t):
@@ -306,7 +307,7 @@ def _(t):
 
 @query("win10_page_keyword_score", "SELECT page_id, keyword_opportunity_score, primary_keywords FROM {keyword_page}")
 def _(t):
-    out = plan.page_keyword_scores(plan.cut(plan.ranked_keywords(scored(t))))
+    out = plan.page_keyword_scores(plan.ranked_keywords(scored(t)))
     primary = F.nullif(F.array_join("primary_keywords", "|"), F.lit(""))
     return out.select("page_id", "keyword_opportunity_score", primary.alias("primary_keywords"))
 
