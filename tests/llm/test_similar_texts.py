@@ -102,3 +102,72 @@ def test_keys_are_golay_indices_of_fingerprints(monkeypatch):
     similar_texts.sample_prints(sets)
     votes = (seen[0][0].reshape(-1, similar_texts.SAMPLE)[:, :, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).sum(axis=1)
     assert np.array_equal(prints.ravel(), ((2 * votes > similar_texts.SAMPLE).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1))
+
+
+def golay_misses(rng, similarity=0.8):
+    """A pair of just that similarity that shares no key of its fingerprints."""
+    while True:
+        own = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        pair = at_similarity_of(own, rng, similarity)
+        a, b = (similar_texts.golay_keys([similar_texts.shingle_set(t)])[0] for t in pair)
+        if not set(a.tolist()) & set(b.tolist()):
+            return pair
+
+
+def at_similarity_of(own, rng, wanted):
+    copy = own
+    while True:
+        other = copy[:]
+        other[rng.randrange(len(other))] = f"x{rng.randrange(10**9)}"
+        if similar(shingles(" ".join(own)), shingles(" ".join(other))) < wanted:
+            return " ".join(own), " ".join(copy)
+        copy = other
+
+
+def test_links_that_fingerprints_miss(table):
+    """Similar texts without a common fingerprint key are one group all the same."""
+    rng = random.Random(8)
+    texts = [t for _ in range(3) for t in golay_misses(rng)] + ["some other words of a text that is alone here"]
+    kept = {r.doc_id for r in drop_similar(table(texts)).collect()}
+    assert kept == {0, 2, 4, 6}
+
+
+@pytest.mark.parametrize("group_rows", [3, 512])
+def test_prefixes_alone_find_every_link(table, monkeypatch, group_rows):
+    """Without any fingerprint key, with frequent elements and in tiles, groups are those of brute force."""
+    from siteledger.llm import set_prefixes
+
+    monkeypatch.setattr(similar_texts, "index_keys", lambda fp: np.arange(fp.size, dtype=np.uint64).reshape(fp.shape) + np.uint64(hash(fp.tobytes()) & 0xFFFFFF) * np.uint64(4096))
+    monkeypatch.setattr(set_prefixes, "COMMON_ROWS", 4)
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [None, "", "short", "a b c d e", "a b c d f"]
+    for n in (12, 40, 90):
+        for _ in range(5):
+            own = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            for _ in range(6):
+                other = own[:]
+                for _ in range(rng.randint(0, max(1, n // 20))):
+                    other[rng.randrange(n)] = f"x{rng.randrange(10**9)}"
+                texts.append(" ".join(other) + (" " + common if rng.random() < 0.5 else ""))
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    got = {r.doc_id: r.component_id for r in similar_groups(table(texts), group_rows=group_rows).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) < len(label)
+
+
+def test_rows_of_shared_keys_over_batches():
+    """Rows whose key is shared, wherever the batches are cut."""
+    import pyarrow as pa
+
+    from siteledger.llm.set_prefixes import KEYS, shared_batches
+
+    keys = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
+    for size in (1, 2, 3, 10):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + size], pa.int64()), pa.array(range(a, min(a + size, 10)), pa.int64())], schema=KEYS) for a in range(0, 10, size)]
+        assert [r for b in shared_batches(iter(batches)) for r in b.column(1).to_pylist()] == [1, 2, 4, 5, 6, 8, 9]
